@@ -1,0 +1,4 @@
+"""The feature, backtest and reporting operators are batch as-of snapshots; no streaming operator is defined.
+
+Incremental ingest is expressed as batch anti-joins in :mod:`hindcast.sources.changes`.
+"""
