@@ -9,6 +9,8 @@ range totals (at most ranges + groups rows) are accumulated across ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,6 +63,13 @@ def _before(totals: DataFrame, group: list[str], size: str) -> DataFrame:
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equality join in which NULL keys match each other."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+
+
 def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Exact 1-based position of each row in its group.
 
@@ -72,11 +81,7 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "rank
     offsets = _before(totals, group, "_n").drop("_total", "_size")
     local = W.partitionBy(*group, "_range").orderBy(*order)
     placed = ranged.withColumn("_local", F.row_number().over(local))
-    if not group:
-        joined = placed.join(offsets, "_range")
-    else:
-        condition = [placed[c].eqNullSafe(offsets[c]) for c in [*group, "_range"]]
-        joined = placed.join(offsets, condition).select(placed["*"], offsets["_before"])
+    joined = join_null_safe(placed, offsets, [*group, "_range"], "inner")
     return joined.withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint")).drop(
         "_range", "_before", "_local"
     )
@@ -111,10 +116,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
     targets = wanted.groupBy(*group, "_range", "_before", "_total").agg(
         F.collect_list(F.struct("p", "_at")).alias("_targets")
     )
-    condition = [ranged[c].eqNullSafe(targets[c]) for c in [*group, "_range"]]
-    rows = ranged.join(targets, condition).select(
-        *[ranged[c] for c in [*group, "_range", "_v", "_c"]], "_before", "_total", "_targets"
-    )
+    rows = join_null_safe(ranged, targets, [*group, "_range"], "inner")
     running = W.partitionBy(*group, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     hits = (
         rows.withColumn("_end", F.col("_before") + F.sum("_c").over(running))

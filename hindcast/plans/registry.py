@@ -33,14 +33,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round doubles and widen integers so that both engines print the same values."""
+def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
+    """Round doubles and widen integers so that both engines print the same values.
+
+    ``special`` sets the digits of single columns; ratios get more, so that short decimals never end
+    halfway between two rounded values.
+    """
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         kind = field.dataType.typeName()
         if kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c, special.get(field.name, digits)) + F.lit(0.0)
         elif kind in ("integer", "short", "byte"):
             c = c.cast("bigint")
         out.append(c.alias(field.name))

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = 8, app: str = "hindcast") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs more than the analysis itself for plans with hundreds of columns.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
