@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None) -> D
         facts = facts.withColumn("feature_transform", F.coalesce("feature_transform", F.lit("identity")))
     facts = facts.dropna(subset=keys)
 
-    def same_direction(*partition: str) -> F.Column:
+    def same_direction(*partition: str) -> Column:
         w = W.partitionBy("config_id", *partition).orderBy("as_of_date")
         moved = F.signum(F.col("actual") - F.lag("actual").over(w))
         expected = F.signum(F.col("prediction") - F.lag("prediction").over(w))
