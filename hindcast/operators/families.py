@@ -182,15 +182,15 @@ def regime_metadata(features: Column, as_of: Column | None = None, fragments: li
 
 
 def feature_sets(
-    spark: SparkSession, families: dict[str, list[str]], modes: list[str], policies: list[str], transforms: list[str],
-    experiment_id: str, fragments: list[str] | None = None,
+    families: DataFrame, modes: list[str], policies: list[str], transforms: list[str], experiment_id: str,
+    fragments: list[str] | None = None,
 ) -> DataFrame:
-    """Feature-set dimension: ids, digests and includes_* flags."""
+    """Feature-set dimension: ids, digests and includes_* flags (B20) from (family, position, feature) rows."""
 
     def options(values: list[str]) -> Column:
         return F.explode(F.array(*[F.lit(v) for v in values]))
 
-    lists = families_frame(spark, families).groupBy("feature_family_name").agg(
+    lists = families.groupBy("feature_family_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "feature"))), lambda e: e["feature"]).alias("f")
     )
     grid = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.constants import MODEL_TYPES_BY_FAMILY
@@ -34,21 +34,29 @@ def _options(values: list[str]) -> Column:
 
 
 def expand_grid(
-    spark: SparkSession, models: list[tuple[str, dict]], families: list[str], modes: list[str], policies: list[str], transforms: list[str]
+    families: DataFrame, models: list[tuple[str, dict]], modes: list[str], policies: list[str], transforms: list[str]
 ) -> DataFrame:
     """Every distinct configuration (B1, J13); the baseline appears once.
 
-    The axes are declared lists, so the expansion is a chain of explodes, not a join of tables.
+    ``families`` has one row per ``feature_family_name``. The other axes are declared lists, so the
+    expansion is a chain of explodes on those rows, not a join of tables.
     """
-    rows = [(t, {k: str(v) for k, v in p.items()}) for t, p in models]
-    base = spark.createDataFrame(rows, "model_type string, params map<string,string>")
-    baseline = base.where(F.col("model_type") == "naive").select(
-        "model_type", "params", F.lit("raw").alias("mode"), F.lit(BASELINE_FAMILY).alias("feature_family_name"),
-        F.lit("none").alias("feature_policy"), F.lit("identity").alias("feature_transform"),
-    )
+
+    def typed(pairs: list[tuple[str, dict]]) -> Column:
+        items = [
+            F.struct(
+                F.lit(t).alias("model_type"),
+                F.create_map(*[F.lit(x) for k, v in p.items() for x in (k, str(v))]).cast("map<string,string>").alias("params"),
+            )
+            for t, p in pairs
+        ]
+        return F.explode(F.array(*items))
+
+    columns = ["model_type", "params", "mode", "feature_family_name", "feature_policy", "feature_transform"]
+    fitted = [m for m in models if m[0] != "naive"]
     grid = (
-        base.where(F.col("model_type") != "naive").withColumn("mode", _options(modes))
-        .withColumn("feature_family_name", _options(families)).withColumn("feature_policy", _options(policies))
+        families.select("feature_family_name").distinct().select("feature_family_name", typed(fitted).alias("m"))
+        .select("feature_family_name", "m.*").withColumn("mode", _options(modes)).withColumn("feature_policy", _options(policies))
         .withColumn("feature_transform", _options(transforms))
         .withColumns(
             {
@@ -56,9 +64,19 @@ def expand_grid(
                 "feature_transform": effective_transform(F.col("model_type"), F.col("feature_transform")),
             }
         )
-    )
-    whole = baseline.unionByName(grid.select(*baseline.columns))
-    named = whole.withColumn(
+    ).select(*columns)
+    baselines = [m for m in models if m[0] == "naive"]
+    if baselines:
+        once = families.sparkSession.range(1).select(typed(baselines).alias("m")).select("m.*").withColumns(
+            {
+                "mode": F.lit("raw"),
+                "feature_family_name": F.lit(BASELINE_FAMILY),
+                "feature_policy": F.lit("none"),
+                "feature_transform": F.lit("identity"),
+            }
+        )
+        grid = grid.unionByName(once.select(*columns))
+    named = grid.withColumn(
         "config_id", config_id("model_type", "mode", "feature_family_name", F.col("params"), "feature_policy", "feature_transform")
     )
     return named.dropDuplicates(["config_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder next to the checkpoints, on storage every executor reaches."""
+    return f"{ensure_checkpoint_dir(spark)}/hindcast-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder so that several consumers share one computation.
 
