@@ -41,6 +41,13 @@ def signed_log1p(value: Column | str) -> Column:
     return F.signum(c) * F.log1p(F.abs(c))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pairwise-complete Pearson correlation as an aggregate; NULL, not an error, if a side is constant."""
+    a, b = as_col(x).cast("double"), as_col(y).cast("double")
+    left, right = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(left, right), F.stddev_pop(left) * F.stddev_pop(right))
+
+
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
     if low is not None:
         value = F.greatest(value, F.lit(low))
@@ -91,6 +98,12 @@ def params_map(json_text: Column | str) -> Column:
     return F.coalesce(parsed, F.from_json(F.lit("{}"), "map<string,string>"))
 
 
+def shown_value(value: Column) -> Column:
+    """Parameter text as it is displayed: spaced lists, capitalised booleans, None for null."""
+    text = F.when(value.startswith("["), F.regexp_replace(value, ",(?! )", ", ")).otherwise(value)
+    return F.when(value.isin("true", "false"), F.initcap(value)).when(value.isNull(), "None").otherwise(text)
+
+
 def number_param(params: Column, name: str, default: float) -> Column:
     return F.coalesce(to_number(F.try_element_at(params, F.lit(name))), F.lit(float(default)))
 
@@ -105,7 +118,7 @@ def params_display(json_text: Column | str) -> Column:
     raw = as_col(json_text)
     parsed = F.from_json(raw, "map<string,string>")
     pairs = F.transform(
-        F.array_sort(F.map_entries(parsed)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+        F.array_sort(F.map_entries(parsed)), lambda e: F.concat(e["key"], F.lit("="), shown_value(e["value"]))
     )
     return (
         F.when(raw.isNull() | raw.isin("", "{}"), F.lit("N/A"))
@@ -126,7 +139,7 @@ def params_short(json_text: Column | str, limit: int = 4) -> Column:
     ordered = F.concat(known, rest)
     shown = F.transform(
         F.slice(ordered, 1, limit),
-        lambda k: F.concat(F.coalesce(F.try_element_at(aliases, k), k), F.lit("="), F.try_element_at(params, k)),
+        lambda k: F.concat(F.coalesce(F.try_element_at(aliases, k), k), F.lit("="), shown_value(F.try_element_at(params, k))),
     )
     shown = F.when(F.size(ordered) > limit, F.concat(shown, F.array(F.lit("...")))).otherwise(shown)
     return F.when(F.size(keys) == 0, F.lit("params: none")).otherwise(F.array_join(shown, ", "))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hindcast.functions.calendar import month_floor
+from hindcast.functions.scalar import correlation
 from hindcast.operators.distribution import exact_quantiles, unpivot_numbers
 from hindcast.operators.panel import series_window
 
@@ -186,15 +187,14 @@ def pearson_pairs(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
                 F.struct(
                     F.lit(a).alias("a"),
                     F.lit(b).alias("b"),
-                    F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"),
+                    correlation(a, b).alias("r"),
                     F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"),
                 )
                 for a, b in _pairs(columns)
             ]
         ).alias("_pairs")
     )
-    r = F.when(~F.isnan("p.r"), F.col("p.r"))
-    return stats.select(*keys, F.explode("_pairs").alias("p")).select(*keys, "p.a", "p.b", r.alias("pearson"), "p.n")
+    return stats.select(*keys, F.explode("_pairs").alias("p")).select(*keys, "p.a", "p.b", F.col("p.r").alias("pearson"), "p.n")
 
 
 def average_rank(value: Column, partition: list[Column]) -> Column:
@@ -217,8 +217,7 @@ def spearman_pairs(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     long = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     group = [F.col(c) for c in [*keys, "a", "b"]]
     ranks = long.withColumns({"rx": average_rank(F.col("x"), group), "ry": average_rank(F.col("y"), group)})
-    r = F.corr("rx", "ry")
-    return ranks.groupBy(*keys, "a", "b").agg(F.when(~F.isnan(r), r).alias("spearman"))
+    return ranks.groupBy(*keys, "a", "b").agg(correlation("rx", "ry").alias("spearman"))
 
 
 def correlation_comparison(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -274,7 +273,7 @@ def lagged_correlations(df: DataFrame, keys: list[str], target: str, predictors:
                 F.struct(
                     F.lit(p).alias("predictor"),
                     F.lit(k).alias("lag_months"),
-                    F.corr(target, f"{p}_{k}").alias("correlation"),
+                    correlation(target, f"{p}_{k}").alias("correlation"),
                     F.count(F.when(F.col(target).isNotNull() & F.col(f"{p}_{k}").isNotNull(), 1)).alias("n"),
                 )
                 for p in predictors
@@ -282,8 +281,7 @@ def lagged_correlations(df: DataFrame, keys: list[str], target: str, predictors:
             ]
         ).alias("_s")
     )
-    out = stats.select(*keys, F.explode("_s").alias("s")).select(*keys, "s.*").where(F.col("n") > min_rows)
-    return out.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+    return stats.select(*keys, F.explode("_s").alias("s")).select(*keys, "s.*").where(F.col("n") > min_rows)
 
 
 def residuals(df: DataFrame, keys: list[str], columns: list[str], min_values: int = 24) -> DataFrame:
@@ -320,7 +318,7 @@ def target_correlations(df: DataFrame, features: list[str], target: str, categor
             *[
                 F.struct(
                     F.lit(c).alias("feature"),
-                    F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias("corr_with_target"),
+                    correlation(c, target).alias("corr_with_target"),
                     F.count(c).alias("n"),
                     (F.max(c) > F.min(c)).alias("varied"),
                 )

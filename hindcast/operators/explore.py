@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hindcast.constants import BASELINE_BUILDS, BASELINE_FAMILIES, BUILD_ORDER, EVALUATION_PERIODS, FAMILY_ORDER, RANK_METRICS
 from hindcast.functions.calendar import months_apart
-from hindcast.functions.scalar import params_display, params_map, params_short, row_max, row_mean, row_min, safe_ratio, to_number
+from hindcast.functions.scalar import params_display, params_map, params_short, row_max, row_mean, row_min, safe_ratio, shown_value, to_number
 from hindcast.operators.distribution import exact_quantiles, join_null_safe, quantile_columns, ranked, unpivot_numbers
 from hindcast.session import materialize
 
@@ -443,7 +443,7 @@ def parameter_long(df: DataFrame, key: str = "model_config_id", column: str = "h
     return rows.select(
         key,
         F.concat(F.lit("hp_"), name).alias("name"),
-        F.col("raw_value").alias("value"),
+        shown_value(F.col("raw_value")).alias("value"),
         to_number("raw_value").alias("number"),
         F.get(numbers, F.lit(0)).alias("first"),
         F.when(F.size(numbers) > 0, F.aggregate(numbers, F.lit(0.0), lambda t, v: t + v)).alias("total"),

@@ -30,38 +30,75 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None) -> D
         expected = F.signum(F.col("prediction") - F.lag("prediction").over(w))
         return (moved == expected).cast("int")
 
-    facts = facts.withColumns({"_hit_all": same_direction(), "_hit_period": same_direction("evaluation_period")})
-    scoped = facts.withColumn(
-        "_s",
-        F.explode(
-            F.array(
-                F.struct(F.lit("overall").alias("scope"), F.col("_hit_all").alias("hit")),
-                F.struct(F.col("evaluation_period").alias("scope"), F.col("_hit_period").alias("hit")),
-            )
-        ),
-    ).withColumn("evaluation_scope", F.col("_s.scope"))
-    naive_gap = F.abs(F.col("seasonal_naive_prediction") - F.col("actual"))
-    gap = F.abs(F.col("prediction") - F.col("actual"))
+    # Sums around the first actual value: any shift gives the same variance, this one keeps it accurate.
+    first = F.first("actual").over(W.partitionBy("config_id").orderBy("as_of_date"))
+    facts = facts.withColumns(
+        {
+            "_hit_all": same_direction(),
+            "_hit_period": same_direction("evaluation_period"),
+            "_a": F.col("actual") - first,
+            "_gap": F.abs(F.col("prediction") - F.col("actual")),
+            "_naive": F.abs(F.col("seasonal_naive_prediction") - F.col("actual")),
+        }
+    )
     constants = [c for c in ["experiment_id", "pipeline_run_id", "target", "horizon"] if c in predictions.columns]
-    sums = scoped.groupBy(*keys, "evaluation_scope").agg(
+    measures = {
+        "evaluation_start_date": (F.min, F.col("target_date")),
+        "evaluation_end_date": (F.max, F.col("target_date")),
+        "n_features": (F.max, F.col("n_features")),
+        "_low": (F.min, F.col("actual")),
+        "_high": (F.max, F.col("actual")),
+        "n_predictions": (F.sum, F.lit(1)),
+        "_gaps": (F.sum, F.col("_gap")),
+        "_sse": (F.sum, F.col("_gap") * F.col("_gap")),
+        "_naive_gaps": (F.sum, F.col("_naive")),
+        "_naive_sse": (F.sum, F.col("_naive") * F.col("_naive")),
+        "_a1": (F.sum, F.col("_a")),
+        "_a2": (F.sum, F.col("_a") * F.col("_a")),
+        "total_train_seconds": (F.sum, F.col("train_seconds")),
+        "_timed": (F.sum, F.col("train_seconds").isNotNull().cast("int")),
+    }
+    hits = {"_hits": F.sum, "_moves": F.sum}
+    # First per period, then periods are added up to "overall": the rows are not duplicated.
+    periods = facts.groupBy(*keys, "evaluation_period").agg(
         *[F.first(c).alias(c) for c in constants],
-        F.min("target_date").alias("evaluation_start_date"),
-        F.max("target_date").alias("evaluation_end_date"),
-        F.count(F.lit(1)).alias("n_predictions"),
-        F.max("n_features").cast("bigint").alias("n_features"),
-        F.avg(gap).alias("mae"),
-        F.sqrt(F.avg(gap * gap)).alias("rmse"),
-        F.avg(naive_gap).alias("mae_naive"),
-        F.sqrt(F.avg(naive_gap * naive_gap)).alias("rmse_naive"),
-        F.sum(gap * gap).alias("_sse"),
-        (F.var_pop("actual") * F.count("actual")).alias("_sst"),
-        (F.max("actual") == F.min("actual")).alias("_constant"),
-        F.avg("_s.hit").alias("diracc"),
-        F.avg("train_seconds").alias("avg_train_seconds"),
-        F.sum("train_seconds").alias("total_train_seconds"),
+        *[how(c).alias(n) for n, (how, c) in measures.items()],
+        *[
+            F.struct(F.sum(h).alias("_hits"), F.count(h).alias("_moves")).alias(f"{h}s")
+            for h in ("_hit_all", "_hit_period")
+        ],
+    )
+    scope = F.explode(
+        F.array(
+            F.struct(F.lit("overall").alias("scope"), F.col("_hit_alls").alias("h")),
+            F.struct(F.col("evaluation_period").alias("scope"), F.col("_hit_periods").alias("h")),
+        )
+    )
+    sums = (
+        periods.withColumn("_s", scope).select("*", F.col("_s.scope").alias("evaluation_scope"), "_s.h.*")
+        .groupBy(*keys, "evaluation_scope")
+        .agg(
+            *[F.first(c).alias(c) for c in constants],
+            *[how(n).alias(n) for n, (how, _) in measures.items()],
+            *[how(n).alias(n) for n, how in hits.items()],
+        )
+    )
+    count = F.col("n_predictions")
+    sums = sums.withColumns(
+        {
+            "n_features": F.col("n_features").cast("bigint"),
+            "mae": F.col("_gaps") / count,
+            "rmse": F.sqrt(F.col("_sse") / count),
+            "mae_naive": F.col("_naive_gaps") / count,
+            "rmse_naive": F.sqrt(F.col("_naive_sse") / count),
+            "_sst": F.col("_a2") - F.col("_a1") * F.col("_a1") / count,
+            "_constant": F.col("_high") == F.col("_low"),
+            "diracc": F.try_divide("_hits", "_moves"),
+            "avg_train_seconds": F.try_divide("total_train_seconds", "_timed"),
+        }
     )
     perfect = F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)
-    r2 = F.when(F.col("n_predictions") > 1, F.when(F.col("_constant"), perfect).otherwise(1 - F.col("_sse") / F.col("_sst")))
+    r2 = F.when(F.col("n_predictions") > 1, F.when(F.col("_constant"), perfect).otherwise(1 - F.try_divide("_sse", "_sst")))
     n, p = F.col("n_predictions"), F.col("n_features")
     adjusted = F.when(
         (F.col("model_family") == "linear") & (n > p + 1), 1 - F.try_divide((1 - F.col("r2")) * (n - 1), n - p - 1)
@@ -78,7 +115,7 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None) -> D
             }
         )
         .withColumn("selection_score", F.col("selection_score_balanced"))
-        .drop("_sse", "_sst", "_constant")
+        .drop(*[c for c in sums.columns if c.startswith("_")])
     )
 
 

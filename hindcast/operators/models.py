@@ -119,6 +119,9 @@ def backtest_linear(
         ready = ready.withColumn("mask", F.flatten(F.array_repeat(F.col("mask"), len(features) // base_features)))
     asked = panel.where(evaluated).withColumn("fit_date", fit_on)
     needed = asked.select(*model_keys, F.col("fit_date").alias("date")).distinct()
+    if model_keys:
+        # One model per key: keep the fits spread out. A pooled model has at most one row per month.
+        needed = needed.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), *model_keys, "date")
     fits = fit_linear(ready.join(needed, [*model_keys, "date"], "left_semi"), model_keys, len(features), configs)
     described = F.array(
         *[
@@ -136,7 +139,10 @@ def backtest_linear(
     )
     x = F.array(*[F.col(c).cast("double") for c in features])
     rows = asked.where(F.forall(x, lambda v: v.isNotNull())).withColumn("_x", x)
-    joined = rows.join(fits.withColumnRenamed("date", "fit_date"), [*model_keys, "fit_date"])
+    fitted = fits.withColumnRenamed("date", "fit_date")
+    # Pooled fits are bounded by months x configurations, so they travel to the rows; the rows of one
+    # month never meet in one task.
+    joined = rows.join(fitted if model_keys else F.broadcast(fitted), [*model_keys, "fit_date"])
     dot = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
     chosen = joined.withColumn("_d", F.get(described, F.col("config")))
     predictions = chosen.select(

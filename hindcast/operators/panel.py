@@ -37,6 +37,17 @@ def to_monthly(df: DataFrame, keys: list[str], date: Column | str, measures: dic
     )
 
 
+def by_series(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by series into the session's shuffle partitions.
+
+    A fixed number keeps adaptive execution from merging partitions by their size here: rows are few and
+    small at this point, but the spine, features and forecasts made from them are not.
+    """
+    if not keys:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def on_spine(monthly: DataFrame, keys: list[str], bounds: str = "global", fill: dict | None = None) -> DataFrame:
     """Give every series a row for every month; months without data get NULL measures.
 
@@ -46,7 +57,8 @@ def on_spine(monthly: DataFrame, keys: list[str], bounds: str = "global", fill:
     table) or "series" (of the series itself).
     """
     measures = [c for c in monthly.columns if c not in [*keys, "date"]]
-    gathered = monthly.groupBy(*keys).agg(
+    spread_out = by_series(monthly, keys)
+    gathered = spread_out.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("date", F.struct(*measures)))).alias("_months"),
         F.min("date").alias("_low"),
         F.max("date").alias("_high"),

@@ -179,10 +179,10 @@ METRIC_OUT = [
 
 @query("backtest_metrics", "A2 A3 A4 A5 W21", with_ctes("ranked", f"""
 SELECT config_id, evaluation_scope, evaluation_start_date, evaluation_end_date, n_predictions, n_features, rank,
-       {', '.join(r4(m, m) for m in METRIC_OUT)} FROM ranked"""))
+       {', '.join(r4(m, m, 6) for m in METRIC_OUT)} FROM ranked"""))
 def backtest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     out = mt.rank_metrics(metrics(spark, folder))
-    return rounded(out.select("config_id", "evaluation_scope", "evaluation_start_date", "evaluation_end_date", "n_predictions", "n_features", "rank", *METRIC_OUT))
+    return rounded(out.select("config_id", "evaluation_scope", "evaluation_start_date", "evaluation_end_date", "n_predictions", "n_features", "rank", *METRIC_OUT), 6)
 
 
 @query("champion", "T5", with_ctes("metrics", f"""
@@ -216,10 +216,10 @@ BOARD_OUT = ["mae", "rmse", "r2", "diracc", "selection_score"] + [f"{p}_{m}" for
 
 
 @query("leaderboard_wide", "V1 V2 J6 W22", with_ctes("board", f"""
-SELECT config_id, model_family, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank, n_predictions, {', '.join(r4(m, m) for m in BOARD_OUT)} FROM board"""))
+SELECT config_id, model_family, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank, n_predictions, {', '.join(r4(m, m, 6) for m in BOARD_OUT)} FROM board"""))
 def leaderboard_wide(spark: SparkSession, folder: str) -> DataFrame:
     out = lb.rank_leaderboard(board(spark, folder))
-    return rounded(out.select("config_id", "model_family", "rank", "n_predictions", *BOARD_OUT))
+    return rounded(out.select("config_id", "model_family", "rank", "n_predictions", *BOARD_OUT), 6)
 
 
 @query("enriched_scores", "A5 V2", with_ctes("board", f"""
@@ -277,7 +277,7 @@ def profile(spark: SparkSession, folder: str, with_metrics: bool = False) -> Dat
 SELECT s.config_id, n_input_features, {r4('n_selected_features', 'n_selected_features', 3)}, min_selected_features, max_selected_features, model_run_count, refit_count,
        {r4('s.avg_train_seconds', 'avg_train_seconds')}, {r4('avg_n_train', 'avg_n_train')}, {r4('feature_reduction_ratio', 'feature_reduction_ratio')},
        {r4('size', 'model_size_proxy')}, {r4('complexity_score', 'complexity_score', 3)}, {r4('compute_score', 'compute_score', 3)},
-       {r4('interpretability_score', 'interpretability_score', 3)}, {r4('m.mae', 'overall_mae')}
+       {r4('interpretability_score', 'interpretability_score', 3)}, {r4('m.mae', 'overall_mae', 6)}
 FROM scored s LEFT JOIN (SELECT config_id, mae FROM metrics WHERE evaluation_scope = 'overall') m USING (config_id)"""))
 def complexity_profile(spark: SparkSession, folder: str) -> DataFrame:
     out = profile(spark, folder, True)
@@ -286,7 +286,8 @@ def complexity_profile(spark: SparkSession, folder: str) -> DataFrame:
             "config_id", "n_input_features", "n_selected_features", "min_selected_features", "max_selected_features", "model_run_count",
             "refit_count", "avg_train_seconds", "avg_n_train", "feature_reduction_ratio", "model_size_proxy", "complexity_score",
             "compute_score", "interpretability_score", "overall_mae",
-        )
+        ),
+        overall_mae=6,
     )
 
 
@@ -371,11 +372,11 @@ def overview_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("recombined", "U1 U5 S11", with_ctes("metrics", f"""
-SELECT config_id, evaluation_scope, n_predictions, {r4('mae', 'mae')} FROM metrics"""))
+SELECT config_id, evaluation_scope, n_predictions, {r4('mae', 'mae', 6)} FROM metrics"""))
 def recombined(spark: SparkSession, folder: str) -> DataFrame:
     """Two halves of an experiment, one without an optional column, united and measured again."""
     facts = fx.predictions(spark, folder)
     linear = facts.where(F.col("model_family").isin("linear", "baseline")).withColumn("source_model_config_id", F.lit("seed"))
     other = facts.where(~F.col("model_family").isin("linear", "baseline"))
     out = lb.recombine([linear, other], [linear, other])["metrics"]
-    return rounded(out.select("config_id", "evaluation_scope", "n_predictions", "mae"))
+    return rounded(out.select("config_id", "evaluation_scope", "n_predictions", "mae"), 6)

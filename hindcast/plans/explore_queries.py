@@ -82,10 +82,10 @@ SELECT config_id, '#' || row_number() OVER (ORDER BY selection_score_balanced, m
        || ' | ' || feature_transform_label || ' | ' || params AS label, shown AS hyperparameters
 FROM (SELECT *, CASE model_type WHEN 'naive' THEN 'params: none' WHEN 'ridge' THEN 'alpha=1.0' WHEN 'lasso' THEN 'alpha=100.0, max_iter=5000'
              WHEN 'random_forest' THEN 'n=200, depth=4' WHEN 'xgboost' THEN 'n=500, depth=3, colsample_bytree=0.8'
-             ELSE 'dense_head_sizes=[16,8], hidden_size=32, num_layers=2' END AS params,
+             ELSE 'dense_head_sizes=[16, 8], hidden_size=32, num_layers=2' END AS params,
              CASE model_type WHEN 'naive' THEN 'N/A' WHEN 'ridge' THEN 'alpha=1.0' WHEN 'lasso' THEN 'alpha=100.0, max_iter=5000'
              WHEN 'random_forest' THEN 'max_depth=4, n_estimators=200' WHEN 'xgboost' THEN 'colsample_bytree=0.8, max_depth=3, n_estimators=500'
-             ELSE 'dense_head_sizes=[16,8], hidden_size=32, num_layers=2' END AS shown FROM labelled)"""))
+             ELSE 'dense_head_sizes=[16, 8], hidden_size=32, num_layers=2' END AS shown FROM labelled)"""))
 def model_labels(spark: SparkSession, folder: str) -> DataFrame:
     ranked = ex.rank_by(labelled(spark, folder), "Balanced score")
     parts = F.split(ex.model_label("Balanced score"), r" \| ")
@@ -94,10 +94,10 @@ def model_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("metric_tables", "P22", with_ctes("labelled", f"""
-SELECT row_number() OVER (ORDER BY rmse, model_config_id) AS rank, model_build_label, feature_family_name, mode, {r4('mae', 'mae')}, {r4('recent_rmse', 'recent_rmse')} FROM labelled"""))
+SELECT row_number() OVER (ORDER BY rmse, model_config_id) AS rank, model_build_label, feature_family_name, mode, {r4('mae', 'mae', 6)}, {r4('recent_rmse', 'recent_rmse', 6)} FROM labelled"""))
 def metric_tables(spark: SparkSession, folder: str) -> DataFrame:
     table = ex.metric_table(ex.rank_by(labelled(spark, folder), "RMSE"), "ranked")
-    return rounded(table.select("rank", "model_build_label", "feature_family_name", "mode", "mae", "recent_rmse"))
+    return rounded(table.select("rank", "model_build_label", "feature_family_name", "mode", "mae", "recent_rmse"), 6)
 
 
 @query("curated_rows", "T13", with_ctes("board", """
@@ -148,13 +148,13 @@ def explore_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("average_paths", "A11 J7", with_ctes("pred", f"""
-SELECT 'avg::' || model_build AS model_config_id, model_build, target_date, {r4('avg(prediction)', 'prediction')}, {r4('avg(seasonal_naive_prediction)', 'seasonal_naive_prediction')},
+SELECT 'avg::' || model_build AS model_config_id, model_build, target_date, {r4('avg(prediction)', 'prediction', 7)}, {r4('avg(seasonal_naive_prediction)', 'seasonal_naive_prediction', 7)},
        arg_min(actual, model_config_id) AS actual FROM pred GROUP BY model_family, model_build, target_date"""))
 def average_paths(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     models = with_taxonomy(facts.select("model_config_id", "model_family", "model_build", "model_type").distinct())
     out = ex.average_paths(facts, models)
-    return rounded(out.select("model_config_id", "model_build", "target_date", "prediction", "seasonal_naive_prediction", "actual"))
+    return rounded(out.select("model_config_id", "model_build", "target_date", "prediction", "seasonal_naive_prediction", "actual"), 7)
 
 
 @query("average_performance", "A12 W20", with_ctes("pred", f"""
@@ -271,7 +271,7 @@ SELECT b.model_config_id, v.name, v.value, v.number, v.first, v.total, v.largest
   ('lasso', 'hp_max_iter', '5000', 5000.0, NULL, NULL, NULL, NULL), ('random_forest', 'hp_max_depth', '4', 4.0, NULL, NULL, NULL, NULL),
   ('random_forest', 'hp_n_estimators', '200', 200.0, NULL, NULL, NULL, NULL), ('xgboost', 'hp_colsample_bytree', '0.8', 0.8, NULL, NULL, NULL, NULL),
   ('xgboost', 'hp_max_depth', '3', 3.0, NULL, NULL, NULL, NULL), ('xgboost', 'hp_n_estimators', '500', 500.0, NULL, NULL, NULL, NULL),
-  ('lstm', 'hp_dense_head_sizes', '[16,8]', NULL, 16.0, 24.0, 16.0, 2), ('lstm', 'hp_hidden_size', '32', 32.0, NULL, NULL, NULL, NULL),
+  ('lstm', 'hp_dense_head_sizes', '[16, 8]', NULL, 16.0, 24.0, 16.0, 2), ('lstm', 'hp_hidden_size', '32', 32.0, NULL, NULL, NULL, NULL),
   ('lstm', 'hp_num_layers', '2', 2.0, NULL, NULL, NULL, NULL)) v(model_type, name, value, number, first, total, largest, items) USING (model_type)
 """).replace("v.number, v.first, v.total, v.largest, v.items FROM", "CAST(v.number AS DOUBLE) AS number, CAST(v.first AS DOUBLE) AS first, CAST(v.total AS DOUBLE) AS total, CAST(v.largest AS DOUBLE) AS largest, CAST(v.items AS BIGINT) AS items FROM"))
 def parameter_rows(spark: SparkSession, folder: str) -> DataFrame:

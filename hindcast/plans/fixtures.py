@@ -47,18 +47,18 @@ def demand(spark: SparkSession, folder: str) -> DataFrame:
     return on_spine(monthly, ["series"])
 
 
-def supply(spark: SparkSession, folder: str) -> DataFrame:
+def supply(spark: SparkSession, folder: str, measures: tuple[str, ...] = ("y", "v", "n")) -> DataFrame:
+    """Only the named measures are read and carried along."""
+    made = {"y": F.sum("l_quantity"), "v": exact_sum("l_extendedprice"), "n": F.count(F.lit(1))}
+    empty = {"y": 0.0, "v": 0.0, "n": 0}
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "series")
-    monthly = to_monthly(
-        lines, ["series"], "l_shipdate",
-        {"y": F.sum("l_quantity"), "v": exact_sum("l_extendedprice"), "n": F.count(F.lit(1))},
-    )
-    return on_spine(monthly, ["series"], fill={"y": 0.0, "v": 0.0, "n": 0})
+    monthly = to_monthly(lines, ["series"], "l_shipdate", {m: made[m] for m in measures})
+    return on_spine(monthly, ["series"], fill={m: empty[m] for m in measures})
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     w = series_window(["series"])
-    frame = supply(spark, folder).withColumns(
+    frame = supply(spark, folder, ("y",)).withColumns(
         {
             "target_value": F.lead("y", HORIZON).over(w),
             "last1": F.lag("y", 1).over(w),

@@ -67,7 +67,7 @@ SELECT series, date, y,
 FROM supply"""))
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """The whole history recipe per supplier: one exchange by series, one sort, all windows on it."""
-    panel = fx.supply(spark, folder).drop("v", "n")
+    panel = fx.supply(spark, folder, ("y",))
     built = feat.build_features(panel, ["series"], "y", fx.HORIZON, regime=fx.REGIME, interaction_bases=["y_lag1"])
     return rounded(built.drop("month_num"))
 
@@ -118,7 +118,7 @@ SELECT series, date, coalesce(d, 0) AS d, {r4('coalesce(sign(d) * ln(1 + abs(d))
        coalesce(d * d, 0) AS d__pow2, coalesce(d * d * d, 0) AS d__pow3
 FROM (SELECT series, date, y - lag(y, 1) OVER ({WIN}) AS d FROM supply)"""))
 def feature_transforms(spark: SparkSession, folder: str) -> DataFrame:
-    change = fx.supply(spark, folder).select(
+    change = fx.supply(spark, folder, ("y",)).select(
         "series", "date", (F.col("y") - F.lag("y").over(series_window(["series"]))).alias("d")
     )
     return rounded(feat.transform_features(change, ["d"], "log_signed_quadratic_cubic"))
@@ -128,7 +128,7 @@ def feature_transforms(spark: SparkSession, folder: str) -> DataFrame:
 SELECT series, date, y, row_number() OVER ({WIN}) - 1 AS time_index_months
 FROM (SELECT *, row_number() OVER ({WIN}) AS rn FROM supply) WHERE rn > 16"""))
 def leading_trim(spark: SparkSession, folder: str) -> DataFrame:
-    trimmed = trim_leading(fx.supply(spark, folder).select("series", "date", "y"), ["series"], 16)
+    trimmed = trim_leading(fx.supply(spark, folder, ("y",)), ["series"], 16)
     return rounded(trimmed.withColumn("time_index_months", F.row_number().over(series_window(["series"])) - 1))
 
 
@@ -329,7 +329,7 @@ def annual_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("prior_year_context", "W23 J4", with_ctes("annual_ext", f"""
 SELECT series, CAST(m.d AS DATE) AS date, CAST(year AS BIGINT) AS reference_year, reference_method,
-       {r4('income', 'income_prior_year', 2)}, {r4('income / 12', 'monthly_income_prior_year', 2)},
+       {r4('income', 'income_prior_year', 4)}, {r4('income / 12', 'monthly_income_prior_year', 4)},
        {r4('yoy', 'income_yoy_pct_prior_year')}, {r4('two', 'income_2yr_pct_prior_year')}
 FROM (SELECT *, (income - lag(income) OVER w) / nullif(lag(income) OVER w, 0) AS yoy,
              (income - lag(income, 2) OVER w) / nullif(lag(income, 2) OVER w, 0) AS two
@@ -338,8 +338,7 @@ JOIN (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2004-06-01', INTERV
 def prior_year_context(spark: SparkSession, folder: str) -> DataFrame:
     extended = feat.project_annual(annual_value(spark, folder), ["series"], "income", 2004)
     built = feat.prior_year_context(extended, ["series"], "income", "1996-01-01", "2004-06-01")
-    money = ["income_prior_year", "monthly_income_prior_year"]
-    return rounded(built.withColumns({c: F.round(c, 2) for c in money}))
+    return rounded(built)
 
 
 @query("target_by_date", "J5", with_ctes("demand_obs", """
@@ -394,6 +393,6 @@ FROM (SELECT series, month(date) AS month, max(y) FILTER (WHERE year(date) = 199
       FROM supply WHERE month(date) BETWEEN 9 AND 11 GROUP BY 1, 2)"""))
 def event_compare(spark: SparkSession, folder: str) -> DataFrame:
     """Autumn months of two years side by side."""
-    autumn = fx.supply(spark, folder).where(F.month("date").between(9, 11))
+    autumn = fx.supply(spark, folder, ("y",)).where(F.month("date").between(9, 11))
     with_year = autumn.select("series", F.month("date").alias("month"), F.year("date").alias("year"), "y")
     return rounded(rs.pivot_years(with_year, ["series", "month"], "year", [1998, 2000], "y"))

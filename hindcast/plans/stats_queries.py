@@ -71,7 +71,7 @@ UNION ALL SELECT 'months_since_event', round(avg(m), 4) + 0.0, min(m), max(m) FR
          CASE WHEN date >= DATE '1999-01-01' THEN (year(date) - 1999) * 12 + month(date) - 1 ELSE 0 END AS m FROM supply)
 SELECT 'event_active'"""))
 def flag_summary(spark: SparkSession, folder: str) -> DataFrame:
-    flags = fx.supply(spark, folder).withColumns(feat.regime_columns(**fx.REGIME))
+    flags = fx.supply(spark, folder, ("y",)).withColumns(feat.regime_columns(**fx.REGIME))
     return rounded(eda.flag_summary(flags, ["event_active", "months_since_event"]))
 
 
@@ -86,7 +86,7 @@ cte("mom", "supply", """
 SELECT series, variable, month(date) AS month_num, {r4('avg(value)', 'avg_mom_pct')}, {r4('median(value)', 'median_mom_pct')}, {r4('avg(value) - median(value)', 'mean_minus_median')}
 FROM mom WHERE date <= DATE '1998-12-01' GROUP BY 1, 2, 3"""))
 def change_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    changes = eda.monthly_changes(fx.supply(spark, folder), ["series"], ["y", "v"], "1998-12-01")
+    changes = eda.monthly_changes(fx.supply(spark, folder, ("y", "v")), ["series"], ["y", "v"], "1998-12-01")
     return rounded(eda.change_by_month(changes, ["series"]))
 
 
@@ -94,7 +94,7 @@ def change_by_month(spark: SparkSession, folder: str) -> DataFrame:
 SELECT series, variable, month(date) AS month_num, monthname(min(date)) AS month, {r4('avg(value)', 'avg_mom_pct')}
 FROM mom WHERE date <= DATE '1998-12-01' GROUP BY 1, 2, 3 HAVING abs(avg(value)) > 2"""))
 def change_callouts(spark: SparkSession, folder: str) -> DataFrame:
-    changes = eda.monthly_changes(fx.supply(spark, folder), ["series"], ["y", "v"], "1998-12-01")
+    changes = eda.monthly_changes(fx.supply(spark, folder, ("y", "v")), ["series"], ["y", "v"], "1998-12-01")
     out = eda.change_callouts(eda.change_by_month(changes, ["series"]))
     return rounded(out.select("series", "variable", "month_num", "month", "avg_mom_pct"))
 
@@ -153,7 +153,7 @@ def transform_comparison(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT series, 'v' AS predictor, {k} AS lag_months, {r4('corr(y, x)', 'correlation')}, count(*) AS n FROM (SELECT series, y, lag(v, {k}) OVER ({WIN}) AS x FROM supply) WHERE x IS NOT NULL GROUP BY 1"
     for k in range(13)) + ") WHERE n > 20"))
 def lagged_correlations(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(eda.lagged_correlations(fx.supply(spark, folder), ["series"], "y", ["v"]))
+    return rounded(eda.lagged_correlations(fx.supply(spark, folder, ("y", "v")), ["series"], "y", ["v"]))
 
 
 @query("residualise", "E5", with_ctes("supply", f"""
@@ -162,7 +162,7 @@ SELECT series, date, {r4('yc - slope * tc', 'y')} FROM (
     SELECT series, date, y - avg(y) OVER m AS yc, t - avg(t) OVER m AS tc FROM (SELECT *, CAST(row_number() OVER ({WIN}) - 1 AS DOUBLE) AS t FROM supply)
     WINDOW m AS (PARTITION BY series, month(date))))"""))
 def residualise(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(eda.residuals(fx.supply(spark, folder), ["series"], ["y"]))
+    return rounded(eda.residuals(fx.supply(spark, folder, ("y",)), ["series"], ["y"]))
 
 
 FEATURES = ["y_lag1", "y_lag2", "y_lag12", "y_rollmean_3", "y_rollstd_3", "y_yoy_diff"]
@@ -172,7 +172,7 @@ def feature_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Supplier panel with a handful of history features, target and seasonal baseline."""
     w = series_window(["series"])
     spec = feat.LagSpec(["y"], lags=[1, 2, 12], rolling=[3])
-    return fx.supply(spark, folder).select(
+    return fx.supply(spark, folder, ("y",)).select(
         "series", "date", "y", *[c.alias(n) for n, c in feat.lag_columns(spec, w).items()],
         F.lead("y", 3).over(w).alias("target"), F.lag("y", 9).over(w).alias("baseline"),
     )
@@ -470,7 +470,7 @@ def boosted_backtest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sequence_components", "B22 W25")
 def sequence_components(spark: SparkSession, folder: str) -> DataFrame:
-    samples = materialize(feat.sequence_samples(fx.supply(spark, folder), ["series"], ["y", "v"], 12))
+    samples = materialize(feat.sequence_samples(fx.supply(spark, folder, ("y", "v")), ["series"], ["y", "v"], 12))
     train = F.col("date") < F.lit("2000-01-01").cast("date")
     shown = md.sequence_representation(samples, train, components=None)
     return shown.select("series", "date", F.size("representation").cast("bigint").alias("components"), F.round(F.get("representation", F.lit(0)), 6).alias("first"))
