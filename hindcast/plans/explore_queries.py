@@ -14,7 +14,6 @@ from hindcast.operators.reshape import build_label, with_taxonomy
 from hindcast.plans import fixtures as fx
 from hindcast.plans.experiment_queries import LABELS, board, labelled, profile
 from hindcast.plans.registry import cte, query, r4, rounded, with_ctes
-from hindcast.session import materialize
 
 BUILDS = "model_family, model_build, model_build_label"
 
@@ -201,12 +200,12 @@ SELECT {group}, count(DISTINCT config_id) AS configurations, {r4('min(selection_
 
 @query("build_summary", "A14", with_ctes("labelled", _summary_sql(BUILDS)))
 def build_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ex.group_summary(materialize(labelled(spark, folder)), ex.BUILD_KEYS))
+    return rounded(ex.group_summary(labelled(spark, folder), ex.BUILD_KEYS))
 
 
 @query("policy_summary", "A14 A15", with_ctes("labelled", _summary_sql("model_build_label, feature_policy")))
 def policy_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ex.group_summary(materialize(labelled(spark, folder)), ["model_build_label", "feature_policy"]))
+    return rounded(ex.group_summary(labelled(spark, folder), ["model_build_label", "feature_policy"]))
 
 
 @query("scope_counts", "A15", with_ctes("pred", """
@@ -219,7 +218,7 @@ def scope_counts(spark: SparkSession, folder: str) -> DataFrame:
 SELECT '{p}' AS period, {r4(f'min({p}_mae)', 'best_mae')}, {r4(f'median({p}_mae)', 'median_mae')}, {r4(f'min({p}_rmse)', 'best_rmse')}, {r4(f'median({p}_rmse)', 'median_rmse')},
        {r4(f'(median({p}_mae) - min({p}_mae)) / median({p}_mae)', 'best_vs_median_improvement')} FROM board""" for p in EVALUATION_PERIODS)))
 def period_difficulty(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ex.period_difficulty(materialize(board(spark, folder))))
+    return rounded(ex.period_difficulty(board(spark, folder)))
 
 
 _MAES = ", ".join(f"{p}_mae" for p in EVALUATION_PERIODS)
@@ -241,7 +240,7 @@ SELECT model_family, model_build, {LABELS} AS model_build_label, count(DISTINCT
 FROM scored GROUP BY 1, 2, 3"""))
 def operational_footprint(spark: SparkSession, folder: str) -> DataFrame:
     labelled_profile = profile(spark, folder).withColumn("model_build_label", build_label())
-    return rounded(ex.operational_footprint(materialize(labelled_profile)), compute_score=2, complexity_score=2)
+    return rounded(ex.operational_footprint(labelled_profile), compute_score=2, complexity_score=2)
 
 
 @query("sensitivity_bins", "A19", with_ctes("scored board", f"""
@@ -261,7 +260,7 @@ def sensitivity_bins(spark: SparkSession, folder: str) -> DataFrame:
 SELECT CASE model_type WHEN 'ridge' THEN '1.0' ELSE '100.0' END AS setting, count(*) AS configurations, {r4('min(mae)', 'best')}, {r4('median(mae)', 'median')}
 FROM labelled WHERE model_type IN ('ridge', 'lasso') GROUP BY 1"""))
 def sensitivity_values(spark: SparkSession, folder: str) -> DataFrame:
-    frame = ex.with_parameter_columns(materialize(labelled(spark, folder)), ["alpha", "hidden_size"])
+    frame = ex.with_parameter_columns(labelled(spark, folder), ["alpha", "hidden_size"])
     return rounded(ex.sensitivity_by_value(frame, "hp_alpha", "mae", True))
 
 

@@ -21,9 +21,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, id bigint, v double"), rows
 
 
-def test_ordinal_equals_sorting(skewed):
+@pytest.mark.parametrize("small", [False, True])
+def test_ordinal_equals_sorting(skewed, small):
     df, rows = skewed
-    got = {r.id: r["rank"] for r in ds.ranked(df, ["g"], "v", True, "id").collect()}
+    got = {r.id: r["rank"] for r in ds.ranked(df, ["g"], "v", True, "id", small=small).collect()}
     groups = {}
     for g, i, v in rows:
         if v is not None:
@@ -39,10 +40,11 @@ def test_global_descending_ordinal(skewed):
     assert got == expected
 
 
-def test_quantiles_are_exact(skewed):
+@pytest.mark.parametrize("small", [False, True])
+def test_quantiles_are_exact(skewed, small):
     df, rows = skewed
     points = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.quantile for r in ds.exact_quantiles(df, ["g"], "v", points).collect()}
+    got = {(r.g, r.p): r.quantile for r in ds.exact_quantiles(df, ["g"], "v", points, small).collect()}
     groups = {}
     for g, _, v in rows:
         if v is not None:
