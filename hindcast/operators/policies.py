@@ -16,6 +16,7 @@ from hindcast.constants import CORR_PRUNE_THRESHOLD, TREE_SELECTOR, VARIANCE_PRU
 from hindcast.functions.ids import json_string_list
 from hindcast.functions.scalar import finite_or_null
 from hindcast.operators.backtest import prefix_window
+from hindcast.operators.panel import series_frame
 
 
 def upper_pairs(size: int) -> list[tuple[int, int]]:
@@ -36,8 +37,11 @@ def prefix_moments(
         usable &= F.col(c).isNotNull()
     values = [F.when(usable, F.col(c).cast("double")) for c in columns]
     means = F.array(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in values])
-    if model_keys:
-        # Bounded: with model keys the mean is one row per model.
+    if one_row_per_month:
+        # Months of one series: the mean comes from the partition the running sums use anyway.
+        whole = series_frame(model_keys)
+        frame = panel.withColumn("shift", F.array(*[F.coalesce(F.avg(v).over(whole), F.lit(0.0)) for v in values]))
+    elif model_keys:
         shifts = panel.groupBy(*model_keys).agg(means.alias("shift"))
         frame = panel.join(shifts, model_keys)
     else:

@@ -223,7 +223,7 @@ def month_difference(spark: SparkSession, folder: str) -> DataFrame:
     from hindcast.functions.calendar import month_floor
 
     lines = table(spark, folder, "lineitem").select(month_floor("l_shipdate").alias("date"))
-    return lines.exceptAll(lines.limit(0)).distinct().subtract(table(spark, folder, "orders").select(month_floor("o_orderdate").alias("date")))
+    return lines.distinct().subtract(table(spark, folder, "orders").select(month_floor("o_orderdate").alias("date")))
 
 
 @query("first_last_best", "U2", """

@@ -23,19 +23,19 @@ def write_run(df: DataFrame, uri: str, run_id: str) -> int:
     return write_parquet(df, f"{uri}/run_id={run_id}")
 
 
-def write_by_build(df: DataFrame, uri: str, dataset: str, column: str = "model_build", key: str = "model_config_id", files: int = 1) -> DataFrame:
+def write_by_build(df: DataFrame, uri: str, dataset: str, column: str = "model_build", key: str = "model_config_id") -> DataFrame:
     """Hive-partitioned dataset with path-safe folders, and its manifest.
 
-    Rows are spread over ``files`` buckets per partition by configuration, so a build that holds a third
-    of all rows is written by several tasks.
+    The rebalance hint groups rows by partition value for few files, and lets adaptive execution split a
+    value that holds a large share of the rows over several tasks.
     """
     ids = {c: F.col(c).cast("string") for c in ("config_id", "model_config_id", "source_model_config_id") if c in df.columns}
     source = df.withColumns(ids)
     if column not in source.columns:
         source = source.withColumn(column, F.lit("unknown"))
     manifest = partition_manifest(source, dataset, column, key)
-    safe = source.withColumn(column, path_safe(column)).withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files)))
-    safe.repartition(column, "_file").drop("_file").write.mode("overwrite").partitionBy(column).parquet(uri)
+    safe = source.withColumn(column, path_safe(column))
+    safe.hint("rebalance", F.col(column)).write.mode("overwrite").partitionBy(column).parquet(uri)
     return manifest
 
 

@@ -355,3 +355,31 @@ def test_constant_series_has_no_correlation(spark):
     df = series(spark, [1.0] * 5).withColumn("y", F.month("date").cast("double"))
     assert eda.pearson_pairs(df, ["series"], ["x", "y"]).first().pearson is None
     assert eda.spearman_pairs(df, ["series"], ["x", "y"]).first().spearman is None
+
+
+def test_run_rows_carry_json(spark):
+    df = facts(spark, one("m", [(1.0, 2.0, 3.0)])).withColumn("feature_transform", F.lit("cubic"))
+    runs = bt.model_runs(df, F.lit('{"alpha": 1.0}'), F.array(F.lit("a"), F.lit('b"')), F.array().cast("array<string>"), F.lit("{}"), 3).first()
+    assert runs.selected_feature_names_json == '["a", "b\\""]' and runs.dropped_feature_names_json == "[]"
+    assert runs.representation_policy == "tabular_cubic" and runs.refit_frequency_months == 3
+
+
+def test_validity_predicates(spark):
+    df = spark.createDataFrame([(0, "c"), (1, "c"), (1, "n")], "d int, trend string")
+    assert df.where(grid.valid_trend(F.col("d"), F.col("trend"))).count() == 2
+    variants = spark.createDataFrame([("v", 5, None, 10), ("w", 50, None, 10), ("z", 5, 6, None)], "v string, width int, low int, high int")
+    assert [r.v for r in grid.width_bounded(variants, "width", "low", "high").collect()] == ["v"]
+
+
+def test_regime_metadata_knows_its_date(spark):
+    df = spark.createDataFrame([(["y_lag1", "y_lag1_x_pandemic_disruption_active"], dt.date(2020, 3, 1)), (["y_lag1"], dt.date(2021, 1, 1)), (["is_post_covid"], dt.date(2020, 2, 1))], "f array<string>, as_of date")
+    rows = df.select(*[c.alias(n) for n, c in families.regime_metadata(F.col("f"), F.col("as_of")).items()]).collect()
+    assert [r.regime_policy for r in rows] == ["pandemic_observed", "none", "pandemic_observed"]
+    assert [r.regime_features_available_as_of for r in rows] == [True, False, False]
+    assert rows[0].regime_feature_names_json == '["y_lag1_x_pandemic_disruption_active"]'
+
+
+def test_top_per_group_limits_before_the_exchange(spark):
+    df = spark.createDataFrame([("hot", str(i), float(i)) for i in range(100)], "model_build string, model_config_id string, m double")
+    plan = explore.top_per_group(df, ["model_build"], "m", True, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
