@@ -143,10 +143,36 @@ def spearman_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(eda.correlation_comparison(fx.demand(spark, folder), ["series"], ["y", "n"]).drop("n"))
 
 
-@query("transform_comparison", "E1 E3")
+def _transformed_sql(name: str, column: str) -> str:
+    """One column under one transform, as a SQL expression over window w (ordered) and m (month group)."""
+    lag = {"first_difference": 1, "mom_pct": 1, "yoy_pct": 12, "annual_difference": 12}.get(name)
+    if lag is None:
+        return column
+    step = f"{column} - lag({column}, {lag}) OVER w"
+    return f"({step}) / nullif(lag({column}, {lag}) OVER w, 0)" if name.endswith("pct") else step
+
+
+_METHODS = ["levels", "first_difference", "mom_pct", "yoy_pct", "annual_difference"]
+_PARTS = [
+    f"SELECT series, '{m}' AS method, {', '.join(f'CAST({_transformed_sql(m, c)} AS DOUBLE) AS {c}' for c in ('y', 'v', 'n'))} FROM supply WINDOW w AS (PARTITION BY series ORDER BY date)"
+    for m in _METHODS
+]
+_CENTRED = ", ".join(f"{c} - avg({c}) OVER m AS {c}" for c in ("y", "v", "n"))
+_PARTS.append(
+    "SELECT series, 'residuals', " + ", ".join(
+        f"{c} - tc * sum(tc * {c}) OVER s / sum(tc * tc) OVER s" for c in ("y", "v", "n")
+    ) + f""" FROM (SELECT series, {_CENTRED}, t - avg(t) OVER m AS tc FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS DOUBLE) AS t FROM supply)
+         WINDOW m AS (PARTITION BY series, month(date))) WINDOW s AS (PARTITION BY series)"""
+)
+cte("transformed", "supply", " UNION ALL ".join(_PARTS))
+
+
+@query("transform_comparison", "E1 E3 E5", with_ctes("transformed", f"""
+SELECT series, b, round(max(abs(r)), 6) + 0.0 AS max_abs_r, arg_max(method, abs(r)) AS best_method FROM (
+  SELECT series, method, 'v' AS b, corr(y, v) AS r FROM transformed GROUP BY 1, 2 UNION ALL SELECT series, method, 'n', corr(y, n) FROM transformed GROUP BY 1, 2) GROUP BY 1, 2"""))
 def transform_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Strongest correlation with the target over levels, changes and residuals."""
-    return rounded(eda.transform_comparison(fx.supply(spark, folder), ["series"], ["v", "n"], "y"))
+    return rounded(eda.transform_comparison(fx.supply(spark, folder), ["series"], ["v", "n"], "y"), 6)
 
 
 @query("lagged_correlations", "E4", with_ctes("supply", "SELECT * FROM (" + "\nUNION ALL\n".join(
@@ -356,11 +382,23 @@ def corr_prune(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(kept.select("date", "n_features_after_policy", F.array_join(F.array_sort("dropped_features"), ",").alias("dropped")))
 
 
-@query("policy_records", "B7 B12")
+_VARIED = " || ".join(f"CASE WHEN var_samp({c}) > 1e-8 THEN ',{c}' ELSE '' END" for c in FEATURES)
+_FLAT = " || ".join(f"CASE WHEN var_samp({c}) > 1e-8 THEN '' ELSE ',{c}' END" for c in FEATURES)
+
+
+@query("policy_records", "B7 B12", with_ctes("snap", f"""
+SELECT series, as_of AS date, count(*) AS n_train, {len(FEATURES)} AS n_features_before_policy, substr({_VARIED}, 2) AS selected, substr({_FLAT}, 2) AS dropped
+FROM snap GROUP BY 1, 2 HAVING count(*) > 1"""))
 def policy_records(spark: SparkSession, folder: str) -> DataFrame:
     """Variance pruning per supplier and snapshot with its full record."""
     masked = pol.selection_masks(_moments(spark, folder, FEATURES_AND_TARGET, ["series"]).where("n > 1"), FEATURES, "variance_pruned")
-    return rounded(pol.pruned_features(masked, ["series"], FEATURES, "variance_pruned"))
+    records = pol.pruned_features(masked, ["series"], FEATURES, "variance_pruned")
+    return rounded(
+        records.select(
+            "series", "date", "n_train", "n_features_before_policy", F.array_join("selected_features", ",").alias("selected"),
+            F.array_join("dropped_features", ",").alias("dropped"),
+        )
+    )
 
 
 @query("lasso_selected", "B10")
@@ -452,6 +490,54 @@ def least_squares_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("series", "as_of_date", "n_train", "actual", "prediction"))
 
 
+# One feature: the penalised solutions have a closed form in covariance and deviation.
+_WEIGHTS = {
+    "ridge__{m}__features__alpha-1.0": "n * {c} / (n + 1)",
+    "ridge__{m}__features__alpha-10.0": "n * {c} / (n + 10)",
+    "lasso__{m}__features__alpha-1.0": "sign({c}) * greatest(abs({c}) - 1, 0)",
+    "elastic_net__{m}__features__alpha-1.0_l1_ratio-0.5": "sign({c}) * greatest(abs({c}) - CAST(0.5 AS DOUBLE), 0) / CAST(1.5 AS DOUBLE)",
+}
+_SOLVED = " UNION ALL ".join(
+    f"SELECT series, fit_date, '{name.format(m=m)}' AS config_id, '{m}' AS mode, n, sd, mx, {mean} AS ym, {w.format(c=c)} AS w FROM fitted"
+    for name, w in _WEIGHTS.items()
+    for m, c, mean in (("raw", "cy", "my"), ("residual", "cr", "mr"))
+)
+
+
+def _penalised_sql(pooled: bool) -> str:
+    owner = "'all'" if pooled else "t.series"
+    same = "true" if pooled else "f.series = p.series"
+    return with_ctes("fpanel", f"""
+, days AS (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2001-10-01', INTERVAL 3 MONTH)) AS DATE) AS fit_date),
+fitted AS (SELECT *, cov_y / sd AS cy, cov_r / sd AS cr FROM (
+  SELECT {owner} AS series, d.fit_date, CAST(count(*) AS DOUBLE) AS n, stddev_pop(t.y_lag1) AS sd, avg(t.y_lag1) AS mx, avg(t.target) AS my, avg(t.target - t.baseline) AS mr,
+         covar_pop(t.y_lag1, t.target) AS cov_y, covar_pop(t.y_lag1, t.target - t.baseline) AS cov_r
+  FROM days d JOIN fpanel t ON t.date < CAST(d.fit_date - INTERVAL 3 MONTH AS DATE) WHERE t.y_lag1 IS NOT NULL AND t.target IS NOT NULL AND t.baseline IS NOT NULL GROUP BY 1, 2) WHERE n >= 24),
+solved AS ({_SOLVED})
+SELECT p.series, p.date AS as_of_date, f.fit_date, f.config_id, CAST(f.n AS BIGINT) AS n_train, {r4("f.ym + f.w / f.sd * (p.y_lag1 - f.mx) + CASE WHEN f.mode = 'residual' THEN p.baseline ELSE 0 END", 'prediction')}
+FROM fpanel p JOIN solved f ON {same} AND f.fit_date = CAST(DATE '2000-01-01' + to_months(CAST(((year(p.date) - 2000) * 12 + month(p.date) - 1) // 3 * 3 AS INT)) AS DATE)
+WHERE p.date >= DATE '2000-01-01' AND p.target IS NOT NULL AND p.baseline IS NOT NULL AND p.y_lag1 IS NOT NULL""").replace("\n\n,", "\n,")
+
+
+def _penalised(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    evaluated = (F.col("date") >= F.lit("2000-01-01").cast("date")) & F.col("target").isNotNull() & F.col("baseline").isNotNull()
+    fit_on = bt.fit_date(F.col("date"), F.lit("2000-01-01").cast("date"), 3, 1)
+    out, _ = md.backtest_linear(feature_panel(spark, folder), ["series"], keys, ["y_lag1"], "target", "baseline", LINEAR_GRID, evaluated, fit_on, EMBARGO)
+    return rounded(out.select("series", "as_of_date", "fit_date", "config_id", "n_train", "prediction"))
+
+
+@query("penalised_pooled", "B15 B6 B13 B5", _penalised_sql(True))
+def penalised_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """Ridge, lasso and elastic net on one feature, one model for all suppliers."""
+    return _penalised(spark, folder, [])
+
+
+@query("penalised_series", "B15 B6 B13 B5", _penalised_sql(False))
+def penalised_series(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with one model per supplier."""
+    return _penalised(spark, folder, ["series"])
+
+
 def _trees(spark: SparkSession, folder: str, kind: str, params: dict) -> DataFrame:
     panel = materialize(feature_panel(spark, folder))
     out, _ = md.backtest_trees(panel, ["series"], FEATURES, "target", "baseline", kind, params, ["2000-01-01", "2001-01-01"], "2002-01-01", EMBARGO)
