@@ -23,7 +23,7 @@ from hindcast.operators import metrics as mt
 from hindcast.operators.panel import series_window
 from hindcast.operators.reshape import with_taxonomy
 from hindcast.plans import fixtures as fx
-from hindcast.plans.registry import cte, query, r4, rounded, with_ctes
+from hindcast.plans.registry import cte, query, r6, rounded6, with_ctes
 from hindcast.session import materialize
 
 KEYS = ", ".join(CONFIG_KEYS)
@@ -91,17 +91,18 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("prediction_facts", "B13 B14 B17 P10 P16 X7", with_ctes("pred", f"""
 SELECT config_id, model_run_id, as_of_date, target_date, model_family, model_build, ensemble_method, mode, feature_family_name,
-       {r4('actual', 'actual')}, {r4('prediction', 'prediction')}, {r4('error', 'error')}, {r4('abs_error', 'abs_error')},
-       {r4('squared_error', 'squared_error')}, {r4('ape', 'ape', 9)}, {r4('naive_error', 'naive_error')}, evaluation_period, shock_period_flag, model_refit
+       {r6('actual', 'actual')}, {r6('prediction', 'prediction')}, {r6('error', 'error')}, {r6('abs_error', 'abs_error')},
+       {r6('squared_error', 'squared_error', 4)}, {r6('ape', 'ape', 9)}, {r6('naive_error', 'naive_error')}, evaluation_period, shock_period_flag, model_refit
 FROM pred"""))
 def prediction_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(
+    return rounded6(
         fx.predictions(spark, folder).select(
             "config_id", "model_run_id", "as_of_date", "target_date", "model_family", "model_build", "ensemble_method", "mode",
             "feature_family_name", "actual", "prediction", "error", "abs_error", "squared_error", "ape", "naive_error",
             "evaluation_period", "shock_period_flag", "model_refit",
         ),
         ape=9,
+        squared_error=4,
     )
 
 
@@ -113,7 +114,7 @@ WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-01-01' AND t IS NOT NULL AND
 def evaluation_frame(spark: SparkSession, folder: str) -> DataFrame:
     frame = fx.demand(spark, folder).withColumn("t", F.lead("y", 3).over(series_window(["series"])))
     out = bt.evaluation_frame(frame, ["series"], "t", 3, "1998-01-01", "2001-01-01", step=2)
-    return rounded(out.select("series", "date", "target_date", F.col("t").alias("actual"), F.col("seasonal_naive_proxy").alias("naive")), 2)
+    return rounded6(out.select("series", "date", "target_date", F.col("t").alias("actual"), F.col("seasonal_naive_proxy").alias("naive")), 2)
 
 
 def _training_sql(embargo: int) -> str:
@@ -133,7 +134,7 @@ def training_counts(spark: SparkSession, folder: str) -> DataFrame:
     for embargo in (0, 2, 3):
         frame = bt.training_rows(frame, ["series"], ["t", "l"], embargo).withColumnRenamed("n_train", f"n_train_embargo_{embargo}")
     kept = frame.where(F.col("date") >= F.lit("1998-01-01").cast("date"))
-    return rounded(kept.select("series", "date", *[f"n_train_embargo_{e}" for e in (0, 2, 3)]))
+    return rounded6(kept.select("series", "date", *[f"n_train_embargo_{e}" for e in (0, 2, 3)]))
 
 
 @query("refit_schedule", "B6", with_ctes("demand", """
@@ -158,7 +159,7 @@ def forward_months(spark: SparkSession, folder: str) -> DataFrame:
     rows = fx.demand(spark, folder).select("series", "date", "n")
     evaluated = rows.where(F.col("date") >= F.lit("1998-01-01").cast("date"))
     sliced = bt.forward_months(evaluated, rows, ["series"], 1, 3)
-    return rounded(sliced.groupBy("series", "as_of_date").agg(F.max("steps").alias("steps"), F.sum("n").alias("n")))
+    return rounded6(sliced.groupBy("series", "as_of_date").agg(F.max("steps").alias("steps"), F.sum("n").alias("n")))
 
 
 @query("holdout_split", "B23", with_ctes("demand", """
@@ -179,35 +180,35 @@ METRIC_OUT = [
 
 @query("backtest_metrics", "A2 A3 A4 A5 W21", with_ctes("ranked", f"""
 SELECT config_id, evaluation_scope, evaluation_start_date, evaluation_end_date, n_predictions, n_features, rank,
-       {', '.join(r4(m, m, 6) for m in METRIC_OUT)} FROM ranked"""))
+       {', '.join(r6(m, m, 6) for m in METRIC_OUT)} FROM ranked"""))
 def backtest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     out = mt.rank_metrics(metrics(spark, folder))
-    return rounded(out.select("config_id", "evaluation_scope", "evaluation_start_date", "evaluation_end_date", "n_predictions", "n_features", "rank", *METRIC_OUT), 6)
+    return rounded6(out.select("config_id", "evaluation_scope", "evaluation_start_date", "evaluation_end_date", "n_predictions", "n_features", "rank", *METRIC_OUT), 6)
 
 
 @query("champion", "T5", with_ctes("metrics", f"""
-SELECT config_id, model_type, {r4('selection_score', 'selection_score')}, {r4('best', 'best_raw_selection_score')},
-       {r4('best * CAST(1.02 AS DOUBLE)', 'equivalence_threshold')}
+SELECT config_id, model_type, {r6('selection_score', 'selection_score')}, {r6('best', 'best_raw_selection_score')},
+       {r6('best * CAST(1.02 AS DOUBLE)', 'equivalence_threshold')}
 FROM (SELECT *, min(selection_score) OVER () AS best FROM metrics WHERE evaluation_scope = 'overall')
 WHERE selection_score <= best * CAST(1.02 AS DOUBLE)
 ORDER BY CASE model_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in MODEL_ORDER.items())} ELSE 99 END, n_features, selection_score, mae, rmse, model_config_id
 LIMIT 1"""))
 def champion(spark: SparkSession, folder: str) -> DataFrame:
     row = mt.champion(materialize(metrics(spark, folder)))
-    return rounded(row.select("config_id", "model_type", "selection_score", "best_raw_selection_score", "equivalence_threshold"))
+    return rounded6(row.select("config_id", "model_type", "selection_score", "best_raw_selection_score", "equivalence_threshold"))
 
 
 SUMMARY_SQL = ", ".join(
-    [r4(f"min({c})", f"best_{c}") for c in mt.FAMILY_BEST["min"]]
-    + [r4(f"max({c})", f"best_{c}") for c in mt.FAMILY_BEST["max"]]
-    + [r4("avg(rmse)", "avg_rmse"), r4("avg(mae)", "avg_mae")]
+    [r6(f"min({c})", f"best_{c}") for c in mt.FAMILY_BEST["min"]]
+    + [r6(f"max({c})", f"best_{c}") for c in mt.FAMILY_BEST["max"]]
+    + [r6("avg(rmse)", "avg_rmse"), r6("avg(mae)", "avg_mae")]
 )
 
 
 @query("family_summary", "A6", with_ctes("metrics", f"""
 SELECT feature_family_name, mode, {SUMMARY_SQL} FROM metrics WHERE evaluation_scope = 'overall' GROUP BY 1, 2"""))
 def family_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(mt.family_summary(metrics(spark, folder)))
+    return rounded6(mt.family_summary(metrics(spark, folder)))
 
 
 BOARD_OUT = ["mae", "rmse", "r2", "diracc", "selection_score"] + [f"{p}_{m}" for p in EVALUATION_PERIODS for m in ("mae", "rmse", "selection_score_typical")] + [
@@ -216,36 +217,36 @@ BOARD_OUT = ["mae", "rmse", "r2", "diracc", "selection_score"] + [f"{p}_{m}" for
 
 
 @query("leaderboard_wide", "V1 V2 J6 W22", with_ctes("board", f"""
-SELECT config_id, model_family, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank, n_predictions, {', '.join(r4(m, m, 6) for m in BOARD_OUT)} FROM board"""))
+SELECT config_id, model_family, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank, n_predictions, {', '.join(r6(m, m, 6) for m in BOARD_OUT)} FROM board"""))
 def leaderboard_wide(spark: SparkSession, folder: str) -> DataFrame:
     out = lb.rank_leaderboard(board(spark, folder))
-    return rounded(out.select("config_id", "model_family", "rank", "n_predictions", *BOARD_OUT), 6)
+    return rounded6(out.select("config_id", "model_family", "rank", "n_predictions", *BOARD_OUT), 6)
 
 
 @query("enriched_scores", "A5 V2", with_ctes("board", f"""
-SELECT config_id, {', '.join(r4(m, m) for m in ('selection_score_typical', 'recovery_selection_score_balanced', 'large_error_score_shock_penalty'))},
-       {r4('recovery_selection_score', 'recovery_selection_score')} FROM board"""))
+SELECT config_id, {', '.join(r6(m, m) for m in ('selection_score_typical', 'recovery_selection_score_balanced', 'large_error_score_shock_penalty'))},
+       {r6('recovery_selection_score', 'recovery_selection_score')} FROM board"""))
 def enriched_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores rebuilt from the MAE and RMSE columns alone, as for an older artifact."""
     bare = board(spark, folder).select("config_id", "mae", "rmse", *[f"{p}_{m}" for p in EVALUATION_PERIODS for m in ("mae", "rmse")])
     out = lb.enrich_scores(bare)
-    return rounded(out.select("config_id", "selection_score_typical", "recovery_selection_score_balanced", "large_error_score_shock_penalty", "recovery_selection_score"))
+    return rounded6(out.select("config_id", "selection_score_typical", "recovery_selection_score_balanced", "large_error_score_shock_penalty", "recovery_selection_score"))
 
 
 @query("transform_build_pivot", "V4", with_ctes("board", f"""
-SELECT feature_transform, {r4("min(selection_score) FILTER (WHERE model_build = 'ridge')", 'ridge')},
-       {r4("min(selection_score) FILTER (WHERE model_build = 'lasso')", 'lasso')},
-       {r4("min(selection_score) FILTER (WHERE model_build = 'xgboost')", 'xgboost')} FROM board GROUP BY 1"""))
+SELECT feature_transform, {r6("min(selection_score) FILTER (WHERE model_build = 'ridge')", 'ridge')},
+       {r6("min(selection_score) FILTER (WHERE model_build = 'lasso')", 'lasso')},
+       {r6("min(selection_score) FILTER (WHERE model_build = 'xgboost')", 'xgboost')} FROM board GROUP BY 1"""))
 def transform_build_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(lb.transform_build_pivot(board(spark, folder), ["ridge", "lasso", "xgboost"]))
+    return rounded6(lb.transform_build_pivot(board(spark, folder), ["ridge", "lasso", "xgboost"]))
 
 
 @query("performance_over_time", "W20", with_ctes("pred", f"""
-SELECT config_id, as_of_date, {', '.join(r4(f'avg(abs_error) OVER (PARTITION BY config_id ORDER BY as_of_date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)', f'rolling_{k}mo_mae') for k in (3, 6, 12))}
+SELECT config_id, as_of_date, {', '.join(r6(f'avg(abs_error) OVER (PARTITION BY config_id ORDER BY as_of_date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)', f'rolling_{k}mo_mae') for k in (3, 6, 12))}
 FROM pred"""))
 def performance_over_time(spark: SparkSession, folder: str) -> DataFrame:
     out = mt.rolling_error(fx.predictions(spark, folder))
-    return rounded(out.select("config_id", "as_of_date", "rolling_3mo_mae", "rolling_6mo_mae", "rolling_12mo_mae"))
+    return rounded6(out.select("config_id", "as_of_date", "rolling_3mo_mae", "rolling_6mo_mae", "rolling_12mo_mae"))
 
 
 cte("profile", "pred", f"""
@@ -274,14 +275,14 @@ def profile(spark: SparkSession, folder: str, with_metrics: bool = False) -> Dat
 
 
 @query("complexity_profile", "A7 A8 A9 X8 P17", with_ctes("scored metrics", f"""
-SELECT s.config_id, n_input_features, {r4('n_selected_features', 'n_selected_features', 3)}, min_selected_features, max_selected_features, model_run_count, refit_count,
-       {r4('s.avg_train_seconds', 'avg_train_seconds')}, {r4('avg_n_train', 'avg_n_train')}, {r4('feature_reduction_ratio', 'feature_reduction_ratio')},
-       {r4('size', 'model_size_proxy')}, {r4('complexity_score', 'complexity_score', 3)}, {r4('compute_score', 'compute_score', 3)},
-       {r4('interpretability_score', 'interpretability_score', 3)}, {r4('m.mae', 'overall_mae', 6)}
+SELECT s.config_id, n_input_features, {r6('n_selected_features', 'n_selected_features', 3)}, min_selected_features, max_selected_features, model_run_count, refit_count,
+       {r6('s.avg_train_seconds', 'avg_train_seconds')}, {r6('avg_n_train', 'avg_n_train')}, {r6('feature_reduction_ratio', 'feature_reduction_ratio')},
+       {r6('size', 'model_size_proxy')}, {r6('complexity_score', 'complexity_score', 3)}, {r6('compute_score', 'compute_score', 3)},
+       {r6('interpretability_score', 'interpretability_score', 3)}, {r6('m.mae', 'overall_mae', 6)}
 FROM scored s LEFT JOIN (SELECT config_id, mae FROM metrics WHERE evaluation_scope = 'overall') m USING (config_id)"""))
 def complexity_profile(spark: SparkSession, folder: str) -> DataFrame:
     out = profile(spark, folder, True)
-    return rounded(
+    return rounded6(
         out.select(
             "config_id", "n_input_features", "n_selected_features", "min_selected_features", "max_selected_features", "model_run_count",
             "refit_count", "avg_train_seconds", "avg_n_train", "feature_reduction_ratio", "model_size_proxy", "complexity_score",
@@ -355,28 +356,28 @@ def partition_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("champion_predictions", "J9 B24", with_ctes("champ pred", f"""
-SELECT config_id, as_of_date, {r4('prediction', 'prediction')} FROM pred WHERE config_id IN (SELECT model_config_id FROM champ)"""))
+SELECT config_id, as_of_date, {r6('prediction', 'prediction')} FROM pred WHERE config_id IN (SELECT model_config_id FROM champ)"""))
 def champion_predictions(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     chosen = mt.champion(materialize(mt.backtest_metrics(facts)))
-    return rounded(lb.champion_rows(facts, chosen).select("config_id", "as_of_date", "prediction"))
+    return rounded6(lb.champion_rows(facts, chosen).select("config_id", "as_of_date", "prediction"))
 
 
 @query("overview_paths", "J7 T2 B24", with_ctes("board pred", f"""
-SELECT p.config_id, p.target_date, t.rank, {r4('p.prediction', 'prediction')}
+SELECT p.config_id, p.target_date, t.rank, {r6('p.prediction', 'prediction')}
 FROM pred p JOIN (SELECT config_id, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank FROM board) t USING (config_id) WHERE t.rank <= 5"""))
 def overview_paths(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     _, paths = lb.overview(lb.wide_leaderboard(mt.backtest_metrics(facts)), facts.select("config_id", "target_date", "prediction"))
-    return rounded(paths.select("config_id", "target_date", "rank", "prediction"))
+    return rounded6(paths.select("config_id", "target_date", "rank", "prediction"))
 
 
 @query("recombined", "U1 U5 S11", with_ctes("metrics", f"""
-SELECT config_id, evaluation_scope, n_predictions, {r4('mae', 'mae', 6)} FROM metrics"""))
+SELECT config_id, evaluation_scope, n_predictions, {r6('mae', 'mae', 6)} FROM metrics"""))
 def recombined(spark: SparkSession, folder: str) -> DataFrame:
     """Two halves of an experiment, one without an optional column, united and measured again."""
     facts = fx.predictions(spark, folder)
     linear = facts.where(F.col("model_family").isin("linear", "baseline")).withColumn("source_model_config_id", F.lit("seed"))
     other = facts.where(~F.col("model_family").isin("linear", "baseline"))
     out = lb.recombine([linear, other], [linear, other])["metrics"]
-    return rounded(out.select("config_id", "evaluation_scope", "n_predictions", "mae"), 6)
+    return rounded6(out.select("config_id", "evaluation_scope", "n_predictions", "mae"), 6)

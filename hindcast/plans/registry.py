@@ -51,6 +51,11 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     return df.select(*out)
 
 
+def rounded6(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Six digits suit error metrics: averages of halves and twelfths never end halfway at that place."""
+    return rounded(df, digits, **special)
+
+
 _CTES: dict[str, tuple[list[str], str]] = {}
 
 
@@ -76,3 +81,7 @@ def with_ctes(names: str, select: str) -> str:
 def r4(expression: str, alias: str, digits: int = 4) -> str:
     """SQL column: NaN to NULL, rounded."""
     return f"round(CASE WHEN isnan({expression}) THEN NULL ELSE {expression} END, {digits}) + 0.0 AS {alias}"
+
+
+def r6(expression: str, alias: str, digits: int = 6) -> str:
+    return r4(expression, alias, digits)
