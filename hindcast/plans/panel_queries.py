@@ -213,7 +213,7 @@ def integrate_sources(spark: SparkSession, folder: str) -> DataFrame:
     base = rs.stamp_source(rs.align_inner([counts, values], ["date"]), "base", "orders")
     weekly = rs.stamp_source(rs.weekly_to_monthly(weekly_price(spark, folder), [], "price", "price"), "wk", "lines", 10)
     exog = rs.stamp_source(exogenous(spark, folder), "ex", "lines", 14)
-    joined = rs.integrate(base, {"gas": weekly, "inflation": exog}, ["date"], "transit")
+    joined = rs.integrate(base, {"gas": weekly, "inflation": exog}, ["date"], "base")
     kept = rs.keep_present(joined, ["date", "n_orders", "order_value", "price_avg", "price", "not_there", "data_available_at"])
     out = kept.withColumn("lag_days", availability_lag_days("data_available_at", "date"))
     return rounded(out.withColumn("order_value", F.round("order_value", 2)))
