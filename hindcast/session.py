@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +29,26 @@ def local_session(cpus: int | str = 8, app: str = "hindcast") -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and tasks share one machine; ``local-cluster`` counts as a cluster."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; only an unconfigured session gets its own."""
+    """The shared folder the cluster names; only a local session without one gets its own.
+
+    Raises on a cluster without ``spark.checkpoint.dir``: a folder of the driver's machine is not
+    seen by the executors.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -42,6 +58,17 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/hindcast-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, so that functions pickled by name load there."""
+    if getattr(spark, "_hindcast_shipped", False):
+        return
+    if not is_local(spark) or "hindcast" not in os.listdir():
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/hindcast", "zip", root, "hindcast"))
+    spark._hindcast_shipped = True
+
+
 # Up to this many rows one task sorts or buffers a table comfortably.
 SMALL_ROWS = 200_000
 
