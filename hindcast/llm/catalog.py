@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import token_blocks
+from hindcast.llm import mixing, sharding, token_blocks, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -21,5 +21,26 @@ def op1_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return token_blocks.token_digest(table(spark, folder, "documents"), vocabulary(), END_ID)
 
 
-QUERIES = {"op1_token_blocks": op1_token_blocks}
-CHECKS: dict[str, str] = {}
+def op3_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_digests(table(spark, folder, "pages"))
+
+
+def op9_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.document_shards(table(spark, folder, "documents"))
+
+
+def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES = {
+    "op1_token_blocks": op1_token_blocks,
+    "op3_warc_salvage": op3_warc_salvage,
+    "op9_feistel_shards": op9_feistel_shards,
+    "op10_budget_mix": op10_budget_mix,
+}
+CHECKS: dict[str, str] = {
+    "op3_warc_salvage": warc.PAGE_DIGESTS_SQL,
+    "op9_feistel_shards": sharding.document_shards_sql(),
+}

@@ -142,7 +142,7 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.Table]:
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.Table]:
     """Batches of a task joined until they hold about ``most`` bytes, so that dictionaries are shared."""
     held: list[pa.RecordBatch] = []
     size = 0
