@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import mixing, sharding, token_blocks, warc
+from hindcast.llm import mixing, sharding, token_blocks, toxicity, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -25,6 +25,11 @@ def op3_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_digests(table(spark, folder, "pages"))
 
 
+def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 def op9_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
@@ -37,6 +42,7 @@ def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op3_warc_salvage": op3_warc_salvage,
+    "op7_toxic_segments": op7_toxic_segments,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_budget_mix": op10_budget_mix,
 }
