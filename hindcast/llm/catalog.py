@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import mixing, sharding, token_blocks, toxicity, warc
+from hindcast.llm import mixing, sharding, templates, token_blocks, toxicity, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -30,6 +30,10 @@ def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
+def op8_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.document_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op3_warc_salvage": op3_warc_salvage,
     "op7_toxic_segments": op7_toxic_segments,
+    "op8_template_leaks": op8_template_leaks,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_budget_mix": op10_budget_mix,
 }

@@ -12,6 +12,8 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from hindcast.session import scratch_folder
 
@@ -142,7 +144,7 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.Table]:
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
     """Batches of a task joined until they hold about ``most`` bytes, so that dictionaries are shared."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -154,3 +156,24 @@ def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterato
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def annotated(docs: DataFrame, added: dict[str, pa.DataType], compute) -> DataFrame:
+    """``docs`` with columns that ``compute`` makes of blocks of its rows, in one pass without a shuffle.
+
+    ``added`` has the Arrow type of each; columns of the same names are replaced. ``compute`` takes a
+    table with all columns of ``docs`` and returns the new arrays in order.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in added]
+    names = [f.name for f in docs.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_of(batches):
+            new = [a.cast(t) for a, t in zip(compute(block), added.values(), strict=True)]
+            old = [block.column(names.index(f.name)) for f in kept]
+            yield from pa.Table.from_arrays([*old, *new], names=[*(f.name for f in kept), *added]).to_batches(max_chunksize=2000)
+
+    schema = T.StructType(list(kept))
+    for name, kind in added.items():
+        schema = schema.add(name, from_arrow_type(kind))
+    return docs.mapInArrow(run, schema)

@@ -85,10 +85,6 @@ class Model:
         out[pc.equal(distinct, "").to_numpy(zero_copy_only=False)] = -DRIFT
         return out
 
-    def law(self) -> Model:
-        """The calibration without the vocabulary."""
-        return Model(pa.array([], pa.large_string()), np.zeros(0), self.decay, self.log_k, self.log_alpha)
-
     def level(self, n: int) -> float:
         """The best score of a clean document of ``n`` words, less its noise."""
         return float((self.log_k + np.log(max(n, 1))) / self.decay)
@@ -225,32 +221,31 @@ def learn_scores(docs: DataFrame, sample: DataFrame) -> Model:
     return Model(pa.array([t for own, _ in scored for t in own], pa.large_string()), np.concatenate([x for _, x in scored]))
 
 
-SCANNED = "doc_id long, n_words long, scores array<double>, first array<long>, last array<long>"
+def find_segments(model: Model, texts: pa.Array) -> tuple[list[int], list[list[tuple[float, int, int]]]]:
+    """Words and maximal segments of every text. A word is evidence once a document: repeats count as unknown."""
+    offsets, codes, distinct = normal_words(texts)
+    scores = model.token_scores(distinct)[codes]
+    places = np.flatnonzero(scores > -DRIFT)
+    keys = common.row_of(offsets)[places] * np.int64(len(distinct) + 1) + codes[places]
+    once = np.zeros(len(scores), bool)
+    once[places[np.unique(keys, return_index=True)[1]]] = True
+    scores[~once & (scores > -DRIFT)] = -DRIFT
+    return np.diff(offsets).tolist(), maximal_segments(scores, offsets)
 
 
-def scan(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
-    """All maximal segments of every row: scores and word ranges. ``extra`` is an integer column carried along."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("scores", pa.list_(pa.float64())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), *([("extra", pa.int64())] if extra else [])])
+def scan(docs: DataFrame, model: Model, carried: str) -> DataFrame:
+    """Of every row the integer column ``carried``, its words and all maximal segments: scores and word ranges."""
+    schema = pa.schema([(carried, pa.int64()), ("n_words", pa.int64()), ("scores", pa.list_(pa.float64())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks_of(batches):
-            offsets, codes, distinct = normal_words(block["text"].combine_chunks())
-            scores = shared.value.token_scores(distinct)[codes]
-            # A word is evidence once a document: repeats count as unknown words.
-            places = np.flatnonzero(scores > -DRIFT)
-            keys = common.row_of(offsets)[places] * np.int64(len(distinct) + 1) + codes[places]
-            once = np.zeros(len(scores), bool)
-            once[places[np.unique(keys, return_index=True)[1]]] = True
-            scores[~once & (scores > -DRIFT)] = -DRIFT
-            segments = maximal_segments(scores, offsets)
-            columns = [block["doc_id"].combine_chunks(), pa.array(np.diff(offsets))]
-            columns += [pa.array([[s[k] for s in row] for row in segments], schema.field(2 + k).type) for k in range(3)]
-            table = pa.Table.from_arrays([*columns, *([block["extra"].combine_chunks()] if extra else [])], schema=schema)
-            yield from table.to_batches()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(extra).cast("long").alias("extra")] if extra else []))
-    return rows.mapInArrow(find, SCANNED + (", extra long" if extra else ""))
+            lengths, segments = find_segments(shared.value, block["text"].combine_chunks())
+            columns = [pa.array([[s[k] for s in row] for row in segments], schema.field(2 + k).type) for k in range(3)]
+            yield from pa.Table.from_arrays([block["carried"].combine_chunks(), pa.array(lengths, pa.int64()), *columns], schema=schema).to_batches()
+
+    rows = docs.select(F.col(carried).cast("long").alias("carried"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(find, f"{carried} long, n_words long, scores array<double>, first array<long>, last array<long>")
 
 
 def calibrate(docs: DataFrame, sample: DataFrame, model: Model) -> Model:
@@ -263,8 +258,8 @@ def calibrate(docs: DataFrame, sample: DataFrame, model: Model) -> Model:
     """
     chosen = F.broadcast(sample.where("calibrates").select("doc_id", "toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    seen = scan(rows, model, "toxic").select("n_words", "scores", "extra").toPandas()
-    clean = seen[(seen.extra == 0) & (seen.n_words > 0)]
+    seen = scan(rows, model, "toxic").select("n_words", "scores", "toxic").toPandas()
+    clean = seen[(seen.toxic == 0) & (seen.n_words > 0)]
     if len(clean) >= 10:
         best = np.array([max(s, default=0.0) for s in clean.scores])
         log_n = np.log(clean.n_words.to_numpy(float))
@@ -274,7 +269,7 @@ def calibrate(docs: DataFrame, sample: DataFrame, model: Model) -> Model:
             model.decay = 0.5 * (model.decay + decay)
         model.log_k = float(np.median(model.decay * best - log_n)) - GUMBEL_MEDIAN
     p = np.array([model.log_p(list(s), n) for s, n in zip(seen.scores, seen.n_words, strict=True)])
-    toxic = seen.extra.to_numpy() == 1
+    toxic = seen.toxic.to_numpy() == 1
     if toxic.any() and (~toxic).any():
         order = np.argsort(p)
         # Wrong answers if the first k rows are called toxic.
@@ -292,6 +287,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return calibrate(docs, sample, learn_scores(docs, sample))
 
 
+def rate(model: Model, texts: pa.Array) -> tuple[list[float], list[int]]:
+    """Score and number of significant passages of every text."""
+    lengths, segments = find_segments(model, texts)
+    scores = [model.score([s for s, _, _ in row], n) for row, n in zip(segments, lengths, strict=True)]
+    return scores, [sum(s > model.level(n) for s, _, _ in row) for row, n in zip(segments, lengths, strict=True)]
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_passages (significant ones) of every row.
 
@@ -299,23 +301,31 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     repeatedly; other columns are not looked at.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_passages", pa.int64())])
-    law = model.law()
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, n = batch["scores"].to_pylist(), batch["n_words"].to_pylist()
-            level = [law.level(k) for k in n]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([law.score(s, k) for s, k in zip(scores, n, strict=True)]), pa.array([sum(x > v for x in s) for s, v in zip(scores, level, strict=True)], pa.int64())],
-                schema=schema,
-            )
-
-    rated = scan(docs, model).mapInArrow(rate, "doc_id long, score double, n_passages long")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks_of(batches):
+            scores, n = rate(shared.value, block["text"].combine_chunks())
+            yield from pa.Table.from_arrays([block["doc_id"].combine_chunks(), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], schema=schema).to_batches()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rated = rows.mapInArrow(run, "doc_id long, score double, n_passages long")
     return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the column ``score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def compute(block: pa.Table) -> list[pa.Array]:
+        return [pa.array(rate(shared.value, block.column(at).combine_chunks())[0], pa.float64())]
+
+    return common.annotated(docs, {"score": pa.float64()}, compute)
+
+
 def passages(docs: DataFrame, model: Model, most_e: float = 0.01) -> DataFrame:
     """Every passage whose expected number in a clean document of that length is at most ``most_e``."""
-    found = scan(docs, model).select("doc_id", "n_words", F.explode(F.arrays_zip("scores", "first", "last")).alias("s"))
+    found = scan(docs, model, "doc_id").select("doc_id", "n_words", F.explode(F.arrays_zip("scores", "first", "last")).alias("s"))
     e_value = F.exp(F.lit(model.log_k) + F.log("n_words") - F.lit(model.decay) * F.col("s.scores"))
     return found.select("doc_id", F.col("s.first").alias("first_word"), F.col("s.last").alias("last_word"), F.col("s.scores").alias("score"), e_value.alias("e_value")).where(F.col("e_value") <= most_e)
