@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import mixing, sharding, templates, token_blocks, toxicity, warc
+from hindcast.llm import chosen_path, mixing, sharding, templates, token_blocks, toxicity, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -25,6 +25,10 @@ def op3_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_digests(table(spark, folder, "pages"))
 
 
+def op4_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
@@ -46,6 +50,7 @@ def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op3_warc_salvage": op3_warc_salvage,
+    "op4_chosen_path": op4_chosen_path,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_template_leaks": op8_template_leaks,
     "op9_feistel_shards": op9_feistel_shards,
@@ -53,5 +58,6 @@ QUERIES = {
 }
 CHECKS: dict[str, str] = {
     "op3_warc_salvage": warc.PAGE_DIGESTS_SQL,
+    "op4_chosen_path": chosen_path.near_duplicates_sql(),
     "op9_feistel_shards": sharding.document_shards_sql(),
 }

@@ -21,7 +21,14 @@ from hindcast.session import scratch_folder
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python a thousand at a time: texts make Spark's default of 10,000 rows a large batch."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -144,11 +151,18 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
+def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that is larger than ``most`` bytes; a single row is never cut."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
     """Batches of a task joined until they hold about ``most`` bytes, so that dictionaries are shared."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole, most)):
         held.append(batch)
         size += batch.nbytes
         if size >= most:
