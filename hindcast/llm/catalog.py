@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import chosen_path, mixing, sharding, templates, token_blocks, toxicity, warc
+from hindcast.llm import anchors, chosen_path, mixing, sharding, templates, token_blocks, toxicity, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -21,6 +21,10 @@ def op1_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return token_blocks.token_digest(table(spark, folder, "documents"), vocabulary(), END_ID)
 
 
+def op2_cover_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return anchors.without_repeats(table(spark, folder, "documents"))
+
+
 def op3_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_digests(table(spark, folder, "pages"))
 
@@ -49,6 +53,7 @@ def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_cover_anchors": op2_cover_anchors,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_chosen_path": op4_chosen_path,
     "op7_toxic_segments": op7_toxic_segments,

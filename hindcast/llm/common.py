@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from hindcast.session import scratch_folder
 
+#: Spark's setting that removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are the longest runs of characters outside this ASCII white space, in every operator.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -38,9 +40,14 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     This cuts the lineage: several consumers share one computation, and a lost executor costs a
     re-read of files.
     """
-    path = folder or scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, folder or scratch_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of a finished write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shards(docs: DataFrame, column: str, shard_bytes: int) -> int:
