@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import anchors, chosen_path, mixing, sharding, templates, token_blocks, toxicity, warc
+from hindcast.llm import anchors, chosen_path, line_variants, mixing, nn_descent, sharding, templates, token_blocks, toxicity, warc
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
@@ -33,6 +33,14 @@ def op4_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op6_line_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return line_variants.repeated_lines(table(spark, folder, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
@@ -56,6 +64,8 @@ QUERIES = {
     "op2_cover_anchors": op2_cover_anchors,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_chosen_path": op4_chosen_path,
+    "op5_nn_descent": op5_nn_descent,
+    "op6_line_variants": op6_line_variants,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_template_leaks": op8_template_leaks,
     "op9_feistel_shards": op9_feistel_shards,
@@ -64,5 +74,7 @@ QUERIES = {
 CHECKS: dict[str, str] = {
     "op3_warc_salvage": warc.PAGE_DIGESTS_SQL,
     "op4_chosen_path": chosen_path.near_duplicates_sql(),
+    "op5_nn_descent": nn_descent.NEAR_VECTORS_SQL,
+    "op6_line_variants": line_variants.repeated_lines_sql(),
     "op9_feistel_shards": sharding.document_shards_sql(),
 }
