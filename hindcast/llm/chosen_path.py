@@ -127,17 +127,20 @@ class NodeJoin:
         stack = [(np.arange(len(ids)), node & 0x7FFFFFFF, 0)]
         while stack:
             rows, path, level = stack.pop()
-            if len(rows) <= SMALL or level >= 8:
+            if len(rows) <= SMALL:
                 self.compare(rows)
                 continue
             rng = np.random.default_rng([path, level])
+            parts = []
             for position in rng.choice(SKETCH, BRANCHES, replace=False):
                 own = self.tokens[rows, position]
                 order = np.argsort(own, kind="stable")
                 cuts = np.flatnonzero(np.diff(own[order])) + 1
-                for part in np.split(rows[order], cuts):
-                    if len(part) > 1:
-                        stack.append((part, int(rng.integers(1 << 31)), level + 1 if len(part) < len(rows) else level + 2))
+                parts += [part for part in np.split(rows[order], cuts) if len(part) > 1]
+            if sum(len(part) ** 2 for part in parts) > 0.9 * len(rows) ** 2:
+                self.compare(rows)  # copies of one another: branching would compare more pairs, not fewer
+                continue
+            stack += [(part, int(rng.integers(1 << 31)), level + 1) for part in parts]
         return self.found, self.left
 
     def compare(self, rows: np.ndarray) -> None:
@@ -147,7 +150,6 @@ class NodeJoin:
         totals = np.zeros(n)
         best = np.zeros((n, 2), np.int64)
         counts = np.zeros(n, np.int64)
-        stripes = []
         step = max(1, (1 << 22) // (n * SKETCH))
         for a in range(0, n, step):
             matches = (tokens[a : a + step, None, :] == tokens[None, :, :]).sum(2)
@@ -164,8 +166,6 @@ class NodeJoin:
             totals[a : a + step] = matches.sum(1)
             counts[a : a + step] = ok.sum(1)
             best[a : a + step, 0], best[a : a + step, 1] = matches.argmax(1), matches.max(1)
-            if n <= 4 * SMALL:
-                stripes.append(matches)
         if self.labels is not None or not counts.any():
             return
         middle = int(np.argmax(totals))
