@@ -59,6 +59,12 @@ def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_cover_anchors": op2_cover_anchors,
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_template_leaks": op8_template_leaks,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_budget_mix": op10_budget_mix,
+    "pipeline": pipeline,
 }
 CHECKS: dict[str, str] = {
     "op3_warc_salvage": warc.PAGE_DIGESTS_SQL,

@@ -54,18 +54,20 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, mo
     return rows.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("at")).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table_words: int = TABLE_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come to ``budget`` or next below.
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table_words: int = TABLE_WORDS, complement: bool = True) -> np.ndarray:
+    """How many documents of each length to take so that their words come to ``budget`` or next to it.
 
     The proportional pass leaves a reserve of the shorter lengths for the table, so that the table nearly
-    always hits the last word. Where it cannot, the sum stays below by less than the shortest document left,
-    or, if what is left is longer than ``table_words``, by less than a document.
+    always hits the last word. Where it cannot, the sum differs by less than the shortest document left, or, if
+    what is left is longer than ``table_words``, by less than a document. More than half is also fitted by what
+    it leaves (``complement``), and the nearer of both taken.
     """
     order = np.argsort(-lengths, kind="stable")
     out = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
+    if 2 * budget > total and complement:  # the documents left out are fewer: fit those, unless that is farther off
+        both = counts - fit(lengths, counts, max(0, total - budget), table_words), fit(lengths, counts, min(budget, total), table_words, False)
+        return min(both, key=lambda taken: abs(budget - int((taken * lengths).sum())))
     small = lengths[(lengths > 0) & (lengths <= table_words // 4)]
     reserve = min(budget, 2 * int(small.max())) if len(small) else 0
     goal, seen = budget - reserve, 0

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,9 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """List arrays of one length as rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    """Lists of one length as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
@@ -114,7 +116,7 @@ def tree_edges(items: DataFrame, sizes: DataFrame, trees: range, neighbours: int
 
         def windows(table: pa.Table, last: bool) -> tuple[list[list[np.ndarray]], pa.Table]:
             nodes = table["node"].to_numpy()
-            ids, x = table["vec_id"].to_numpy(), matrix(table["vec"])
+            ids = table["vec_id"].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]])
             out, keep_from = [], len(nodes)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -124,7 +126,8 @@ def tree_edges(items: DataFrame, sizes: DataFrame, trees: range, neighbours: int
                     if open_end and hi - at <= leaf:
                         break
                     end = min(hi, at + leaf)
-                    out.append(edges_of(ids[at:end], x[at:end] @ x[at:end].T, neighbours))
+                    x = matrix(table["vec"].slice(at, end - at))
+                    out.append(edges_of(ids[at:end], x @ x.T, neighbours))
                     if end == hi:
                         break
                     at += leaf // 2
@@ -172,13 +175,14 @@ def local_join(graph: DataFrame, items: DataFrame, neighbours: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "w"):
             centers, ids = table["w"].to_numpy(), table["m"].to_numpy()
-            fresh, least, x = table["fresh"].to_numpy().astype(bool), table["last"].to_numpy(), matrix(table["vec"])
+            fresh, least = table["fresh"].to_numpy().astype(bool), table["last"].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(centers)) + 1, [len(centers)]]).tolist()
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2 or not fresh[lo:hi].any():
                     continue
-                sims = x[lo:hi] @ x[lo:hi].T
+                x = matrix(table["vec"].slice(lo, hi - lo))
+                sims = x @ x.T
                 ok = (fresh[lo:hi, None] | fresh[lo:hi]) & (sims > least[lo:hi, None])
                 np.fill_diagonal(ok, False)
                 i, j = np.nonzero(ok)
@@ -194,9 +198,11 @@ def similarities(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sims = np.einsum("ij,ij->i", matrix(batch["x"]), matrix(batch["y"]))
-                yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(sims)], schema=EDGE_SCHEMA)
+            dims = pc.list_value_length(batch["x"]).to_numpy()
+            for dim in np.unique(dims):
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                sims = np.einsum("ij,ij->i", matrix(own["x"]), matrix(own["y"]))
+                yield pa.RecordBatch.from_arrays([own["u"], own["v"], pa.array(sims)], schema=EDGE_SCHEMA)
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, EDGES)
 
