@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 from hindcast.constants import FEATURE_MARKS
 from hindcast.functions.ids import feature_hash, feature_set_id, json_string_list
+from hindcast.operators.features import EXOGENOUS_LAGS, SERVICE_LAGS, TARGET_LAGS
 
 
 def interaction_names(bases: list[str], flags: list[str]) -> list[str]:
     return [f"{b}_x_{f}" for b in bases for f in flags]
 
 
-def lag_names(column: str, lags: list[int], diffs: list[int], rolling: list[int], std: bool, yoy: bool = True) -> list[str]:
-    rolls = [n for size in rolling for n in ([f"{column}_rollmean_{size}"] + ([f"{column}_rollstd_{size}"] if std else []))]
-    return (
-        [f"{column}_lag{k}" for k in lags]
-        + [f"{column}_diff_lag{k}" for k in diffs]
-        + rolls
-        + ([f"{column}_yoy_diff"] if yoy else [])
-    )
+def lag_names(columns: list[str], recipe: dict) -> list[str]:
+    """Names that ``features.lag_columns`` gives these measures under a lag recipe, measure by measure."""
+    out = []
+    for column in columns:
+        out += [f"{column}_lag{k}" for k in recipe["lags"]]
+        out += [f"{column}_diff_lag{k}" for k in recipe["diffs"]]
+        out += [f"{column}_rollmean_{size}" for size in recipe["rolling"]]
+        out += [f"{column}_yoy_diff"]
+    return out
 
 
 def base_groups(
@@ -38,69 +40,245 @@ def base_groups(
     regime: list[str],
     flags: list[str],
 ) -> dict[str, list[str]]:
-    """Building blocks of the families, for any choice of measure names."""
-    exogenous = {"lags": [1, 2, 3, 6, 12], "diffs": [1, 3], "rolling": [3], "std": False}
-    serviced = {"lags": [1, 3, 6, 12], "diffs": [1, 3], "rolling": [3, 6], "std": False}
-    interactions = {
-        "history": [f"{target}_lag1", f"{target}_lag3", f"{target}_lag12", f"{target}_rollmean_3", f"{target}_yoy_diff"],
-        "time": ["time_index_months", "month_sin", "month_cos"],
-        "exog": [f"{price[0]}_lag1", f"{price[0]}_yoy_diff"] if price else [],
-        "service": [f"{c}_lag1" for c in service],
-        "income": income[2:4],
-    }
+    """Building blocks of the families, for any choice of measure names.
+
+    Lags of the measures follow the recipes that build the feature table; of the target's lags a family
+    takes those listed here.
+    """
+    exogenous = [f"{price[0]}_lag1", f"{price[0]}_yoy_diff"] if price else []
     if index:
-        interactions["exog"] = interactions["exog"] + [f"{index[0]}_lag1", f"{index[-1]}_yoy_diff"]
-    groups = {
-        "core": [f"{target}_lag{k}" for k in (1, 2, 3, 6, 12, 18, 24)],
-        "deltas": [f"{target}_diff_lag{k}" for k in (1, 2, 3)],
-        "rolls": [f"{target}_{s}_{n}" for n in (3, 6) for s in ("rollmean", "rollstd")],
-        "yoy": [f"{target}_yoy_diff"],
-        "season": ["month_sin", "month_cos", f"target_month_sin_h{horizon}", f"target_month_cos_h{horizon}"],
+        exogenous += [f"{index[0]}_lag1", f"{index[-1]}_yoy_diff"]
+    history = [f"{target}_lag1", f"{target}_lag3", f"{target}_lag12", f"{target}_rollmean_3", f"{target}_yoy_diff"]
+    return {
+        "history_core": [f"{target}_lag{k}" for k in (1, 2, 3, 6, 12, 18, 24)],
+        "history_recent_deltas": [f"{target}_diff_lag{k}" for k in TARGET_LAGS["diffs"]],
+        "history_rolls": [f"{target}_{statistic}_{size}" for size in TARGET_LAGS["rolling"] for statistic in ("rollmean", "rollstd")],
+        "history_yoy": [f"{target}_yoy_diff"],
+        "seasonality": ["month_sin", "month_cos", f"target_month_sin_h{horizon}", f"target_month_cos_h{horizon}"],
         "regime": regime,
-        "time": ["time_index_months"],
-        "gas": [n for c in price for n in lag_names(c, **exogenous)],
-        "cpi": [n for c in index for n in lag_names(c, **exogenous)],
-        "service": [n for c in service for n in lag_names(c, **serviced)],
+        "time_trend": ["time_index_months"],
+        "gas": lag_names(price, EXOGENOUS_LAGS),
+        "cpi": lag_names(index, EXOGENOUS_LAGS),
+        "service": lag_names(service, SERVICE_LAGS),
         "income": income,
-        "pressure": pressure,
+        "income_pressure_interactions": pressure,
+        "history_regime_interactions": interaction_names(history, flags),
+        "time_regime_interactions": interaction_names(["time_index_months", "month_sin", "month_cos"], flags),
+        "exog_regime_interactions": interaction_names(exogenous, flags),
+        "service_regime_interactions": interaction_names([f"{c}_lag1" for c in service], flags),
+        "income_regime_interactions": interaction_names(income[2:4], flags),
     }
-    return groups | {f"x_{name}": interaction_names(bases, flags) for name, bases in interactions.items()}
-
-
-# Families as space-separated building blocks; "full" and "regime" name two common prefixes.
-_PREFIXES = {"full": "core deltas rolls yoy season", "base": "core deltas rolls yoy season regime"}
-FAMILY_RECIPES = {
-    "history_only": "core season",
-    "history_recent": "core deltas season",
-    "history_rolls": "core deltas rolls season",
-    "history_full": "full",
-    "history_regime": "base",
-    "history_regime_time": "base time",
-    "history_regime_gas": "base gas",
-    "history_regime_cpi": "base cpi",
-    "history_regime_service": "base service",
-    "history_regime_gas_cpi": "base gas cpi",
-    "history_regime_gas_service": "base gas service",
-    "history_regime_cpi_service": "base cpi service",
-    "history_regime_all_exog": "base gas cpi service",
-    "history_regime_time_all_exog": "base time gas cpi service",
-    "history_regime_linear_interactions": "base x_history",
-    "history_regime_time_linear_interactions": "base time x_history x_time",
-    "history_regime_exog_linear_interactions": "base gas cpi x_history x_exog",
-    "history_regime_all_exog_linear_interactions": "base time gas cpi service x_history x_time x_exog x_service",
-    "history_regime_income": "base income",
-    "history_regime_income_pressure": "base gas cpi income pressure",
-    "history_regime_income_linear_interactions": "base income x_income",
+
+
+# The families and the building blocks each joins, in order.
+FAMILY_BLOCKS = {
+    "history_only": [
+        "history_core",
+        "seasonality",
+    ],
+    "history_recent": [
+        "history_core",
+        "history_recent_deltas",
+        "seasonality",
+    ],
+    "history_rolls": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "seasonality",
+    ],
+    "history_full": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+    ],
+    "history_regime": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+    ],
+    "history_regime_time": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "time_trend",
+    ],
+    "history_regime_gas": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+    ],
+    "history_regime_cpi": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "cpi",
+    ],
+    "history_regime_service": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "service",
+    ],
+    "history_regime_gas_cpi": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+        "cpi",
+    ],
+    "history_regime_gas_service": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+        "service",
+    ],
+    "history_regime_cpi_service": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "cpi",
+        "service",
+    ],
+    "history_regime_all_exog": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+        "cpi",
+        "service",
+    ],
+    "history_regime_time_all_exog": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "time_trend",
+        "gas",
+        "cpi",
+        "service",
+    ],
+    "history_regime_linear_interactions": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "history_regime_interactions",
+    ],
+    "history_regime_time_linear_interactions": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "time_trend",
+        "history_regime_interactions",
+        "time_regime_interactions",
+    ],
+    "history_regime_exog_linear_interactions": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+        "cpi",
+        "history_regime_interactions",
+        "exog_regime_interactions",
+    ],
+    "history_regime_all_exog_linear_interactions": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "time_trend",
+        "gas",
+        "cpi",
+        "service",
+        "history_regime_interactions",
+        "time_regime_interactions",
+        "exog_regime_interactions",
+        "service_regime_interactions",
+    ],
+    "history_regime_income": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "income",
+    ],
+    "history_regime_income_pressure": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "gas",
+        "cpi",
+        "income",
+        "income_pressure_interactions",
+    ],
+    "history_regime_income_linear_interactions": [
+        "history_core",
+        "history_recent_deltas",
+        "history_rolls",
+        "history_yoy",
+        "seasonality",
+        "regime",
+        "income",
+        "income_regime_interactions",
+    ],
 }
 
 
-def compose_families(groups: dict[str, list[str]], recipes: dict[str, str] | None = None) -> dict[str, list[str]]:
-    """Concatenate building blocks in order; a repeated column keeps its first place."""
-    out = {}
-    for family, recipe in (recipes or FAMILY_RECIPES).items():
-        blocks = " ".join(_PREFIXES.get(token, token) for token in recipe.split()).split()
-        out[family] = list(dict.fromkeys(column for block in blocks for column in groups[block]))
-    return out
+def compose_families(groups: dict[str, list[str]], families: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Join the building blocks of every family in order; a repeated column keeps its first place."""
+    return {
+        family: list(dict.fromkeys(column for block in blocks for column in groups[block]))
+        for family, blocks in (families or FAMILY_BLOCKS).items()
+    }
 
 
 def prefix_families(columns: list[str], prefixes: dict[str, list[str]]) -> dict[str, list[str]]:
