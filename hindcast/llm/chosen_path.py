@@ -289,10 +289,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return stage(two.withColumn("shared", shared).where(F.lit(100) * F.col("shared") >= F.lit(percent) * union).select("a", "b").distinct())
 
 
-def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of their document as ``label``."""
-    known = components(links).withColumnsRenamed({"node": "rep_id", "component": "label_"})
-    return rows.join(known, "rep_id", "left").withColumn("label", F.coalesce("label_", "rep_id")).drop("label_")
+def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the component of their document as ``label``; ``known`` comes from components()."""
+    return rows.join(known.withColumnsRenamed({"node": "rep_id", "component": "label_"}), "rep_id", "left").withColumn("label", F.coalesce("label_", "rep_id")).drop("label_")
 
 
 def similar_pairs(reps: DataFrame, docs: DataFrame, words: int, percent: int, task_rows: int = TASK_ROWS, most_levels: int = MOST_LEVELS) -> DataFrame:
@@ -320,11 +319,11 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, words: int, percent: int, ta
     links = confirm(first, docs, words, percent)
     # What else the nodes have: pairs not chosen above, and nodes with more candidates.
     other = pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    known = stage(components(links))
+    known = components(links)
     label = lambda df, c: df.join(known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_")), c, "left").withColumn(f"{c}_", F.coalesce(f"{c}_", c))
     other = label(label(other, "a"), "b").where("a_ <> b_").select("a", "b")
     again = joined.where("b IS NULL").select("node").distinct()
-    again = labelled(rows.join(again, "node", "left_semi"), links)
+    again = labelled(rows.join(again, "node", "left_semi"), known)
     rest = node_join(again, percent).where("b IS NOT NULL").select("a", "b")
     second = stage(other.union(rest).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
@@ -336,7 +335,7 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, words: int, percent: int, ta
         with_pivot = of(pivots, "pivot").select("node", "component").distinct()
         lone = of(stuck, "rep_id").join(with_pivot, ["node", "component"], "left_anti").select("node", "rep_id").withColumn("lone", F.lit(True))
         marked = stuck.join(stage(lone), ["node", "rep_id"], "left")
-        everywhere = labelled(blocks(marked, F.coalesce("lone", F.lit(False)), task_rows), links)
+        everywhere = labelled(blocks(marked, F.coalesce("lone", F.lit(False)), task_rows), reached)
         third = stage(node_join(everywhere, percent).where("b IS NOT NULL").select("a", "b").distinct())
         links = links.union(confirm(third, docs, words, percent))
     return links

@@ -1,7 +1,12 @@
-"""Connected components of a link table by alternating star contractions; no link leaves the executors."""
+"""Connected components of a link table: blocks of links are contracted inside tasks, then alternating star
+contractions join the blocks. No link leaves the executors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,37 @@ from hindcast.llm.common import stage
 
 #: Contractions before the loop fails loudly; the number needed grows with the logarithm of the links.
 MOST_ROUNDS = 60
+#: Links that a task contracts at once.
+BLOCK = 500_000
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is not the least of its component among these links, and that least node."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            other = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[other], ids[label[other]]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = np.concatenate([a, batch[0].to_numpy()]), np.concatenate([b, batch[1].to_numpy()])
+        if len(a) > BLOCK:
+            nodes, least = contracted(a, b)
+            if 2 * len(nodes) > len(a):  # hardly smaller: hand on what there is
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["a", "b"])
+                nodes, least = nodes[:0], least[:0]
+            a, b = nodes, least
+    nodes, least = contracted(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["a", "b"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +71,11 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has integer columns ``a`` and ``b``; direction, repetition and self-links do not matter. Ends
     when every node points at its least one.
     """
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stage(links.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    n_blocks = edges.count() // BLOCK + 1
+    edges = stage(edges.coalesce(n_blocks).mapInArrow(_block, "a long, b long"))
+    if n_blocks == 1:  # one block knows all links
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(edges)
     for _ in range(MOST_ROUNDS):

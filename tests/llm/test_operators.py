@@ -156,6 +156,16 @@ def test_near_duplicates(docs, none):
     assert chosen_path.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("block", [5, 500_000])
+def test_components(spark, monkeypatch, block):
+    from hindcast.llm import components
+
+    monkeypatch.setattr(components, "BLOCK", block)
+    links = [(k, k + 1) for k in range(100, 140)] + [(7, 3), (3, 7), (3, 3), (9, 7), (500, 400), (400, 450)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert found == {**{k: 100 for k in range(101, 141)}, 7: 3, 9: 3, 500: 400, 450: 400}
+
+
 def test_nodes_too_large_for_a_task(spark):
     """Copies that no branching separates, with a limit far below their number, are still all linked."""
     base = [f"w{i}" for i in range(200)]
