@@ -16,11 +16,12 @@ from hindcast.functions.ids import config_id
 from hindcast.operators.backtest import with_mode
 from hindcast.operators.policies import prefix_moments, selection_masks
 
-SWEEPS, TOLERANCE = 2000, 1e-10
+# Sweeps of the coordinate solver where a configuration names none; the selector gets as many as a lasso.
+MAX_ITER, TOLERANCE = 10_000, 1e-10
 
 
-def solve_batch(gram: np.ndarray, cross: np.ndarray, n: np.ndarray, mask: np.ndarray, kind: str, alpha: float, l1_ratio: float) -> np.ndarray:
-    """Standardised coefficients of many small problems at once.
+def solve_batch(gram: np.ndarray, cross: np.ndarray, n: np.ndarray, mask: np.ndarray, kind: str, alpha: float, l1_ratio: float, max_iter: int = MAX_ITER) -> tuple[np.ndarray, bool]:
+    """Standardised coefficients of many small problems at once, and whether the solver settled.
 
     ``gram`` (b, p, p) and ``cross`` (b, p) are the standardised XᵀX and Xᵀy of each snapshot.
     Ridge minimises |y-Xw|² + a|w|²; lasso and elastic net minimise |y-Xw|²/2n + a·r|w|₁ + a(1-r)|w|²/2.
@@ -30,11 +31,11 @@ def solve_batch(gram: np.ndarray, cross: np.ndarray, n: np.ndarray, mask: np.nda
     if kind == "ridge":
         g = gram * keep[:, :, None] * keep[:, None, :]
         g[:, np.arange(p), np.arange(p)] += alpha + (1 - keep)
-        return np.linalg.solve(g, (cross * keep)[:, :, None])[:, :, 0]
+        return np.linalg.solve(g, (cross * keep)[:, :, None])[:, :, 0], True
     ratio = 1.0 if kind == "lasso" else l1_ratio
     weight = np.zeros((b, p))
     diagonal = gram[:, np.arange(p), np.arange(p)] / n[:, None]
-    for _ in range(SWEEPS):
+    for _ in range(max_iter):
         largest = 0.0
         for j in range(p):
             rest = (cross[:, j] - np.einsum("bk,bk->b", gram[:, j, :], weight)) / n + diagonal[:, j] * weight[:, j]
@@ -44,8 +45,8 @@ def solve_batch(gram: np.ndarray, cross: np.ndarray, n: np.ndarray, mask: np.nda
             largest = max(largest, float(np.max(np.abs(new - weight[:, j]), initial=0.0)))
             weight[:, j] = new
         if largest <= TOLERANCE * max(1.0, float(np.max(np.abs(weight), initial=0.0))):
-            break
-    return weight
+            return weight, True
+    return weight, False
 
 
 def fit_linear(moments: DataFrame, keys: list[str], features: int, configs: list[dict]) -> DataFrame:
@@ -53,13 +54,14 @@ def fit_linear(moments: DataFrame, keys: list[str], features: int, configs: list
 
     ``moments`` holds the features followed by the raw and the residual target, and a feature mask. Each
     row already is a whole snapshot, so fitting is a map over Arrow batches without a shuffle. Columns
-    without variance are not scaled and get no weight.
+    without variance are not scaled and get no weight. ``max_iter`` comes from a configuration's parameters;
+    ``converged`` says whether all snapshots of the batch settled within it.
     """
     key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in moments.select(*keys).schema.fields]
-    fields = ", ".join([*key_fields, "date date, config int, n_train bigint, intercept double, coef array<double>, standardised array<double>"])
+    fields = ", ".join([*key_fields, "date date, config int, n_train bigint, intercept double, coef array<double>, standardised array<double>, converged boolean"])
     size = features + 2
     upper = np.triu_indices(size)
-    plans = [(i, c["model_type"], float(c["params"].get("alpha", 1.0)), float(c["params"].get("l1_ratio", 0.5)), c["mode"]) for i, c in enumerate(configs)]
+    plans = [(i, c["model_type"], float(c["params"].get("alpha", 1.0)), float(c["params"].get("l1_ratio", 0.5)), c["mode"], int(c["params"].get("max_iter", MAX_ITER))) for i, c in enumerate(configs)]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,15 +83,16 @@ def fit_linear(moments: DataFrame, keys: list[str], features: int, configs: list
             gram = centred[:, :features, :features] / (spread[:, :, None] * spread[:, None, :])
             means = shift + sums / n[:, None]
             out = []
-            for index, kind, alpha, l1_ratio, mode in plans:
+            for index, kind, alpha, l1_ratio, mode, max_iter in plans:
                 y = features + (mode == "residual")
                 cross = centred[:, :features, y] / spread
-                weight = solve_batch(gram.copy(), cross, n, mask & varied, kind, alpha, l1_ratio)
+                weight, converged = solve_batch(gram.copy(), cross, n, mask & varied, kind, alpha, l1_ratio, max_iter)
                 coef = weight / spread
                 intercept = means[:, y] - np.einsum("bp,bp->b", coef, means[:, :features])
                 part = pdf[[*keys, "date"]].copy()
                 part["config"], part["n_train"] = index, pdf["n"]
                 part["intercept"], part["coef"], part["standardised"] = intercept, list(coef), list(weight)
+                part["converged"] = converged
                 out.append(part)
             yield pd.concat(out, ignore_index=True)
 

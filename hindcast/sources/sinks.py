@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalar import path_safe
@@ -39,9 +39,16 @@ def write_by_build(df: DataFrame, uri: str, dataset: str, column: str = "model_b
     return manifest
 
 
+def only_row(df: DataFrame) -> DataFrame:
+    """The row of a document; fails if there is a second one, and stays empty without any."""
+    two = df.limit(2).coalesce(1)
+    counted = two.withColumn("_rows", F.count("*").over(Window.partitionBy()))
+    return counted.where(F.assert_true(F.col("_rows") == 1, F.lit("a document has one row")).isNull()).drop("_rows")
+
+
 def write_document(df: DataFrame, uri: str) -> None:
     """A one-row document such as a manifest or champion as JSON."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(uri)
+    only_row(df).write.mode("overwrite").json(uri)
 
 
 def read_document(spark: SparkSession, uri: str, schema: str | None = None) -> DataFrame:
@@ -51,7 +58,7 @@ def read_document(spark: SparkSession, uri: str, schema: str | None = None) -> D
 
 def document_rows(documents: dict[str, DataFrame]) -> DataFrame:
     """Documents as (artifact_name, payload_json) rows."""
-    parts = [d.limit(1).select(F.lit(n).alias("artifact_name"), F.to_json(F.struct("*")).alias("payload_json")) for n, d in documents.items()]
+    parts = [only_row(d).select(F.lit(n).alias("artifact_name"), F.to_json(F.struct("*")).alias("payload_json")) for n, d in documents.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -71,11 +78,11 @@ RUN_FIELDS = {
 
 
 def experiment_run(documents: dict[str, DataFrame]) -> DataFrame:
-    """One row per experiment: each field from the first document that has it."""
+    """One row per experiment: each field from the first document that has it (S19). Documents have one row."""
     spark = next(iter(documents.values())).sparkSession
     row = spark.range(1)
     for name, document in documents.items():
-        row = row.withColumn(f"_{name}", document.limit(1).select(F.struct("*")).scalar())
+        row = row.withColumn(f"_{name}", document.select(F.struct("*")).scalar())
     available = {n: set(d.columns) for n, d in documents.items()}
 
     def pick(field: str, sources: list[str], rename: str | None = None) -> Column:
@@ -93,7 +100,7 @@ def experiment_run(documents: dict[str, DataFrame]) -> DataFrame:
 def merge_missing_counts(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Fill only the NULL or absent fields of one row from another."""
     names = [*primary.columns, *[c for c in fallback.columns if c not in primary.columns]]
-    row = primary.limit(1).select(F.struct("*").alias("_p")).withColumn("_f", fallback.limit(1).select(F.struct("*")).scalar())
+    row = only_row(primary).select(F.struct("*").alias("_p")).withColumn("_f", fallback.select(F.struct("*")).scalar())
 
     def field(name: str) -> Column:
         sides = [F.col(f"{side}.{name}") for side, cols in (("_p", primary.columns), ("_f", fallback.columns)) if name in cols]
