@@ -152,11 +152,11 @@ def shared_halves(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def removed_near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2) of the ``wanted`` lines that are one edit from an earlier one.
+    """(doc_id, number) of the ``wanted`` lines that are one edit from an earlier one.
 
-    ``wanted`` has shard, h1, h2, doc_id and number of each line's first place, where its variants are made.
+    ``wanted`` has shard, h1, doc_id and number of each line's first place, where its variants are made.
     """
-    schema, ddl = _schema("v1 v2 at doc_id number h1 h2")
+    schema, ddl = _schema("v1 v2 at doc_id number")
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -171,38 +171,35 @@ def removed_near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             maybe = np.flatnonzero(np.isin(h1, known))
             rows = np.array([i for i in maybe.tolist() if (ids[lines.text[i]], lines.number[i], h1[i]) in places], np.int64)
             row, at, v1, v2 = lines.variants(rows)
-            columns = [v1.view(np.int64), v2.view(np.int64), at, ids[lines.text[row]], lines.number[row], h1[row], lines.h2[row].view(np.int64)]
+            columns = [v1.view(np.int64), v2.view(np.int64), at, ids[lines.text[row]], lines.number[row]]
             out.append(pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by variant, place of the deletion and order of lines. The line without a deletion (place -1) is one
         # edit from all others of its variant; two with a deletion are where the places agree.
-        out_schema, _ = _schema("h1 h2")
+        out_schema, _ = _schema("doc_id number")
         variant, whole, place, waits = None, None, None, False
         for batch in batches:
             gone = []
-            for v1, v2, at, doc, number, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for v1, v2, at, doc, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if variant != (v1, v2):
                     variant, whole, place, waits = (v1, v2), None, None, True
                 if at == -1:
                     if whole is None:
-                        whole = (doc, number, h1, h2)
+                        whole = (doc, number)
                     continue
-                if whole is not None and whole[:2] < (doc, number):
-                    gone.append((h1, h2))
-                elif place == at:
-                    gone.append((h1, h2))
-                if whole is not None and waits and (doc, number) < whole[:2]:
-                    gone.append(whole[2:])
+                if place == at or (whole is not None and whole < (doc, number)):
+                    gone.append((doc, number))
+                if whole is not None and waits and (doc, number) < whole:
+                    gone.append(whole)
                     waits = False
                 place = at
             if gone:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*gone, strict=True)], schema=out_schema)
 
     flat = docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(emit, ddl)
-    # Variants that one line alone has say nothing: left out before the sort by a count added up per task.
-    return flat.repartition("v1").sortWithinPartitions("v1", "v2", "at", "doc_id", "number").mapInArrow(judge, "h1 long, h2 long").distinct()
+    return flat.repartition("v1").sortWithinPartitions("v1", "v2", "at", "doc_id", "number").mapInArrow(judge, "doc_id long, number long").distinct()
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -212,7 +209,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, shard_bytes:
     is removed if an earlier line, by doc_id and number, is equal or, from ``least_words`` words on for both, one word edit
     away; all judged on the input. Lines without words are neither counted nor removed. Null and empty
     texts have no lines. Rows with a null doc_id keep all lines and are no sources. Rows that share a doc_id
-    are taken for one document in the order of their lines: equal numbers do not remove one another.
+    are one document: lines of equal number do not remove one another, and where such lines differ, one goes with the other.
     """
     n_shards = common.shards(docs, "text", shard_bytes)
     ident = F.col("doc_id").cast("long")
@@ -221,10 +218,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, shard_bytes:
     lines = stage(line_table(known))
     classes = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "number", "shard")).alias("first"), F.count("*").alias("n")))
     halves = stage(shared_halves(known, least_words))
-    wanted = stage(classes.join(halves, ["h1", "h2"]).select("first.shard", "h1", "h2", "first.doc_id", "first.number"))
+    wanted = stage(classes.join(halves, ["h1", "h2"]).select("first.shard", "h1", "first.doc_id", "first.number"))
     near = stage(removed_near(known, wanted))
-    flagged = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near")
-    flagged = stage(flagged.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"), F.coalesce("near", F.lit(False)).alias("near")))
+    placed = classes.select("h1", "h2", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"))
+    near = near.select(F.col("doc_id").alias("first_doc"), F.col("number").alias("first_number"), F.lit(True).alias("near"))
+    flagged = placed.join(near, ["first_doc", "first_number"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    flagged = stage(flagged.where("n > 1 OR near").drop("n"))
     gone = lines.join(flagged, ["h1", "h2"]).where("near OR doc_id <> first_doc OR number <> first_number")
     removed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("removed_lines"))
     counts = lines.groupBy("doc_id").agg(F.count_distinct("number").alias("n_lines"))
