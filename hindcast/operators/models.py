@@ -58,7 +58,7 @@ def fit_linear(moments: DataFrame, keys: list[str], features: int, configs: list
     ``converged`` says whether all snapshots of the batch settled within it.
     """
     key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in moments.select(*keys).schema.fields]
-    fields = ", ".join([*key_fields, "date date, config int, n_train bigint, intercept double, coef array<double>, standardised array<double>, converged boolean"])
+    fields = ", ".join([*key_fields, "date date, config int, n_train bigint, intercept double, coef array<double>, standardised array<double>, converged boolean, n_features bigint"])
     size = features + 2
     upper = np.triu_indices(size)
     plans = [(i, c["model_type"], float(c["params"].get("alpha", 1.0)), float(c["params"].get("l1_ratio", 0.5)), c["mode"], int(c["params"].get("max_iter", MAX_ITER))) for i, c in enumerate(configs)]
@@ -92,7 +92,7 @@ def fit_linear(moments: DataFrame, keys: list[str], features: int, configs: list
                 part = pdf[[*keys, "date"]].copy()
                 part["config"], part["n_train"] = index, pdf["n"]
                 part["intercept"], part["coef"], part["standardised"] = intercept, list(coef), list(weight)
-                part["converged"] = converged
+                part["converged"], part["n_features"] = converged, mask.sum(axis=1)
                 out.append(part)
             yield pd.concat(out, ignore_index=True)
 
@@ -111,7 +111,8 @@ def backtest_linear(
     """Rolling forecasts of many linear configurations from one pass of moments.
 
     ``model_keys`` ⊆ ``series_keys`` decide which series share a model. ``evaluated`` marks as-of rows;
-    ``fit_on`` is the month whose fit serves a row. Returns (predictions, fits).
+    ``fit_on`` is the month whose fit serves a row. ``n_features`` counts the columns left by policy and
+    transform, ``n_train`` the training rows of the as-of month. Returns (predictions, fits).
     """
     frame = panel.withColumn("_residual", F.col(target) - F.col(baseline))
     columns = [*features, target, "_residual"]
@@ -125,7 +126,11 @@ def backtest_linear(
     if model_keys:
         # One model per key: keep the fits spread out. A pooled model has at most one row per month.
         needed = needed.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), *model_keys, "date")
-    fits = fit_linear(ready.join(needed, [*model_keys, "date"], "left_semi"), model_keys, len(features), configs)
+    snapshots = ready.join(needed, [*model_keys, "date"], "left_semi")
+    if not model_keys:
+        # The moments of a pooled model come out of one running sum; its months are solved in as many tasks as there are.
+        snapshots = snapshots.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "date")
+    fits = fit_linear(snapshots, model_keys, len(features), configs)
     described = F.array(
         *[
             F.struct(
@@ -143,9 +148,9 @@ def backtest_linear(
     x = F.array(*[F.col(c).cast("double") for c in features])
     rows = asked.where(F.forall(x, lambda v: v.isNotNull())).withColumn("_x", x)
     fitted = fits.withColumnRenamed("date", "fit_date")
-    # Pooled fits are bounded by months x configurations, so they travel to the rows; the rows of one
-    # month never meet in one task.
-    joined = rows.join(fitted if model_keys else F.broadcast(fitted), [*model_keys, "fit_date"])
+    # What a row's own month could have been trained on, whichever month's fit serves it.
+    known = moments.select(*model_keys, "date", F.col("n").cast("bigint").alias("_n_as_of"))
+    joined = rows.join(fitted.drop("n_train"), [*model_keys, "fit_date"]).join(known, [*model_keys, "date"], "left")
     dot = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
     chosen = joined.withColumn("_d", F.get(described, F.col("config")))
     predictions = chosen.select(
@@ -154,11 +159,11 @@ def backtest_linear(
         "fit_date",
         (F.col("fit_date") == F.col("date")).alias("model_refit"),
         "_d.*",
-        F.col("n_train"),
+        F.coalesce("_n_as_of", F.lit(0)).alias("n_train"),
         F.col(target).alias("actual"),
         F.col(baseline).alias("seasonal_naive_prediction"),
         with_mode(F.col("intercept") + dot, F.col(baseline), F.col("_d.mode")).alias("prediction"),
-        F.size(F.filter("standardised", lambda v: v != 0)).alias("n_features"),
+        "n_features",
     )
     return predictions, fits.withColumn("_d", F.get(described, F.col("config"))).select("*", "_d.*").drop("_d")
 

@@ -507,6 +507,7 @@ _SOLVED = " UNION ALL ".join(
 def _penalised_sql(pooled: bool) -> str:
     owner = "'all'" if pooled else "t.series"
     same = "true" if pooled else "f.series = p.series"
+    mine = "true" if pooled else "t.series = p.series"
     return with_ctes("fpanel", f"""
 , days AS (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2001-10-01', INTERVAL 3 MONTH)) AS DATE) AS fit_date),
 fitted AS (SELECT *, cov_y / sd AS cy, cov_r / sd AS cr FROM (
@@ -514,7 +515,9 @@ fitted AS (SELECT *, cov_y / sd AS cy, cov_r / sd AS cr FROM (
          covar_pop(t.y_lag1, t.target) AS cov_y, covar_pop(t.y_lag1, t.target - t.baseline) AS cov_r
   FROM days d JOIN fpanel t ON t.date < CAST(d.fit_date - INTERVAL 3 MONTH AS DATE) WHERE t.y_lag1 IS NOT NULL AND t.target IS NOT NULL AND t.baseline IS NOT NULL GROUP BY 1, 2) WHERE n >= 24),
 solved AS ({_SOLVED})
-SELECT p.series, p.date AS as_of_date, f.fit_date, f.config_id, CAST(f.n AS BIGINT) AS n_train, {r4("f.ym + f.w / f.sd * (p.y_lag1 - f.mx) + CASE WHEN f.mode = 'residual' THEN p.baseline ELSE 0 END", 'prediction')}
+SELECT p.series, p.date AS as_of_date, f.fit_date, f.config_id, 1 AS n_features,
+  (SELECT count(*) FROM fpanel t WHERE t.date < CAST(p.date - INTERVAL 3 MONTH AS DATE) AND {mine} AND t.y_lag1 IS NOT NULL AND t.target IS NOT NULL AND t.baseline IS NOT NULL) AS n_train,
+  {r4("f.ym + f.w / f.sd * (p.y_lag1 - f.mx) + CASE WHEN f.mode = 'residual' THEN p.baseline ELSE 0 END", 'prediction')}
 FROM fpanel p JOIN solved f ON {same} AND f.fit_date = CAST(DATE '2000-01-01' + to_months(CAST(((year(p.date) - 2000) * 12 + month(p.date) - 1) // 3 * 3 AS INT)) AS DATE)
 WHERE p.date >= DATE '2000-01-01' AND p.target IS NOT NULL AND p.baseline IS NOT NULL AND p.y_lag1 IS NOT NULL""").replace("\n\n,", "\n,")
 
@@ -523,7 +526,7 @@ def _penalised(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     evaluated = (F.col("date") >= F.lit("2000-01-01").cast("date")) & F.col("target").isNotNull() & F.col("baseline").isNotNull()
     fit_on = bt.fit_date(F.col("date"), F.lit("2000-01-01").cast("date"), 3, 1)
     out, _ = md.backtest_linear(feature_panel(spark, folder), ["series"], keys, ["y_lag1"], "target", "baseline", LINEAR_GRID, evaluated, fit_on, EMBARGO)
-    return rounded(out.select("series", "as_of_date", "fit_date", "config_id", "n_train", "prediction"))
+    return rounded(out.select("series", "as_of_date", "fit_date", "config_id", "n_features", "n_train", "prediction"))
 
 
 @query("penalised_pooled", "B15 B6 B13 B5", _penalised_sql(True))
