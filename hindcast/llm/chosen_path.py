@@ -22,7 +22,7 @@ from hindcast.llm.common import stage
 from hindcast.llm.components import components
 
 TREES, BRANCHES = 4, 2
-#: Sketch positions; a document's sketch has two bytes for each.
+#: Sketch positions; a document's sketch has one byte for each, and two bytes for each position the roots use.
 SKETCH = 128
 #: Pairs below the threshold by more than this many standard errors of the sketch are no candidates.
 SKETCH_ERRORS = 4.0
@@ -63,7 +63,10 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(offsets: np.ndarray, values: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Minwise tokens of every non-empty set, one row each; rows of empty sets are zero."""
+    """Minwise tokens of every non-empty set, one row each; rows of empty sets are zero.
+
+    Tokens have 16 bits; comparisons use the lower 8 of them, by which unlike tokens agree once in 256 times.
+    """
     out = np.zeros((len(offsets) - 1, SKETCH), np.uint16)
     full = np.flatnonzero(np.diff(offsets))
     if not len(full):
@@ -76,27 +79,28 @@ def sketches(offsets: np.ndarray, values: np.ndarray, seed: int = 5) -> np.ndarr
     return out
 
 
-BASE = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
+BASE = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, rooted binary"
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
     """Of every row the size of its set, 128 bits that stand for the set, and its sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("rooted", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks_of(batches):
             offsets, values = shingle_sets(block["text"].combine_chunks(), words)
             marks = [common.whole_hashes(common.mix(values ^ np.uint64(k)), offsets, b).view(np.int64) for k, b in ((1, 0xBF58476D1CE4E5B9), (2, 0x94D049BB133111EB))]
-            rows = [x.tobytes() for x in sketches(offsets, values)]
-            yield from pa.Table.from_arrays([block["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), *map(pa.array, marks), pa.array(rows, pa.binary())], schema=schema).to_batches(max_chunksize=4000)
+            tokens = sketches(offsets, values)
+            rows = [[x.tobytes() for x in part] for part in (tokens.astype(np.uint8), tokens[:, : TREES * BRANCHES])]
+            yield from pa.Table.from_arrays([block["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), *map(pa.array, marks), *(pa.array(r, pa.binary()) for r in rows)], schema=schema).to_batches(max_chunksize=4000)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BASE)
 
 
 def roots(reps: DataFrame) -> DataFrame:
     """Every document in the children it goes to from the root of each tree: the first positions of the sketch."""
-    keys = [F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * k + 1}, 2)")) for k in range(TREES * BRANCHES)]
-    return reps.withColumn("node", F.explode(F.array(*keys)))
+    keys = [F.xxhash64(F.lit(k), F.expr(f"substring(rooted, {2 * k + 1}, 2)")) for k in range(TREES * BRANCHES)]
+    return reps.withColumn("node", F.explode(F.array(*keys))).drop("rooted")
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
@@ -104,7 +108,7 @@ def children(rows: DataFrame, level: int) -> DataFrame:
     keys = []
     for j in range(BRANCHES):
         position = F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(SKETCH))
-        keys.append(F.xxhash64("node", F.lit(j), F.substring("sketch", (2 * position + 1).cast("int"), F.lit(2))))
+        keys.append(F.xxhash64("node", F.lit(j), F.substring("sketch", (position + 1).cast("int"), F.lit(1))))
     return rows.withColumn("node", F.explode(F.array(*keys)))
 
 
@@ -216,7 +220,7 @@ def node_join(rows: DataFrame, percent: int) -> DataFrame:
         held = None
         for batch in batches:
             columns = [batch["node"].to_numpy(), batch["rep_id"].to_numpy(), batch["n_shingles"].to_numpy()]
-            columns.append(np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH))
+            columns.append(np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH))
             columns.append(batch["label"].to_numpy() if labelled else np.zeros(len(columns[0]), np.int64))
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(held[0])) + 1]).tolist()
@@ -351,8 +355,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, task_row
     """
     base = stage(described(docs, words))
     classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles")
-    reps = stage(classes.agg(F.min("doc_id").alias("rep_id"), F.first("sketch").alias("sketch")))
-    links = similar_pairs(reps.select("rep_id", "n_shingles", "sketch"), docs, words, percent, task_rows, most_levels)
+    reps = stage(classes.agg(F.min("doc_id").alias("rep_id"), F.first("sketch").alias("sketch"), F.first("rooted").alias("rooted")))
+    links = similar_pairs(reps.select("rep_id", "n_shingles", "sketch", "rooted"), docs, words, percent, task_rows, most_levels)
     known = components(links).withColumnsRenamed({"node": "rep_id", "component": "reached"})
     final = stage(reps.select("s1", "s2", "n_shingles", "rep_id").join(known, "rep_id", "left").select("s1", "s2", "n_shingles", F.coalesce("reached", "rep_id").alias("component")))
     rows = base.select("doc_id", "n_shingles", "s1", "s2").join(final, ["s1", "s2", "n_shingles"], "left")
