@@ -339,13 +339,13 @@ def hac_regression(spark: SparkSession, folder: str) -> DataFrame:
 EMBARGO = 3
 _USABLE = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "target", "baseline"])
 cte("snap", "fpanel", f"""
-  SELECT e.date AS as_of, t.* FROM (SELECT DISTINCT date FROM fpanel WHERE date >= DATE '2000-07-01' AND month(date) IN (1, 7)) e
+  SELECT e.date AS as_of, t.* FROM (SELECT DISTINCT date FROM fpanel WHERE date >= DATE '2000-07-01') e
   JOIN fpanel t ON t.date < CAST(e.date - INTERVAL {EMBARGO} MONTH AS DATE) WHERE {_USABLE}""")
 
 
 def _moments(spark: SparkSession, folder: str, columns: list[str], keys: list[str]) -> DataFrame:
     moments = pol.prefix_moments(feature_panel(spark, folder), keys, columns, ["baseline"], EMBARGO, one_row_per_month=bool(keys))
-    late = (F.col("date") >= F.lit("2000-07-01").cast("date")) & F.month("date").isin(1, 7)
+    late = (F.col("date") >= F.lit("2000-07-01").cast("date"))
     return moments.where(late)
 
 
@@ -419,7 +419,7 @@ def _mi_sql(bins: int = 4) -> str:
 , usable AS (SELECT * FROM fpanel WHERE {usable}), edges AS (SELECT series, {edges} FROM usable GROUP BY 1),
 binned AS (SELECT u.series, u.date, {binned} FROM usable u JOIN edges USING (series)),
 long AS ({parts}),
-days AS (SELECT DISTINCT date AS as_of FROM fpanel WHERE date >= DATE '2000-01-01' AND month(date) = 1),
+days AS (SELECT DISTINCT date AS as_of FROM fpanel WHERE date >= DATE '2000-01-01'),
 cells AS (SELECT l.series, d.as_of, l.feature, x, y, CAST(count(*) AS DOUBLE) AS k FROM long l JOIN days d ON l.date < CAST(d.as_of - INTERVAL 3 MONTH AS DATE) GROUP BY 1, 2, 3, 4, 5),
 marg AS (SELECT *, sum(k) OVER (PARTITION BY series, as_of, feature) AS n, sum(k) OVER (PARTITION BY series, as_of, feature, x) AS kx, sum(k) OVER (PARTITION BY series, as_of, feature, y) AS ky FROM cells)
 SELECT series, as_of AS date, feature, CAST(max(n) AS BIGINT) AS n, round(sum(k / n * ln(k * n / (kx * ky))), 6) + 0.0 AS score FROM marg GROUP BY 1, 2, 3""").replace("\n\n,", "\n,")
@@ -428,13 +428,13 @@ SELECT series, as_of AS date, feature, CAST(max(n) AS BIGINT) AS n, round(sum(k
 @query("mutual_information", "B9", _mi_sql())
 def mutual_information(spark: SparkSession, folder: str) -> DataFrame:
     scores = pol.mutual_information(feature_panel(spark, folder), ["series"], ["y_lag1", "y_lag12"], "target", "2000-01-01", EMBARGO)
-    return rounded(scores.where(F.month("date") == 1).drop("position"), 6)
+    return rounded(scores.drop("position"), 6)
 
 
 @query("mi_top_k", "B9 T9")
 def mi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     scores = pol.mutual_information(feature_panel(spark, folder), ["series"], FEATURES, "target", "2000-01-01", EMBARGO)
-    return rounded(pol.top_features(scores.where(F.month("date") == 1), ["series", "date"], 3), 6)
+    return rounded(pol.top_features(scores, ["series", "date"], 3), 6)
 
 
 @query("tree_top_k", "B11 T9")
@@ -484,7 +484,7 @@ def least_squares_backtest(spark: SparkSession, folder: str) -> DataFrame:
     """One feature and no penalty: the pooled moment fit equals a plain regression on every snapshot."""
     panel = feature_panel(spark, folder)
     complete = panel.withColumn("baseline", F.when(F.forall(F.array(*FEATURES), lambda v: v.isNotNull()), F.col("baseline")))
-    late = (F.col("date") >= F.lit("2000-07-01").cast("date")) & F.month("date").isin(1, 7) & F.col("target").isNotNull() & F.col("baseline").isNotNull()
+    late = (F.col("date") >= F.lit("2000-07-01").cast("date")) & F.col("target").isNotNull() & F.col("baseline").isNotNull()
     config = [{"model_type": "ridge", "params": {"alpha": 0.0}, "mode": "raw"}]
     out, _ = md.backtest_linear(complete, ["series"], [], ["y_lag1"], "target", "baseline", config, late, F.col("date"), EMBARGO)
     return rounded(out.select("series", "as_of_date", "n_train", "actual", "prediction"))
