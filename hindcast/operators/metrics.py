@@ -12,26 +12,32 @@ from hindcast.operators.distribution import ranked
 from hindcast.session import is_small, materialize
 
 
-def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, series_keys: list[str] | None = None) -> DataFrame:
     """One row per (configuration, scope): overall plus every evaluation period (A2-A5).
 
-    The facts are exchanged once by ``config_id``, which serves the ordered direction windows and the
-    aggregation. Configurations with a NULL key are left out.
+    Directions follow one series from month to month: where a configuration forecasts several, ``series_keys``
+    name their columns, and the hits of all series are added up. Without them the facts are exchanged
+    once by ``config_id``, which serves the ordered windows and the aggregation. Configurations with a NULL key are left out.
     """
     keys = keys or CONFIG_KEYS
+    series = series_keys or []
     facts = predictions
     if "feature_transform" in facts.columns:
         facts = facts.withColumn("feature_transform", F.coalesce("feature_transform", F.lit("identity")))
     facts = facts.dropna(subset=keys)
 
     def same_direction(*partition: str) -> Column:
-        w = W.partitionBy("config_id", *partition).orderBy("as_of_date")
+        w = W.partitionBy("config_id", *series, *partition).orderBy("as_of_date")
         moved = F.signum(F.col("actual") - F.lag("actual").over(w))
         expected = F.signum(F.col("prediction") - F.lag("prediction").over(w))
         return (moved == expected).cast("int")
 
-    # Sums around the first actual value: any shift gives the same variance, this one keeps it accurate.
-    first = F.first("actual").over(W.partitionBy("config_id").orderBy("as_of_date"))
+    # Sums around one actual value of the configuration: any shift gives the same variance, this one keeps it accurate.
+    if series:
+        facts = facts.join(facts.groupBy("config_id").agg(F.min("actual").alias("_first")), "config_id")
+        first = F.col("_first")
+    else:
+        first = F.first("actual").over(W.partitionBy("config_id").orderBy("as_of_date"))
     facts = facts.withColumns(
         {
             "_hit_all": same_direction(),
@@ -160,9 +166,9 @@ def champion(metrics: DataFrame) -> DataFrame:
     )
 
 
-def rolling_error(predictions: DataFrame, windows: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
-    """Mean absolute error over the last months per configuration; short starts allowed."""
-    w = W.partitionBy("config_id").orderBy("as_of_date")
+def rolling_error(predictions: DataFrame, windows: tuple[int, ...] = (3, 6, 12), series_keys: list[str] | None = None) -> DataFrame:
+    """Mean absolute error over the last months per configuration and series; short starts allowed."""
+    w = W.partitionBy("config_id", *(series_keys or [])).orderBy("as_of_date")
     return predictions.withColumns(
         {f"rolling_{k}mo_mae": F.avg("abs_error").over(w.rowsBetween(-(k - 1), 0)) for k in windows}
     )

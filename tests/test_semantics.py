@@ -123,6 +123,19 @@ def one(config, values, family="linear", features_=1, key="fs"):
     return [(config, month(i), month(i + 3), a, p, n, family, features_, 0.5, key) for i, (a, p, n) in enumerate(values)]
 
 
+def test_metrics_follow_each_series(spark):
+    """One series always forecast in the right direction and without error, the other always in the wrong one."""
+    right = [(float(i), float(i), 0.0) for i in range(6)]
+    wrong = [(100.0 + i, 100.0 - i, 0.0) for i in range(6)]
+    both = facts(spark, one("c", right)).withColumn("series", F.lit("right")).union(facts(spark, one("c", wrong)).withColumn("series", F.lit("wrong")))
+    found = metrics.backtest_metrics(both, series_keys=["series"]).where("evaluation_scope = 'overall'").first()
+    assert found.diracc == pytest.approx(0.5) and found.n_predictions == 12
+    alone = metrics.backtest_metrics(facts(spark, one("c", wrong))).where("evaluation_scope = 'overall'").first()
+    assert found.mae == pytest.approx(alone.mae / 2)
+    rolled = metrics.rolling_error(both, series_keys=["series"]).where("series = 'right'").agg(F.max("rolling_3mo_mae")).first()[0]
+    assert rolled == 0
+
+
 def overall(spark, rows):
     out = metrics.backtest_metrics(facts(spark, rows)).where("evaluation_scope = 'overall'").collect()
     return {r.config_id: r for r in out}
