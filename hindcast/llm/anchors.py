@@ -122,8 +122,9 @@ def _table(columns: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(shard, hash) of every anchor that occurs in two or more different texts.
 
-    ``docs`` has shard, mark (56 bits of the text's hash) and text. Rows of one hash come together sorted; a
-    run needs no more memory than its distinct (shard, text) pairs in a batch.
+    ``docs`` has doc_id, shard, mark (56 bits of the text's hash) and text. Copies of a text are settled without
+    an answer, so of those in a block only the least doc_id speaks: copies hardly add to the rows of a hash.
+    Rows of one hash come together sorted.
     """
     rows_schema = pa.schema([("hash", pa.int64()), ("mark", pa.int64()), ("shard", pa.int64())])
 
@@ -132,7 +133,12 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
             block = Block(table["text"].combine_chunks(), window)
             places, hashes = block.anchors()
             rows = block.rows[places]
-            yield from _table([hashes.view(np.int64), table["mark"].to_numpy()[rows], table["shard"].to_numpy()[rows]], rows_schema)
+            columns = [hashes.view(np.int64), *(table[c].to_numpy()[rows] for c in ("mark", "doc_id", "shard"))]
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            first = np.ones(len(order), bool)
+            first[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            yield from _table([columns[k][first] for k in (0, 1, 3)], rows_schema)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _sorted_runs(batches, 1):
@@ -142,7 +148,7 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
             keep[1:] &= (columns[0][1:] != columns[0][:-1]) | (columns[2][1:] != columns[2][:-1])
             yield from _table([columns[2][keep], columns[0][keep]], pa.schema([("shard", pa.int64()), ("hash", pa.int64())]))
 
-    rows = docs.select("text", "mark", "shard").mapInArrow(emit, "hash long, mark long, shard long")
+    rows = docs.select("text", "mark", "shard", "doc_id").mapInArrow(emit, "hash long, mark long, shard long")
     return rows.repartition("hash").sortWithinPartitions("hash", "shard").mapInArrow(share, "shard long, hash long")
 
 
