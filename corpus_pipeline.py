@@ -15,6 +15,13 @@ from hindcast.llm.common import small_batches, stage, table
 
 #: Shingle words and similarity at which documents are near-duplicates.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: Narrow rows about documents that may travel to the texts; more of them are joined by shuffling both.
+BROADCAST_ROWS = 1_000_000
+
+
+def beside(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` of an identifier and a number, to be broadcast only if their count allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = chosen_path.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     gone = stage(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(beside(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     small_batches(spark)
     taken = stage(mixing.mix_documents(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).where("_copies > 0")
+    rows = docs.join(beside(taken.withColumnRenamed("doc_id", "_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).where("_copies > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
