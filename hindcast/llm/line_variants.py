@@ -58,7 +58,9 @@ class Lines:
         self.text, self.number = text[full], full - bounds[:-1][text[full]]
         self.start, self.end = offsets[:-1][full], offsets[1:][full]
         self.n = self.end - self.start
-        self.ranges = [Ranges(common.word_hashes(words, k + 1), base) for k, base in enumerate(BASES)]
+        first = common.word_hashes(words, 1)
+        # Two bases make the hashes of sequences independent; the words' second hashes come from the first.
+        self.ranges = [Ranges(h, base) for h, base in zip((first, common.mix(first ^ np.uint64(BASES[1]))), BASES, strict=True)]
         self.h1, self.h2 = (r.whole(self.start, self.end) for r in self.ranges)
 
     def half_keys(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
