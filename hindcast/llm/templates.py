@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps
 its template. Template windows of the benchmark are looked up in every document; a hit stands only where
-the values under the placeholders map consistently from the item to the document.
+the values under the placeholders map consistently from the item to the document. Template windows of
+mostly placeholders would match anything and are not looked up; every window is also looked up by its
+words, so a verbatim passage is found whatever it is made of.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from hindcast.llm.common import stage
 WINDOW = 8
 #: Words of an item that must match in line: this many, or half of a shorter item.
 COVER = 13
-#: Shorter items are too common to search for.
+#: Half of an item means at least so many words; items with fewer are looked for whole and verbatim.
 LEAST_WORDS = 5
 #: Words of benchmark items that one pass over the documents looks for.
 PASS_WORDS = 2_000_000
@@ -35,6 +37,7 @@ gallons second seconds minute minutes hour hours day days week weeks month month
 cents yen percent degree degrees celsius fahrenheit joule joules watt watts volt volts ampere amperes newton newtons""".split()
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+EMPTY = np.uint64(xxhash.xxh3_64_intdigest("", 3))
 PLACEHOLDERS = [0, *(xxhash.xxh3_64_intdigest(x, 3) for x in ("<number>", "<name>", "<unit>"))]
 
 
@@ -87,6 +90,13 @@ class Windows:
     at: np.ndarray
     present: np.ndarray
 
+    @classmethod
+    def of(cls, hashes: np.ndarray, keep: np.ndarray, rows: np.ndarray, width: int) -> Windows:
+        keep = keep[np.argsort(hashes[keep], kind="stable")]
+        present = np.zeros(1 << 20, bool)
+        present[(hashes[keep] >> np.uint64(44)).astype(np.int64)] = True
+        return cls(width, hashes[keep], rows[keep], keep, present)
+
     def hits(self, hashes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` and entries of this table that agree."""
         places = np.flatnonzero(inside & self.present[(hashes >> np.uint64(44)).astype(np.int64)])
@@ -103,59 +113,64 @@ def inside_rows(offsets: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Templates of some items and their windows."""
+    """Templates of some items and their windows: by template tokens, and by words."""
 
     def __init__(self, item_ids: list, texts: pa.Array, window: int = WINDOW, cover: int = COVER, least_words: int = LEAST_WORDS):
         self.item_ids, self.t = item_ids, template(texts)
         lengths = np.diff(self.t.offsets)
-        self.cover = np.minimum(cover, np.maximum(least_words, -(-lengths // 2)))
-        self.windows = []
-        widths = np.where(lengths >= least_words, np.minimum(window, lengths), 0)
+        self.cover = np.where(lengths < least_words, lengths, np.minimum(cover, np.maximum(least_words, -(-lengths // 2))))
         rows = common.row_of(self.t.offsets)
+        told = np.bincount(rows[self.t.values != EMPTY], minlength=len(lengths)) > 0  # not punctuation alone
+        widths = np.where(told, np.minimum(window, self.cover), 0)
+        literal = np.concatenate([[0], np.cumsum(self.t.kinds == LITERAL)])
+        self.windows, self.verbatim = [], []
         for width in sorted(set(widths.tolist()) - {0}):
-            hashes = common.window_hashes(self.t.tokens, width)
-            literal = np.concatenate([[0], np.cumsum(self.t.kinds == LITERAL)])
+            inside = inside_rows(self.t.offsets, len(rows), width)
+            inside &= widths[rows[: len(inside)]] == width
             enough = 2 * (literal[width:] - literal[:-width]) >= width
-            keep = np.flatnonzero(inside_rows(self.t.offsets, len(rows), width) & (widths[rows[: len(hashes)]] == width) & enough)
-            keep = keep[np.argsort(hashes[keep], kind="stable")]
-            present = np.zeros(1 << 20, bool)
-            present[(hashes[keep] >> np.uint64(44)).astype(np.int64)] = True
-            self.windows.append(Windows(width, hashes[keep], rows[keep], keep, present))
+            templates = enough & (lengths[rows[: len(inside)]] >= least_words)
+            for windows, of, keep in ((self.windows, self.t.tokens, inside & templates), (self.verbatim, self.t.values, inside)):
+                windows.append(Windows.of(common.window_hashes(of, width), np.flatnonzero(keep), rows, width))
 
     def leaks(self, texts: pa.Array) -> list[dict[int, bool]]:
         """Of every text the items that it repeats (by index), and whether with other values."""
         t = template(texts)
-        found: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        rows = common.row_of(t.offsets)
-        for w in self.windows:
-            hashes = common.window_hashes(t.tokens, w.width)
-            places, entries = w.hits(hashes, inside_rows(t.offsets, len(t.tokens), w.width))
-            for row, item, shift, at in zip(rows[places].tolist(), w.item[entries].tolist(), (places - w.at[entries]).tolist(), places.tolist(), strict=True):
-                found.setdefault((row, item, shift), []).append((at, w.width))
         out: list[dict[int, bool]] = [{} for _ in range(len(t.offsets) - 1)]
-        for (row, item, shift), spans in found.items():
-            covered, changed = self.consistent(t, shift, spans)
-            if covered >= self.cover[item]:
+        rows = common.row_of(t.offsets)
+        found: dict[tuple[int, int, int], tuple[list, list]] = {}
+        for by_words, of, tables in ((False, t.tokens, self.windows), (True, t.values, self.verbatim)):
+            for w in tables:
+                places, entries = w.hits(common.window_hashes(of, w.width), inside_rows(t.offsets, len(of), w.width))
+                row, item, shift = rows[places], w.item[entries], places - w.at[entries]
+                if by_words:  # one window may be all that is asked for
+                    whole = self.cover[item] <= w.width
+                    for r, i in zip(*(x.tolist() for x in np.divmod(np.unique(row[whole] * len(self.cover) + item[whole]), max(1, len(self.cover)))), strict=True):
+                        out[r][i] = False
+                    row, item, shift, places = (x[~whole] for x in (row, item, shift, places))
+                for r, i, s, at in zip(row.tolist(), item.tolist(), shift.tolist(), places.tolist(), strict=True):
+                    found.setdefault((r, i, s), ([], []))[by_words].append((at, w.width))
+        for (row, item, shift), (spans, verbatim) in found.items():
+            same = {p for a, n in verbatim for p in range(a, a + n)}
+            changed = len(same) < self.cover[item]
+            if changed:
+                same |= self.consistent(t, shift, spans)
+            if len(same) >= self.cover[item]:
                 out[row][item] = out[row].get(item, True) and changed  # a verbatim passage is no changed one
         return out
 
-    def consistent(self, t: Template, shift: int, spans: list[tuple[int, int]]) -> tuple[int, bool]:
-        """Words covered by windows without a conflicting slot, and whether any slot differs.
+    def consistent(self, t: Template, shift: int, spans: list[tuple[int, int]]) -> set[int]:
+        """Places covered by template windows without a conflicting slot.
 
         A slot conflicts if its item value already maps to another value in this passage.
         """
-        places = np.unique(np.concatenate([np.arange(a, a + n) for a, n in spans]))
+        places = sorted({p for a, n in spans for p in range(a, a + n)})
         maps: dict[tuple[int, int], int] = {}
-        bad, changed = set(), False
-        for at in places[self.t.kinds[places - shift] != LITERAL].tolist():
-            key, value = (int(self.t.kinds[at - shift]), int(self.t.values[at - shift])), int(t.values[at])
-            if maps.setdefault(key, value) != value:
+        bad = set()
+        for at in places:
+            kind = int(self.t.kinds[at - shift])
+            if kind != LITERAL and maps.setdefault((kind, int(self.t.values[at - shift])), int(t.values[at])) != int(t.values[at]):
                 bad.add(at)
-            changed |= key[1] != value
-        if bad:
-            spans = [(a, n) for a, n in spans if not any(a <= b < a + n for b in bad)]
-            places = np.unique(np.concatenate([np.arange(a, a + n) for a, n in spans])) if spans else []
-        return len(places), changed
+        return {p for a, n in spans if not any(a <= b < a + n for b in bad) for p in range(a, a + n)}
 
 
 LEAK = {"item_ids": pa.list_(pa.int64()), "changed_item_ids": pa.list_(pa.int64())}
@@ -166,8 +181,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", pass_w
     that it asks with other numbers, names or units. Both sorted; empty for clean, empty and null texts.
 
     One pass over the documents looks for items of at most ``pass_words`` words; a larger benchmark takes more
-    passes. Items are dealt to passes by their identifier. Items without text, with fewer than five words or
-    with a null item_id are not looked for. Repeated rows get the same answer.
+    passes. Items are dealt to passes by their identifier. Items without letters and digits or with a null
+    item_id are not looked for; items with fewer than five words are found whole and verbatim. Repeated rows get the same answer.
     """
     items = stage(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")))
     words = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0

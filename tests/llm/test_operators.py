@@ -263,6 +263,16 @@ def test_slots_must_map_consistently():
     assert bench.leaks(pa.array([same, broken, item])) == [{0: True}, {}, {0: False}]
 
 
+def test_verbatim_passages_of_few_literals():
+    items = ["Barack Obama visited New York City", "1 2 3 5 8 13 21 34 55 89 144 233 377 610", "Who wrote Hamlet?", "Der Hund jagt die Katze durch Garten, Haus, Hof, Feld, Wald und Wiese nach Bonn", "-"]
+    bench = templates.Benchmark(list(range(5)), pa.array(items))
+    for k, item in enumerate(items[:4]):
+        assert bench.leaks(pa.array(["so it was - then " + item + " and so on", item.lower()])) == [{k: False}, {k: False}]
+    half = "one two three four five six seven eight nine ten"
+    bench = templates.Benchmark([1], pa.array([half]))
+    assert bench.leaks(pa.array(["x one two three four five y", "x one two three four y", "Who wrote?"])) == [{0: False}, {}, {}]
+
+
 def test_shards(spark, docs, none):
     rows = sharding.document_shards(docs).collect()
     assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 1 for _, t, *_ in ROWS)
