@@ -222,15 +222,9 @@ def learn_scores(docs: DataFrame, sample: DataFrame) -> Model:
 
 
 def find_segments(model: Model, texts: pa.Array) -> tuple[list[int], list[list[tuple[float, int, int]]]]:
-    """Words and maximal segments of every text. A word is evidence once a document: repeats count as unknown."""
+    """Words and maximal segments of every text. Every occurrence of a word has its score."""
     offsets, codes, distinct = normal_words(texts)
-    scores = model.token_scores(distinct)[codes]
-    places = np.flatnonzero(scores > -DRIFT)
-    keys = common.row_of(offsets)[places] * np.int64(len(distinct) + 1) + codes[places]
-    once = np.zeros(len(scores), bool)
-    once[places[np.unique(keys, return_index=True)[1]]] = True
-    scores[~once & (scores > -DRIFT)] = -DRIFT
-    return np.diff(offsets).tolist(), maximal_segments(scores, offsets)
+    return np.diff(offsets).tolist(), maximal_segments(model.token_scores(distinct)[codes], offsets)
 
 
 def scan(docs: DataFrame, model: Model, carried: str) -> DataFrame:

@@ -224,6 +224,14 @@ def test_segments_against_definition():
             assert inner[0] < inner[1:].min() and inner[-1] > inner[:-1].max()
 
 
+def test_repeated_passages_are_found():
+    bad, rest = "vile foul rotten nasty", " ".join(f"plain{i} words" for i in range(40))
+    model = toxicity.Model(pa.array(["vile", "foul", "rott", "nast"], pa.large_string()), np.full(4, 4.0), log_k=-1.0)
+    spread = " ".join(f"{w} {rest}" for w in bad.split())
+    scores, n = toxicity.rate(model, pa.array([f"{rest} {bad} {rest}", f"{bad} {rest} {bad} {rest} {bad}", f"{spread} {bad}", spread]))
+    assert n == [1, 3, 1, 0] and scores[1] > scores[0]
+
+
 def test_toxicity_on_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, None, 1), (2, 1, 0), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
     found = toxicity.score_documents(docs, toxicity.learn(docs, labels)).collect()
