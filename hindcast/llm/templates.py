@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so that a question asked aga
 its template. Template windows of the benchmark are looked up in every document; a hit stands only where
 the values under the placeholders map consistently from the item to the document. Template windows of
 mostly placeholders would match anything and are not looked up; every window is also looked up by its
-words, so a verbatim passage is found whatever it is made of.
+words, so a verbatim passage is found whatever it is made of. Capitals are read in three ways, and a run of
+names or numbers is one placeholder, so that names of other length, case or place in the sentence match.
 """
 
 from __future__ import annotations
@@ -41,21 +42,26 @@ EMPTY = np.uint64(xxhash.xxh3_64_intdigest("", 3))
 PLACEHOLDERS = [0, *(xxhash.xxh3_64_intdigest(x, 3) for x in ("<number>", "<name>", "<unit>"))]
 
 
+#: How capitals are read: only inside sentences, at their beginning too, or by the word form whatever its case.
+VIEWS = ("inside", "anywhere", "form")
+
+
 @dataclass
-class Template:
-    """Words of several texts: offsets, the hash of each word's template token, its kind and its value."""
+class Words:
+    """Canonical words of several texts: offsets, the hash of each word and its kind in each view."""
 
     offsets: np.ndarray
-    tokens: np.ndarray
-    kinds: np.ndarray
     values: np.ndarray
+    kinds: dict[str, np.ndarray]
+    #: Of each distinct word its hash, and how often it occurs capitalised inside a sentence and in lower case.
+    forms: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def template(texts: pa.Array) -> Template:
-    """Canonical words; each distinct word is looked at once.
+def canonical(texts: pa.Array, names: np.ndarray) -> Words:
+    """Canonical words; each distinct word is looked at once. ``names`` are the sorted hashes of name forms.
 
-    A word with digits and no letters besides a unit is a number, a unit word a unit, and a capitalised word
-    that does not begin a sentence a name. Case and surrounding punctuation do not count.
+    A word with digits and no letters besides a unit is a number and a unit word a unit. Case and surrounding
+    punctuation do not count.
     """
     offsets, words = common.split_words(texts)
     distinct = words.dictionary
@@ -71,13 +77,48 @@ def template(texts: pa.Array) -> Template:
     begins = np.ones(len(codes), bool)
     begins[1:] = ends[codes[:-1]]
     begins[offsets[:-1][offsets[:-1] < len(codes)]] = True
-    kinds = np.zeros(len(codes), np.uint8)
-    kinds[number[codes]] = NUMBER
-    kinds[unit[codes]] = UNIT
-    kinds[title[codes] & ~begins] = NAME
-    values = hashes[codes]
+    plain = np.where(number, NUMBER, np.where(unit, UNIT, LITERAL)).astype(np.uint8)
+    known = np.where(isin_sorted(hashes, names) & (plain == LITERAL), NAME, plain).astype(np.uint8)
+    kinds = {"anywhere": np.where(title, NAME, plain).astype(np.uint8)[codes], "form": known[codes]}
+    kinds["inside"] = np.where(begins, plain[codes], kinds["anywhere"])
+    small = pc.equal(bare, lower).to_numpy(zero_copy_only=False)
+    inside = np.bincount(codes[title[codes] & ~begins], minlength=len(hashes))
+    return Words(offsets, hashes[codes], kinds, (hashes, inside, np.bincount(codes, minlength=len(hashes)) * small))
+
+
+def isin_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array."""
+    at = np.searchsorted(among, values)
+    return (at < len(among)) & (among[np.minimum(at, len(among) - 1)] == values) if len(among) else np.zeros(len(values), bool)
+
+
+@dataclass
+class Template:
+    """A view's tokens: runs of names and of numbers are one. Row offsets, template hashes, kinds, the hash of
+    the words, where each token begins (and the end of all), and the token of each word."""
+
+    offsets: np.ndarray
+    tokens: np.ndarray
+    kinds: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    of_word: np.ndarray
+
+
+def template(words: Words, view: str) -> Template:
+    kinds, n = words.kinds[view], len(words.values)
+    first = np.ones(n, bool)
+    first[1:] = (kinds[1:] != kinds[:-1]) | ((kinds[1:] != NAME) & (kinds[1:] != NUMBER))
+    first[words.offsets[:-1][words.offsets[:-1] < n]] = True
+    starts = np.flatnonzero(first)
+    of_word = np.cumsum(first) - 1
+    place = np.arange(n) - starts[of_word] if n else np.zeros(0, np.int64)
+    powers = common.powers(0x9E3779B97F4A7C15, int(place.max()) + 1 if n else 1)
+    values = np.add.reduceat(words.values * powers[place], starts) if n else words.values
+    kinds = kinds[starts]
     tokens = np.where(kinds == LITERAL, values, np.array(PLACEHOLDERS, np.uint64)[kinds])
-    return Template(offsets, tokens, kinds, values)
+    ends = np.append(starts, n)
+    return Template(np.searchsorted(ends, words.offsets), tokens, kinds, values, ends, of_word)
 
 
 @dataclass
@@ -113,64 +154,123 @@ def inside_rows(offsets: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Templates of some items and their windows: by template tokens, and by words."""
+    """Templates of some items and their windows: by template tokens of each view, and by words."""
 
-    def __init__(self, item_ids: list, texts: pa.Array, window: int = WINDOW, cover: int = COVER, least_words: int = LEAST_WORDS):
-        self.item_ids, self.t = item_ids, template(texts)
-        lengths = np.diff(self.t.offsets)
+    def __init__(self, item_ids: list, texts: pa.Array, window: int = WINDOW, cover: int = COVER, least_words: int = LEAST_WORDS, names: np.ndarray | None = None):
+        if names is None:  # those of the items
+            names = names_of(*canonical(texts, np.zeros(0, np.uint64)).forms)
+        self.item_ids, self.names, self.w = item_ids, names, canonical(texts, names)
+        lengths = np.diff(self.w.offsets)
         self.cover = np.where(lengths < least_words, lengths, np.minimum(cover, np.maximum(least_words, -(-lengths // 2))))
-        rows = common.row_of(self.t.offsets)
-        told = np.bincount(rows[self.t.values != EMPTY], minlength=len(lengths)) > 0  # not punctuation alone
+        rows = common.row_of(self.w.offsets)
+        told = np.bincount(rows[self.w.values != EMPTY], minlength=len(lengths)) > 0  # not punctuation alone
         widths = np.where(told, np.minimum(window, self.cover), 0)
-        literal = np.concatenate([[0], np.cumsum(self.t.kinds == LITERAL)])
-        self.windows, self.verbatim = [], []
+        self.verbatim = []
         for width in sorted(set(widths.tolist()) - {0}):
-            inside = inside_rows(self.t.offsets, len(rows), width)
-            inside &= widths[rows[: len(inside)]] == width
-            enough = 2 * (literal[width:] - literal[:-width]) >= width
-            templates = enough & (lengths[rows[: len(inside)]] >= least_words)
-            for windows, of, keep in ((self.windows, self.t.tokens, inside & templates), (self.verbatim, self.t.values, inside)):
-                windows.append(Windows.of(common.window_hashes(of, width), np.flatnonzero(keep), rows, width))
+            inside = inside_rows(self.w.offsets, len(rows), width)
+            keep = np.flatnonzero(inside & (widths[rows[: len(inside)]] == width))
+            self.verbatim.append(Windows.of(common.window_hashes(self.w.values, width), keep, rows, width))
+        self.views = {view: template(self.w, view) for view in VIEWS}
+        self.windows = {view: self.template_windows(t, np.where(lengths >= least_words, widths, 0)) for view, t in self.views.items()}
+
+    @staticmethod
+    def template_windows(t: Template, words: np.ndarray) -> list[Windows]:
+        """Runs of tokens of at least so many words of the item, the shortest from each token on and up to each.
+
+        At least half of the tokens, and three, are literal.
+        """
+        rows = common.row_of(t.offsets)
+        n, asked = len(rows), words[rows]
+        after = np.searchsorted(t.starts, t.starts[:-1] + asked)
+        before = np.searchsorted(t.starts, t.starts[1:] - asked, side="right") - 1
+        begin = np.concatenate([np.arange(n), before])
+        end = np.concatenate([after, np.arange(1, n + 1)])
+        of = np.concatenate([rows, rows])
+        keep = (np.concatenate([asked, asked]) > 0) & (begin >= t.offsets[of]) & (end <= t.offsets[of + 1])
+        begin, end = np.unique(np.stack([begin[keep], end[keep]]), axis=1) if keep.any() else (begin[:0], end[:0])
+        literal = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
+        literal = literal[end] - literal[begin]
+        keep = (2 * literal >= end - begin) & (literal >= 3)
+        begin, width = begin[keep], (end - begin)[keep]
+        return [Windows.of(common.window_hashes(t.tokens, k), begin[width == k], rows, k) for k in sorted(set(width.tolist()))]
 
     def leaks(self, texts: pa.Array) -> list[dict[int, bool]]:
         """Of every text the items that it repeats (by index), and whether with other values."""
-        t = template(texts)
-        out: list[dict[int, bool]] = [{} for _ in range(len(t.offsets) - 1)]
-        rows = common.row_of(t.offsets)
-        found: dict[tuple[int, int, int], tuple[list, list]] = {}
-        for by_words, of, tables in ((False, t.tokens, self.windows), (True, t.values, self.verbatim)):
-            for w in tables:
-                places, entries = w.hits(common.window_hashes(of, w.width), inside_rows(t.offsets, len(of), w.width))
-                row, item, shift = rows[places], w.item[entries], places - w.at[entries]
-                if by_words:  # one window may be all that is asked for
-                    whole = self.cover[item] <= w.width
-                    for r, i in zip(*(x.tolist() for x in np.divmod(np.unique(row[whole] * len(self.cover) + item[whole]), max(1, len(self.cover)))), strict=True):
-                        out[r][i] = False
-                    row, item, shift, places = (x[~whole] for x in (row, item, shift, places))
-                for r, i, s, at in zip(row.tolist(), item.tolist(), shift.tolist(), places.tolist(), strict=True):
-                    found.setdefault((r, i, s), ([], []))[by_words].append((at, w.width))
-        for (row, item, shift), (spans, verbatim) in found.items():
-            same = {p for a, n in verbatim for p in range(a, a + n)}
-            changed = len(same) < self.cover[item]
-            if changed:
-                same |= self.consistent(t, shift, spans)
-            if len(same) >= self.cover[item]:
-                out[row][item] = out[row].get(item, True) and changed  # a verbatim passage is no changed one
+        w = canonical(texts, self.names)
+        out: list[dict[int, bool]] = [{} for _ in range(len(w.offsets) - 1)]
+        verbatim: dict[tuple[int, int, int], list] = {}
+        for row, item, shift, at, width in self.found(self.verbatim, w.values, w.offsets, True, out):
+            verbatim.setdefault((row, item, shift), []).append((at, width))
+        for (row, item, _), spans in verbatim.items():
+            if len({p for a, n in spans for p in range(a, a + n)}) >= self.cover[item]:
+                out[row][item] = False  # a verbatim passage is no changed one
+        for view, own in self.views.items():
+            t = template(w, view)
+            groups: dict[tuple[int, int, int], list] = {}
+            for row, item, shift, at, width in self.found(self.windows[view], t.tokens, t.offsets, False, out):
+                groups.setdefault((row, item, shift), []).append((at, width))
+            same: dict[tuple[int, int, int], set] = {}
+            for (row, item, shift), spans in verbatim.items() if groups else ():
+                for a, n in spans:
+                    same.setdefault((row, item, int(t.of_word[a] - own.of_word[a - shift])), set()).update(range(a, a + n))
+            for (row, item, shift), spans in groups.items():
+                if item not in out[row] and self.covered(own, t, shift, spans, same.get((row, item, shift), ())) >= self.cover[item]:
+                    out[row][item] = True
         return out
 
-    def consistent(self, t: Template, shift: int, spans: list[tuple[int, int]]) -> set[int]:
-        """Places covered by template windows without a conflicting slot.
+    def found(self, tables: list[Windows], of: np.ndarray, offsets: np.ndarray, by_words: bool, out: list[dict[int, bool]]):
+        """Row, item, shift, place and width of the windows found. One window of words may be all that is asked for."""
+        rows = common.row_of(offsets)
+        for table in tables:
+            places, entries = table.hits(common.window_hashes(of, table.width), inside_rows(offsets, len(of), table.width))
+            row, item, shift = rows[places], table.item[entries], places - table.at[entries]
+            if by_words:
+                whole = self.cover[item] <= table.width
+                n = max(1, len(self.cover))
+                for key in np.unique(row[whole] * n + item[whole]).tolist():
+                    out[key // n][key % n] = False
+                row, item, shift, places = (x[~whole] for x in (row, item, shift, places))
+            for r, i, s, at in zip(row.tolist(), item.tolist(), shift.tolist(), places.tolist(), strict=True):
+                yield r, i, s, at, table.width
+
+    @staticmethod
+    def covered(own: Template, t: Template, shift: int, spans: list[tuple[int, int]], verbatim) -> int:
+        """Words in template windows without a conflicting slot, or verbatim. A run counts with its shorter side.
 
         A slot conflicts if its item value already maps to another value in this passage.
         """
-        places = sorted({p for a, n in spans for p in range(a, a + n)})
         maps: dict[tuple[int, int], int] = {}
         bad = set()
-        for at in places:
-            kind = int(self.t.kinds[at - shift])
-            if kind != LITERAL and maps.setdefault((kind, int(self.t.values[at - shift])), int(t.values[at])) != int(t.values[at]):
+        for at in sorted({p for a, n in spans for p in range(a, a + n)}):
+            kind = int(own.kinds[at - shift])
+            if kind != LITERAL and maps.setdefault((kind, int(own.values[at - shift])), int(t.values[at])) != int(t.values[at]):
                 bad.add(at)
-        return {p for a, n in spans if not any(a <= b < a + n for b in bad) for p in range(a, a + n)}
+        words: dict[int, int] = {}
+        for p in verbatim:
+            words[int(t.of_word[p])] = words.get(int(t.of_word[p]), 0) + 1
+        for at in {p for a, n in spans if not any(a <= b < a + n for b in bad) for p in range(a, a + n)}:
+            words[at] = max(words.get(at, 0), int(min(np.diff(t.starts[at : at + 2])[0], np.diff(own.starts[at - shift : at - shift + 2])[0])))
+        return sum(words.values())
+
+
+def names_of(hashes: np.ndarray, inside: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the forms that are names: capitalised inside sentences, and not more often in lower case."""
+    forms, at = np.unique(hashes, return_inverse=True)
+    inside, small = (np.bincount(at, weights=x, minlength=len(forms)) for x in (inside, small))
+    return forms[(inside > 0) & (inside >= small)]
+
+
+def name_forms(texts: DataFrame) -> np.ndarray:
+    """The same over all texts, added up per block before the shuffle; eight bytes a name are gathered."""
+
+    def count(batches):
+        for block in common.blocks_of(batches):
+            forms = canonical(block.column(0).combine_chunks(), np.zeros(0, np.uint64)).forms
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in forms], names=["form", "inside", "small"])
+
+    counts = texts.mapInArrow(count, "form long, inside long, small long").groupBy("form").agg(F.sum("inside").alias("inside"), F.sum("small").alias("small"))
+    names = counts.where("inside > 0 AND inside >= small").select("form").toArrow()["form"].to_numpy()
+    return np.sort(names.astype(np.int64).view(np.uint64))
 
 
 LEAK = {"item_ids": pa.list_(pa.int64()), "changed_item_ids": pa.list_(pa.int64())}
@@ -187,6 +287,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", pass_w
     items = stage(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")))
     words = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
     passes = int(words // pass_words) + 1
+    forms = docs.sparkSession.sparkContext.broadcast(name_forms(docs.select(F.col(text).cast("string").alias("text")).unionAll(items.select("text"))))
     spark = docs.sparkSession
     names = docs.columns
     out = docs
@@ -195,10 +296,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", pass_w
         shared = spark.sparkContext.broadcast((part.item_id.tolist(), part.text.tolist()))
         held: list[Benchmark] = []
 
-        def compute(block: pa.Table, shared=shared, held=held, first=k == 0) -> list[pa.Array]:
+        def compute(block: pa.Table, shared=shared, held=held, forms=forms, first=k == 0) -> list[pa.Array]:
             if not held:
                 ids, texts = shared.value
-                held.append(Benchmark(ids, pa.array(texts, pa.large_string())))
+                held.append(Benchmark(ids, pa.array(texts, pa.large_string()), names=forms.value))
             bench = held[0]
             leaks = bench.leaks(block.column(names.index(text)).combine_chunks())
             found = [{bench.item_ids[i] for i in row} for row in leaks]

@@ -271,6 +271,19 @@ def test_slots_must_map_consistently():
     assert bench.leaks(pa.array([same, broken, item])) == [{0: True}, {}, {0: False}]
 
 
+def test_names_by_form_and_runs(spark):
+    train = "A train leaves London at 9 with 120 passengers and travels 300 km before Anna boards with 120 bags of rice."
+    apples = "Tom has 5 apples. Tom buys 3 more."
+    bench = spark.createDataFrame([(7, train), (8, apples)], "item_id long, text string")
+    cities = "A train leaves New York City at 9 30 with 50 passengers and travels 400 miles before Bob Smith boards with 50 bags of rice."
+    texts = [(1, train.upper()), (2, cities), (3, "Bob has 7 apples. Bob buys 2 more."), (4, "There is Eve. now eve has 7 APPLES and so EVE buys 2 more."), (5, "We saw Eve and Paris and Bob."),
+             (6, cities.replace("New York City", "Paris").replace("Bob Smith", "Bob").upper()), (7, "Bob has apples. Bob buys more.")]
+    found = templates.with_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: (r.item_ids, r.changed_item_ids) for r in found} == {1: ([7], []), 2: ([7], [7]), 3: ([8], [8]), 4: ([], []), 5: ([], []), 6: ([7], [7]), 7: ([], [])}
+    short = [templates.Benchmark([1], pa.array(["We ask whether New York or Paris has more than 5 000 good old trees today."]))]
+    assert short[0].leaks(pa.array(["we ask whether London or San Jose has more than 70 good old trees today"])) == [{0: True}]
+
+
 def test_verbatim_passages_of_few_literals():
     items = ["Barack Obama visited New York City", "1 2 3 5 8 13 21 34 55 89 144 233 377 610", "Who wrote Hamlet?", "Der Hund jagt die Katze durch Garten, Haus, Hof, Feld, Wald und Wiese nach Bonn", "-"]
     bench = templates.Benchmark(list(range(5)), pa.array(items))
