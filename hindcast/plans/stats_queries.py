@@ -437,9 +437,17 @@ def mi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pol.top_features(scores, ["series", "date"], 3), 6)
 
 
+def _fit_dates(panel: DataFrame) -> list[str]:
+    """Every third month from 2000-01-01 to the last one that is evaluated, as the linear queries refit."""
+    last = panel.where("target IS NOT NULL AND baseline IS NOT NULL").agg(F.max("date")).first()[0]
+    months = (last.year - 2000) * 12 + last.month if last else 0
+    return [f"{2000 + m // 12}-{m % 12 + 1:02d}-01" for m in range(0, months, 3)]
+
+
 @query("tree_top_k", "B11 T9")
 def tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    scores = pol.tree_importance(materialize(feature_panel(spark, folder)), FEATURES, "target", ["2000-01-01"], EMBARGO)
+    panel = materialize(feature_panel(spark, folder))
+    scores = pol.tree_importance(panel, FEATURES, "target", _fit_dates(panel), EMBARGO)
     return rounded(pol.top_features(scores, ["as_of_date"], 3), 6)
 
 
@@ -543,18 +551,18 @@ def penalised_series(spark: SparkSession, folder: str) -> DataFrame:
 
 def _trees(spark: SparkSession, folder: str, kind: str, params: dict) -> DataFrame:
     panel = materialize(feature_panel(spark, folder))
-    out, _ = md.backtest_trees(panel, ["series"], FEATURES, "target", "baseline", kind, params, ["2000-01-01", "2001-01-01"], "2002-01-01", EMBARGO)
+    out, _ = md.backtest_trees(panel, ["series"], FEATURES, "target", "baseline", kind, params, _fit_dates(panel), "9999-01-01", EMBARGO)
     return rounded(out)
 
 
 @query("forest_backtest", "B16")
 def forest_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return _trees(spark, folder, "random_forest", {"numTrees": 20, "maxDepth": 4})
+    return _trees(spark, folder, "random_forest", {"numTrees": 200, "maxDepth": 4})
 
 
 @query("boosted_backtest", "B16")
 def boosted_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return _trees(spark, folder, "xgboost", {"maxIter": 10, "maxDepth": 3})
+    return _trees(spark, folder, "xgboost", {"maxIter": 100, "maxDepth": 3})
 
 
 @query("sequence_components", "B22 W25")
