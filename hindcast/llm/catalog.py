@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import anchors, chosen_path, line_variants, mixing, nn_descent, sharding, templates, token_blocks, toxicity, warc
+from hindcast.llm import anchors, chosen_path, line_variants, mixing, nn_descent, pieces, sharding, spelling, templates, token_blocks, toxicity, warc, whitening
 from hindcast.llm.common import table
 
 #: File of the vocabulary, by its name in the public package of tokenizers, and the id that ends a document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
+#: The same of the merge-type vocabulary for sentencepiece.
+PIECES = "piece_bpe_32k.model"
 
-def vocabulary() -> str:
+
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_spelling_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, folder, "documents"))
+
+
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, folder, "documents"), vocabulary(PIECES), END_ID)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_template_leaks": op8_template_leaks,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_budget_mix": op10_budget_mix,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_forms": op12_spelling_forms,
+    "op13_pieces": op13_pieces,
     "pipeline": pipeline,
 }
 CHECKS: dict[str, str] = {
@@ -84,4 +102,5 @@ CHECKS: dict[str, str] = {
     "op5_nn_descent": nn_descent.NEAR_VECTORS_SQL,
     "op6_line_variants": line_variants.repeated_lines_sql(),
     "op9_feistel_shards": sharding.document_shards_sql(),
+    "op12_spelling_forms": spelling.SPELLING_FORMS_SQL,
 }
