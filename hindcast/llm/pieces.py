@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast.llm import common
 from hindcast.llm.token_blocks import ragged
@@ -273,7 +274,7 @@ def with_ids(docs: DataFrame, model: str, end_id: int, text: str = "text", ids:
     """
     kept = [c for c in docs.columns if c != ids]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("_pieces_of"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(ids, "array<int>")
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(model)

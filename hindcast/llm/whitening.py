@@ -46,7 +46,7 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dimensions)
+    return column.flatten().to_numpy().reshape(len(column), dimensions)
 
 
 class CentredRows:
