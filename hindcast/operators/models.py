@@ -1,4 +1,4 @@
-"""Linear and tree forecasters over rolling snapshots."""
+"""Linear forecasters over rolling snapshots and sequence representations."""
 
 from __future__ import annotations
 
@@ -201,48 +201,7 @@ def lasso_selection(moments: DataFrame, keys: list[str], features: list[str], al
     )
 
 
-# --- trees (B16) and sequence representations (B22) ------------------------------------------------
-
-
-def backtest_trees(
-    panel: DataFrame, series_keys: list[str], features: list[str], target: str, baseline: str, kind: str, params: dict,
-    fit_dates: list[str], last_date: str, embargo: int, mode: str = "raw",
-) -> tuple[DataFrame, DataFrame]:
-    """Pooled forest or boosted trees, one distributed fit per fit date.
-
-    Each fit serves the as-of months until the next fit date. Returns (predictions, importances).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    learner = {"random_forest": RandomForestRegressor, "xgboost": GBTRegressor}[kind]
-    label = F.col(target) - F.col(baseline) if mode == "residual" else F.col(target)
-    frame = panel.dropna(subset=[*features, target, baseline]).withColumn("_y", label.cast("double"))
-    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(frame)
-    parts, importances = [], []
-    for day, until in zip(fit_dates, [*fit_dates[1:], last_date]):
-        start = F.lit(day).cast("date")
-        train = vectors.where(F.col("date") < F.add_months(start, -embargo)).select("_x", "_y")
-        model = learner(featuresCol="_x", labelCol="_y", predictionCol="_p", seed=42, **params).fit(train)
-        span = vectors.where((F.col("date") >= start) & (F.col("date") < F.lit(until).cast("date")))
-        parts.append(
-            model.transform(span).select(
-                *series_keys,
-                F.col("date").alias("as_of_date"),
-                start.alias("fit_date"),
-                F.col(target).alias("actual"),
-                F.col(baseline).alias("seasonal_naive_prediction"),
-                with_mode(F.col("_p"), F.col(baseline), F.lit(mode)).alias("prediction"),
-            )
-        )
-        importances += [(day, c, float(s)) for c, s in zip(features, model.featureImportances.toArray())]
-    predictions = parts[0]
-    for part in parts[1:]:
-        predictions = predictions.unionByName(part)
-    table = panel.sparkSession.createDataFrame(importances, "fit_date string, feature_name string, importance double")
-    w = W.partitionBy("fit_date").orderBy(F.col("importance").desc(), "feature_name")
-    ranked = table.withColumns({"importance_type": F.lit("feature_importance"), "rank": F.row_number().over(w).cast("bigint")})
-    return predictions.withColumn("model_type", F.lit(kind)), ranked
+# --- sequence representations (B22) -----------------------------------------------------------------
 
 
 def sequence_representation(samples: DataFrame, train: Column, components: int | None = 20, share: float = 0.95) -> DataFrame:

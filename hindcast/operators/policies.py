@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hindcast.constants import CORR_PRUNE_THRESHOLD, TREE_SELECTOR, VARIANCE_PRUNE_THRESHOLD
+from hindcast.constants import CORR_PRUNE_THRESHOLD, VARIANCE_PRUNE_THRESHOLD
 from hindcast.functions.ids import json_string_list
 from hindcast.functions.scalar import finite_or_null
 from hindcast.operators.backtest import prefix_window
@@ -232,29 +232,3 @@ def mutual_information(
 
 def _bin_of(column: str) -> Column:
     return F.size(F.filter(f"_e_{column}", lambda edge: edge < F.col(column)))
-
-
-# --- tree selector (B11) ---------------------------------------------------------------------------
-
-
-def tree_importance(panel: DataFrame, features: list[str], target: str, fit_dates: list[str], embargo: int, **overrides: int) -> DataFrame:
-    """Forest importances per fit date on the pooled panel: 100 trees of depth 4 unless overridden.
-
-    One distributed fit per date. The number of dates is a parameter; each fit returns one row per feature.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    settings = {**TREE_SELECTOR, **overrides}
-    usable = panel.dropna(subset=[*features, target]).select("date", *[F.col(c).cast("double") for c in features], F.col(target).cast("double").alias("_y"))
-    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(usable)
-    rows = []
-    for day in fit_dates:
-        train = vectors.where(F.col("date") < F.add_months(F.lit(day).cast("date"), -embargo)).select("_x", "_y")
-        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", **settings).fit(train)
-        rows += [(day, i, c, float(s)) for i, (c, s) in enumerate(zip(features, model.featureImportances.toArray()))]
-    spark = panel.sparkSession
-    return spark.createDataFrame(rows, "as_of_date string, position int, feature string, score double").withColumn(
-        "as_of_date", F.col("as_of_date").cast("date")
-    )
-

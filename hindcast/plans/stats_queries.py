@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.calendar import month_number
@@ -12,6 +12,7 @@ from hindcast.operators import features as feat
 from hindcast.operators import models as md
 from hindcast.operators import policies as pol
 from hindcast.operators import stats as st
+from hindcast.operators import trees as tr
 from hindcast.operators.panel import exact_sum, on_spine, series_window, to_monthly
 from hindcast.plans import fixtures as fx
 from hindcast.plans.panel_queries import WIN, strict
@@ -437,18 +438,17 @@ def mi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pol.top_features(scores, ["series", "date"], 3), 6)
 
 
-def _fit_dates(panel: DataFrame) -> list[str]:
-    """Every third month from 2000-01-01 to the last one that is evaluated, as the linear queries refit."""
-    last = panel.where("target IS NOT NULL AND baseline IS NOT NULL").agg(F.max("date")).first()[0]
-    months = (last.year - 2000) * 12 + last.month if last else 0
-    return [f"{2000 + m // 12}-{m % 12 + 1:02d}-01" for m in range(0, months, 3)]
+def _evaluated() -> tuple[Column, Column]:
+    """As-of months from 2000 on that can be scored, and the month whose fit serves each: refits are quarterly."""
+    first = F.lit("2000-01-01").cast("date")
+    return (F.col("date") >= first) & F.col("target").isNotNull() & F.col("baseline").isNotNull(), bt.fit_date(F.col("date"), first, 3, 1)
 
 
 @query("tree_top_k", "B11 T9")
 def tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    panel = materialize(feature_panel(spark, folder))
-    scores = pol.tree_importance(panel, FEATURES, "target", _fit_dates(panel), EMBARGO)
-    return rounded(pol.top_features(scores, ["as_of_date"], 3), 6)
+    """The three features that a hundred extra trees use most, per supplier, fit date and target."""
+    scores = tr.tree_scores(feature_panel(spark, folder), ["series"], FEATURES, "target", "baseline", *_evaluated(), EMBARGO, ("raw", "residual"))
+    return rounded(pol.top_features(scores, ["series", "date", "mode"], 3), 6)
 
 
 # --- models ----------------------------------------------------------------------------------------
@@ -549,20 +549,69 @@ def penalised_series(spark: SparkSession, folder: str) -> DataFrame:
     return _penalised(spark, folder, ["series"])
 
 
-def _trees(spark: SparkSession, folder: str, kind: str, params: dict) -> DataFrame:
-    panel = materialize(feature_panel(spark, folder))
-    out, _ = md.backtest_trees(panel, ["series"], FEATURES, "target", "baseline", kind, params, _fit_dates(panel), "9999-01-01", EMBARGO)
-    return rounded(out)
+def _trees(spark: SparkSession, folder: str, kind: str, params: dict, columns: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    configs = [{"model_type": kind, "params": params, "mode": m} for m in ("raw", "residual")]
+    return tr.backtest_series_trees(feature_panel(spark, folder), ["series"], columns, "target", "baseline", configs, *_evaluated(), EMBARGO)
 
 
 @query("forest_backtest", "B16")
 def forest_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return _trees(spark, folder, "random_forest", {"numTrees": 200, "maxDepth": 4})
+    return rounded(_trees(spark, folder, "random_forest", {"n_estimators": 200, "max_depth": 4})[0])
+
+
+@query("extra_trees_backtest", "B16")
+def extra_trees_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_trees(spark, folder, "extra_trees", {"n_estimators": 200, "max_depth": 4})[0])
 
 
 @query("boosted_backtest", "B16")
 def boosted_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return _trees(spark, folder, "xgboost", {"maxIter": 100, "maxDepth": 3})
+    """The size of the published champion: 500 trees of depth 3 with a feature share of 0.8."""
+    return rounded(_trees(spark, folder, "xgboost", {"n_estimators": 500, "max_depth": 3, "learning_rate": 0.05, "colsample_bytree": 0.8})[0])
+
+
+_STUMP = ["y_lag1", "y_lag12"]
+_BOTH = " AND ".join(f"{c} IS NOT NULL" for c in [*_STUMP, "target", "baseline"])
+cte("stumps", "fpanel", f"""
+  SELECT series, fit_date, feature, place, threshold, below, above, n_train FROM (
+    SELECT *, row_number() OVER (PARTITION BY series, fit_date ORDER BY score DESC, place, v) AS choice FROM (
+      SELECT *, (v + next_v) / 2 AS threshold, gl / hl AS below, (g - gl) / (h - hl) AS above, h AS n_train,
+             round(gl * gl / hl + (g - gl) * (g - gl) / (h - hl), 6) AS score
+      FROM (SELECT series, fit_date, feature, place, v, lead(v) OVER (o) AS next_v, sum(n) OVER (o) AS hl, sum(s) OVER (o) AS gl,
+                   sum(n) OVER (PARTITION BY series, fit_date, feature) AS h, sum(s) OVER (PARTITION BY series, fit_date, feature) AS g
+            FROM (SELECT t.series, d.fit_date, u.feature, u.place, u.v, CAST(count(*) AS DOUBLE) AS n, CAST(sum(t.target) AS DOUBLE) AS s
+                  FROM (SELECT DISTINCT CAST(DATE '2000-01-01' + to_months(CAST(((year(date) - 2000) * 12 + month(date) - 1) // 3 * 3 AS INT)) AS DATE) AS fit_date
+                        FROM fpanel WHERE date >= DATE '2000-01-01' AND target IS NOT NULL AND baseline IS NOT NULL) d
+                  JOIN fpanel t ON t.date < CAST(d.fit_date - INTERVAL 3 MONTH AS DATE) AND {_BOTH},
+                  LATERAL (SELECT 'y_lag1' AS feature, 0 AS place, CAST(t.y_lag1 AS DOUBLE) AS v UNION ALL SELECT 'y_lag12', 1, CAST(t.y_lag12 AS DOUBLE)) u
+                  GROUP BY ALL)
+            WINDOW o AS (PARTITION BY series, fit_date, feature ORDER BY v))
+      WHERE h >= 24 AND next_v IS NOT NULL)) WHERE choice = 1""")
+
+
+def _stump() -> dict:
+    return {"n_estimators": 1, "max_depth": 1, "bootstrap": False}
+
+
+@query("stump_backtest", "B16 B5 B6", with_ctes("stumps", f"""
+SELECT p.series, p.date AS as_of_date, s.fit_date, CAST(s.n_train AS BIGINT) AS n_train, {r4('p.target', 'actual')},
+  {r4("CASE WHEN CASE s.place WHEN 0 THEN p.y_lag1 ELSE p.y_lag12 END <= s.threshold THEN s.below ELSE s.above END", 'prediction')}
+FROM fpanel p JOIN stumps s ON s.series = p.series AND s.fit_date = CAST(DATE '2000-01-01' + to_months(CAST(((year(p.date) - 2000) * 12 + month(p.date) - 1) // 3 * 3 AS INT)) AS DATE)
+WHERE p.date >= DATE '2000-01-01' AND p.{_BOTH.replace(' AND ', ' AND p.')}"""))
+def stump_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """One tree of one split, every supplier and fit date: what SQL can say of the learner."""
+    config = [{"model_type": "random_forest", "params": _stump(), "mode": "raw"}]
+    out, _ = tr.backtest_series_trees(feature_panel(spark, folder), ["series"], _STUMP, "target", "baseline", config, *_evaluated(), EMBARGO)
+    return rounded(out.select("series", "as_of_date", "fit_date", "n_train", "actual", "prediction"))
+
+
+@query("stump_importance", "B11 B19 T9", with_ctes("stumps", """
+SELECT series, fit_date, feature AS feature_name, 'feature_importance' AS importance_type, 1.0::DOUBLE AS importance, 1::BIGINT AS rank FROM stumps"""))
+def stump_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature each stump splits on has all of its importance."""
+    config = [{"model_type": "random_forest", "params": _stump(), "mode": "raw"}]
+    _, out = tr.backtest_series_trees(feature_panel(spark, folder), ["series"], _STUMP, "target", "baseline", config, *_evaluated(), EMBARGO)
+    return rounded(out.where("rank = 1 AND importance > 0").select("series", "fit_date", "feature_name", "importance_type", "importance", "rank"))
 
 
 @query("sequence_components", "B22 W25")

@@ -115,15 +115,10 @@ def test_lasso_selector_order(panel):
     assert set(chosen.selected_features) <= set(FEATURES) and none.selected_features == [FEATURES[0]]
 
 
-def test_trees_and_components(spark, panel, small):
+def test_sequence_components(spark, small):
     from hindcast.operators.features import sequence_samples
     from hindcast.plans import fixtures as fx
 
-    predictions, importance = md.backtest_trees(
-        panel, ["series"], FEATURES, "target", "baseline", "random_forest", {"numTrees": 3, "maxDepth": 2}, ["2000-01-01", "2000-07-01"], "2001-01-01", 3, "residual"
-    )
-    assert {str(r.fit_date) for r in predictions.select("fit_date").distinct().collect()} == {"2000-01-01", "2000-07-01"}
-    assert importance.count() == 2 * len(FEATURES)
     samples = sequence_samples(fx.supply(spark, small, ("y",)), ["series"], ["y"], 6)
     train = F.col("date") < F.lit("2000-01-01").cast("date")
     fixed = md.sequence_representation(samples, train, components=2).first()
@@ -195,26 +190,3 @@ def test_residuals_equal_dummy_regression(spark):
     ok = ~np.isnan(y)
     _, rest, _ = st.least_squares(design[ok], y[ok])
     assert np.allclose(out["y"].to_numpy(float)[ok], rest, atol=1e-9) and np.isnan(out["y"].to_numpy(float)[7])
-
-
-def test_tree_queries_take_every_fit_date_and_the_grid_s_trees(spark, monkeypatch):
-    from hindcast.operators import models, policies
-    from hindcast.plans import stats_queries as queries
-
-    class Seen(Exception):
-        pass
-
-    def seen(*arguments, **_):
-        raise Seen(arguments)
-
-    monkeypatch.setattr(policies, "tree_importance", seen)
-    monkeypatch.setattr(models, "backtest_trees", seen)
-    panel = spark.sql("SELECT add_months(DATE '1999-01-01', id) AS date, 1.0 AS baseline, IF(id < 20, 1.0, NULL) AS target FROM range(24)")
-    monkeypatch.setattr(queries, "feature_panel", lambda *_: panel)
-    days = ["2000-01-01", "2000-04-01", "2000-07-01"]
-    for query, trees in ((queries.tree_top_k, None), (queries.forest_backtest, {"numTrees": 200}), (queries.boosted_backtest, {"maxIter": 100})):
-        with pytest.raises(Seen) as error:
-            query(spark, "")
-        arguments = error.value.args[0]
-        assert days in arguments
-        assert trees is None or any(isinstance(a, dict) and trees.items() <= a.items() for a in arguments)
