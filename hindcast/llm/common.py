@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -165,8 +167,18 @@ def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system: Python workers live on, and so would its pages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
-    """Batches of a task joined until they hold about ``most`` bytes, so that dictionaries are shared."""
+    """Batches of a task joined until they hold about ``most`` bytes, so that dictionaries are shared.
+
+    When the last block has been taken, the memory of the others is released.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in (part for whole in batches for part in parts_of(whole, most)):
@@ -177,6 +189,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterato
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    release()
 
 
 def annotated(docs: DataFrame, added: dict[str, pa.DataType], compute) -> DataFrame:
