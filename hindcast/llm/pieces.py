@@ -13,6 +13,7 @@ import heapq
 import re
 import sys
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from hindcast.llm.token_blocks import ragged
 SPACE = "▁"
 #: Chunks begin with a run of space marks; no piece of a supported vocabulary goes on over the next one.
 CROSSING = re.compile(f"[^{SPACE}]{SPACE}")
-#: A task remembers so many chunks, none longer than so many characters; others are merged when they come.
-REMEMBERED, LONGEST = 400_000, 48
+#: A task remembers so many chunks before it starts anew; longer ones than so many characters are merged one by one.
+REMEMBERED, LONGEST = 1_000_000, 48
 #: Text of so many bytes is handled at once.
 BLOCK_BYTES = 2 << 20
 
@@ -221,7 +222,7 @@ class PieceEncoder:
         A normalised text is split at its space marks. A part and the mark before it are a chunk; where
         parts are empty, the marks run on into the chunk of the next one.
         """
-        if len(self.memory) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+        if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self.forget()
         lists = pc.split_pattern(pa.array(self.library.normalize(texts), pa.large_string()), SPACE)
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -322,7 +323,8 @@ def piece_digest(docs: DataFrame, model: str, end_id: int) -> DataFrame:
             lengths = np.diff(ids.offsets.to_numpy())
             decimal = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
             codes = [hashlib.sha256(t.as_buffer()).hexdigest() for t in pc.binary_join(decimal, " ")]
-            decoded = [hashlib.sha256(encoder.library.decode(i).encode()).hexdigest() for i in ids.to_pylist()]
+            bounds, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
+            decoded = [hashlib.sha256(encoder.library.decode(flat[a:b].tolist()).encode()).hexdigest() for a, b in pairwise(bounds)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(codes, pa.string()), pa.array(decoded, pa.string())], schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
