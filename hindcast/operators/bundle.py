@@ -11,11 +11,11 @@ from hindcast.operators.distribution import exact_quantiles, unpivot_numbers
 from hindcast.operators.explore import top_per_group, top_rows
 from hindcast.operators.leaderboard import of_selected
 from hindcast.operators.metrics import family_summary
-from hindcast.session import is_small, materialize
+from hindcast.session import materialize
 
 
 def retained_by_metric(
-    leaderboard: DataFrame, keep_fraction: float, secondary: bool = False, small: bool = False
+    leaderboard: DataFrame, keep_fraction: float, secondary: bool = False
 ) -> DataFrame:
     """(model_config_id, reason) for every metric in whose best share a configuration lies.
 
@@ -28,7 +28,7 @@ def retained_by_metric(
     long = unpivot_numbers(leaderboard, ["model_config_id"], present).where(F.col("value").isNotNull())
     # Higher-is-better metrics are mirrored so that one quantile serves both directions.
     mirrored = long.withColumn("value", F.when(F.col("variable").isin(higher), -F.col("value")).otherwise(F.col("value")))
-    limits = exact_quantiles(mirrored, ["variable"], "value", [keep_fraction], small).select("variable", F.col("quantile").alias("limit"))
+    limits = exact_quantiles(mirrored, ["variable"], "value", [keep_fraction]).select("variable", F.col("quantile").alias("limit"))
     return mirrored.join(F.broadcast(limits), "variable").where(F.col("value") <= F.col("limit")).select(
         "model_config_id", F.col("variable").alias("reason")
     )
@@ -40,7 +40,7 @@ def retention_reasons(
 ) -> DataFrame:
     """Every (configuration, reason) pair of the curated set."""
     board = materialize(leaderboard)
-    parts = [retained_by_metric(board, keep_fraction, secondary, is_small(board))]
+    parts = [retained_by_metric(board, keep_fraction, secondary)]
     if include_baseline:
         parts.append(
             board.where(F.col("model_family") == "baseline").select("model_config_id", F.lit("always_baseline").alias("reason"))

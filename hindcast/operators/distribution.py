@@ -70,17 +70,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "rank", small: bool = False) -> DataFrame:
+def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Exact 1-based position of each row in its group.
 
-    ``small`` says that the row count was checked: a plain window does then.
-
     ``order`` lists ascending columns that together are unique in the group; negate a numeric column
     for descending order. Rows whose order columns are NULL sort first, so filter them beforehand.
     """
-    if small:
-        plain = (W.partitionBy(*group) if group else W.partitionBy()).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
     ranged = with_range(df, [*group, *order])
     totals = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _before(totals, group, "_n").drop("_total", "_size")
@@ -93,30 +88,21 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "rank
 
 
 def ranked(
-    df: DataFrame, group: list[str], metric: str, ascending: bool, tie: str, name: str = "rank", small: bool = False
+    df: DataFrame, group: list[str], metric: str, ascending: bool, tie: str, name: str = "rank"
 ) -> DataFrame:
     """Position by one metric with a unique tie-break column; rows without the metric are dropped."""
     keyed = df.where(F.col(metric).isNotNull()).withColumn("_key", F.col(metric) if ascending else -F.col(metric))
-    return ordinal(keyed, group, ["_key", tie], name, small).drop("_key")
+    return ordinal(keyed, group, ["_key", tie], name).drop("_key")
 
 
 def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, probabilities: list[float], small: bool = False
+    df: DataFrame, group: list[str], value: str, probabilities: list[float]
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: rows (group..., p, quantile, n).
 
-    ``small`` says that the row count was checked: the built-in aggregate does then.
-
     Equal values are counted before the shuffle, so a repeated value is one row however often it
     occurs. Only ranges that hold a wanted position are sorted.
     """
-    if small:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-            F.percentile(F.col(value).cast("double"), points).alias("_q"), F.count(value).alias("n")
-        )
-        rows = found.where("n > 0").select(*group, "n", F.explode(F.arrays_zip(points.alias("p"), F.col("_q").alias("quantile"))).alias("z"))
-        return rows.select(*group, "z.p", "z.quantile", "n")
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -151,11 +137,11 @@ def exact_quantiles(
 
 
 def quantile_columns(
-    df: DataFrame, group: list[str], values: list[str], probabilities: dict[str, float], small: bool = False
+    df: DataFrame, group: list[str], values: list[str], probabilities: dict[str, float]
 ) -> DataFrame:
     """Quantiles of several columns, one row per group with ``{name}_{column}`` columns."""
     long = unpivot_numbers(df, group, values)
-    stats = exact_quantiles(long, [*group, "variable"], "value", sorted(set(probabilities.values())), small)
+    stats = exact_quantiles(long, [*group, "variable"], "value", sorted(set(probabilities.values())))
     picks = [
         F.max(F.when((F.col("variable") == v) & (F.abs(F.col("p") - p) < 1e-12), F.col("quantile"))).alias(
             f"{name}_{v}"

@@ -10,7 +10,7 @@ from hindcast.constants import BASELINE_BUILDS, BASELINE_FAMILIES, BUILD_ORDER,
 from hindcast.functions.calendar import months_apart
 from hindcast.functions.scalar import params_display, params_map, params_short, row_max, row_mean, row_min, safe_ratio, shown_value, to_number
 from hindcast.operators.distribution import exact_quantiles, join_null_safe, quantile_columns, ranked, unpivot_numbers
-from hindcast.session import is_small, materialize
+from hindcast.session import materialize
 
 METRIC_BY_LABEL = {label: (column, lower) for label, column, lower in RANK_METRICS}
 BUILD_KEYS = ["model_family", "model_build", "model_build_label"]
@@ -65,7 +65,7 @@ def rank_by(df: DataFrame, label: str) -> DataFrame:
     """Complete ranking by a labelled metric in its own direction; rows without it are dropped."""
     column, ascending = METRIC_BY_LABEL[label]
     table = materialize(df)
-    return ranked(table, [], column, ascending, "model_config_id", small=is_small(table))
+    return ranked(table, [], column, ascending, "model_config_id")
 
 
 def _order(metric: str, ascending: bool, tie: str) -> list[Column]:
@@ -96,12 +96,13 @@ def top_fraction(df: DataFrame, metric: str, ascending: bool, fraction: float, t
         raise ValueError("the fraction must be above 0 and at most 1")
     frame = materialize(df.where(F.col(metric).isNotNull()))
     keep = frame.agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(fraction)), F.lit(1)).alias("k")).scalar()
-    return ranked(frame, [], metric, ascending, tie, small=is_small(frame)).where(F.col("rank") <= keep)
+    return ranked(frame, [], metric, ascending, tie).where(F.col("rank") <= keep)
 
 
 def best_per_key(df: DataFrame, key: str, metric: str) -> DataFrame:
-    """One row per key, the one with the lowest metric."""
-    w = W.partitionBy(key).orderBy(F.col(metric).asc_nulls_last())
+    """One row per key, the one with the lowest metric; of equal ones the least in its other columns."""
+    rest = [F.col(f.name) for f in df.schema.fields if f.name not in (key, metric) and f.dataType.typeName() != "map"]
+    w = W.partitionBy(key).orderBy(F.col(metric).asc_nulls_last(), *rest)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -306,7 +307,7 @@ def group_summary(frame: DataFrame, group: list[str], score: str = "selection_sc
         F.min("rmse").alias("best_rmse"),
         F.max("r2").alias("best_r2"),
     )
-    medians = quantile_columns(frame, group, [score, "mae"], {"median": 0.5}, is_small(frame)).withColumnsRenamed(
+    medians = quantile_columns(frame, group, [score, "mae"], {"median": 0.5}).withColumnsRenamed(
         {f"median_{score}": "median_balanced_score"}
     )
     return join_null_safe(best, medians, group)
@@ -322,7 +323,7 @@ def period_difficulty(leaderboard: DataFrame) -> DataFrame:
     table = materialize(leaderboard.select(*columns))
     long = unpivot_numbers(table, [], columns)
     best = long.groupBy("variable").agg(F.min("value").alias("best"))
-    median = exact_quantiles(long, ["variable"], "value", [0.5], is_small(table)).select("variable", F.col("quantile").alias("median"))
+    median = exact_quantiles(long, ["variable"], "value", [0.5]).select("variable", F.col("quantile").alias("median"))
     joined = best.join(median, "variable", "left")
     period, metric = F.regexp_extract("variable", "^(.*)_(mae|rmse)$", 1), F.regexp_extract("variable", "^(.*)_(mae|rmse)$", 2)
     wide = joined.groupBy(period.alias("period")).agg(
@@ -366,7 +367,7 @@ def operational_footprint(profile: DataFrame) -> DataFrame:
     totals = profile.groupBy(*BUILD_KEYS).agg(
         F.count_distinct("config_id").alias("configurations"), F.sum("total_train_seconds").alias("total_train_seconds")
     )
-    middle = quantile_columns(profile, BUILD_KEYS, list(present), {"median": 0.5}, is_small(profile)).withColumnsRenamed(
+    middle = quantile_columns(profile, BUILD_KEYS, list(present), {"median": 0.5}).withColumnsRenamed(
         {f"median_{c}": f"_{n}" for c, n in present.items()}
     ).withColumnsRenamed({f"_{n}": n for n in present.values()})
     return join_null_safe(totals, middle, BUILD_KEYS)
@@ -379,8 +380,7 @@ def sensitivity(frame: DataFrame, x: str, y: str, ascending: bool, bins: int = 6
     are right-closed and the first one includes its lower edge.
     """
     source = materialize(frame.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL"))
-    small = is_small(source)
-    edges = exact_quantiles(source, [], "x", [i / bins for i in range(bins + 1)], small).agg(
+    edges = exact_quantiles(source, [], "x", [i / bins for i in range(bins + 1)]).agg(
         F.array_sort(F.collect_set("quantile")).alias("e")
     )
     binned = source.withColumn("_e", edges.scalar()).withColumn(
@@ -393,7 +393,7 @@ def sensitivity(frame: DataFrame, x: str, y: str, ascending: bool, bins: int = 6
         F.first(F.get("_e", F.col("bin"))).alias("bin_low"),
         F.first(F.try_element_at("_e", F.col("bin") + 2)).alias("bin_high"),
     )
-    middle = exact_quantiles(binned, ["bin"], "y", [0.5], small).select("bin", F.col("quantile").alias("median"))
+    middle = exact_quantiles(binned, ["bin"], "y", [0.5]).select("bin", F.col("quantile").alias("median"))
     return grouped.join(middle, "bin", "left")
 
 
@@ -406,7 +406,7 @@ def sensitivity_by_value(frame: DataFrame, x: str, y: str, ascending: bool) -> D
     )
     best = F.min("y") if ascending else F.max("y")
     grouped = source.groupBy("setting").agg(F.count(F.lit(1)).alias("configurations"), best.alias("best"))
-    middle = exact_quantiles(source, ["setting"], "y", [0.5], is_small(source)).select("setting", F.col("quantile").alias("median"))
+    middle = exact_quantiles(source, ["setting"], "y", [0.5]).select("setting", F.col("quantile").alias("median"))
     return grouped.join(middle, "setting", "left")
 
 

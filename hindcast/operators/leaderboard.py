@@ -18,7 +18,7 @@ from hindcast.functions.scalar import array_total, clip, list_param, number_para
 from hindcast.operators.distribution import ranked
 from hindcast.operators.metrics import backtest_metrics, champion, family_summary, rolling_error
 from hindcast.operators.reshape import with_defaults
-from hindcast.session import is_small, materialize
+from hindcast.session import materialize
 
 # Period columns compared with the pre-event period, by ratio kind.
 RATIO_PERIODS = {"shock_penalty": "covid_shock", "recovery_ratio": "recovery", "recent_recovery_ratio": "recent"}
@@ -58,15 +58,18 @@ def wide_leaderboard(metrics: DataFrame, details: DataFrame | None = None, keys:
 
 
 def attach(left: DataFrame, right: DataFrame, columns: list[str], key: str = "model_config_id") -> DataFrame:
-    """Left join of extra columns after de-duplicating the right side by key."""
+    """Left join of extra columns; of several rows of a key on the right the least one in these columns counts."""
     extra = [c for c in columns if c in right.columns and c not in left.columns]
-    return left.join(right.select(key, *extra).dropDuplicates([key]), key, "left") if extra else left
+    if not extra:
+        return left
+    one = right.groupBy(key).agg(F.min(F.struct(*extra)).alias("_least")).select(key, *[F.col("_least")[c].alias(c) for c in extra])
+    return left.join(one, key, "left")
 
 
 def rank_leaderboard(wide: DataFrame, metric: str = "selection_score") -> DataFrame:
     """Global position by score."""
     table = materialize(wide)
-    return ranked(table, [], metric, True, "model_config_id", small=is_small(table))
+    return ranked(table, [], metric, True, "model_config_id")
 
 
 def enrich_scores(df: DataFrame) -> DataFrame:

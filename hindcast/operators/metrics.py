@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hindcast.constants import CONFIG_KEYS, MODEL_ORDER, SCORE_RECIPES, SIMPLICITY_THRESHOLD
 from hindcast.functions.scalar import weighted_score
 from hindcast.operators.distribution import ranked
-from hindcast.session import is_small, materialize
+from hindcast.session import materialize
 
 
 def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, series_keys: list[str] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, seri
 def rank_metrics(metrics: DataFrame) -> DataFrame:
     """Position within the scope by selection score; equal scores are ordered by configuration."""
     table = materialize(metrics)
-    return ranked(table, ["evaluation_scope"], "selection_score", True, "model_config_id", small=is_small(table))
+    return ranked(table, ["evaluation_scope"], "selection_score", True, "model_config_id")
 
 
 FAMILY_BEST = {

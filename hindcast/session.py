@@ -69,18 +69,6 @@ def ship_package(spark: SparkSession) -> None:
     spark._hindcast_shipped = True
 
 
-# Up to this many rows one task sorts or buffers a table comfortably.
-SMALL_ROWS = 200_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a materialised table has few enough rows for single-task operators.
-
-    Callers keep a distributed way for larger tables. Counting a checkpoint reads no columns.
-    """
-    return df.count() <= SMALL_ROWS
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder so that several consumers share one computation.
 
