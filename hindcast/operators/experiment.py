@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,7 @@ from hindcast.operators.features import TRANSFORM_PARTS, transformed_names
 from hindcast.operators.grid import BASELINE_FAMILY, LINEAR, TREE, expand_grid
 from hindcast.operators.models import MAX_ITER, solve_batch
 from hindcast.operators.reshape import with_taxonomy
+from hindcast.operators.selection import INFORMATION, information_mask, lasso_path, weights_at
 from hindcast.operators.trees import tree_fits
 from hindcast.session import materialize
 
@@ -201,8 +202,7 @@ def policy_mask(policy: str, gram: np.ndarray, cross: np.ndarray, n: float, vari
         close = np.abs(np.triu(gram / n, 1)) > CORR_PRUNE_THRESHOLD
         keep = ~(close & varied[:, None] & varied[None, :]).any(axis=0)
     elif policy == "lasso_selected":
-        weight, _ = solve_batch(gram[None], cross[None], np.array([n]), varied[None], "lasso", LASSO_SELECTOR_ALPHA, 1.0)
-        keep = weight[0] != 0
+        keep = weights_at(lasso_path(gram, cross, n, varied, LASSO_SELECTOR_ALPHA), LASSO_SELECTOR_ALPHA) != 0
     elif policy == "none":
         keep = np.ones(size, bool)
     else:
@@ -210,9 +210,13 @@ def policy_mask(policy: str, gram: np.ndarray, cross: np.ndarray, n: float, vari
     return keep if keep.any() else np.arange(size) == 0
 
 
-def solve_snapshot(plan: Plan, packed: dict[str, np.ndarray], shift: np.ndarray) -> list[dict]:
-    """Every linear configuration on one training snapshot, from the packed matrices of its patterns."""
+def solve_snapshot(plan: Plan, packed: dict[str, np.ndarray], shift: np.ndarray, rows: Callable[[int], np.ndarray] | None = None) -> list[dict]:
+    """Every linear configuration on one training snapshot, from the packed matrices of its patterns.
+
+    ``rows`` gives the vectors of the snapshot that a family can be trained on, where a task holds them.
+    """
     out = []
+    informed: dict[tuple, np.ndarray] = {}
     squares: dict[str, np.ndarray] = {}
     for position, name in enumerate(plan.names):
         parts = [v for pattern, v in packed.items() if pattern[position] == "1"]
@@ -241,7 +245,17 @@ def solve_snapshot(plan: Plan, packed: dict[str, np.ndarray], shift: np.ndarray)
             spread = np.where(varied, np.sqrt(np.maximum(variance, 0)), 1.0)
             standard[key] = (at, centred[:-1, :-1] / np.outer(spread, spread), centred[:-1, -1] / spread, variance, varied, spread, shift[both - 1] + sums / n)
         at, gram, cross, variance, varied, spread, means = standard[key]
-        kept = policy_mask(config["feature_policy"], gram[:base, :base], cross[:base], n, variance[:base], varied[:base])
+        policy = config["feature_policy"]
+        if policy.startswith(INFORMATION):
+            if rows is None:
+                raise ValueError("neighbour information needs one model per series")
+            key = (name, mode, policy)
+            if key not in informed:
+                z = rows(plan.names.index(name))
+                informed[key] = information_mask(policy, z[:, at[:base]], z[:, plan.size - (1 if mode == "residual" else 2)])
+            kept = informed[key]
+        else:
+            kept = policy_mask(policy, gram[:base, :base], cross[:base], n, variance[:base], varied[:base])
         mask = np.tile(kept, len(at) // base)  # transforms of a dropped column go with it
         params = config["params"]
         weight, converged = solve_batch(
@@ -273,8 +287,8 @@ def linear_fits(panel: DataFrame, plan: Plan, series_keys: list[str], model_keys
     fit_months = sorted(r[0] for r in needed.select("_month").distinct().collect())
     key_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*model_keys).schema.fields)
 
-    def solved(owner: dict, month: int, packed: dict[str, np.ndarray]) -> list[dict]:
-        return [{**owner, "_month": month, **fit} for fit in solve_snapshot(plan, packed, shift)]
+    def solved(owner: dict, month: int, packed: dict[str, np.ndarray], rows: Callable[[int], np.ndarray] | None = None) -> list[dict]:
+        return [{**owner, "_month": month, **fit} for fit in solve_snapshot(plan, packed, shift, rows)]
 
     def schema(table: pa.Table) -> pa.Schema:
         return pa.schema([*[table.schema.field(k) for k in model_keys], ("_month", pa.int64()), *_FIT_ARROW])
@@ -286,13 +300,14 @@ def linear_fits(panel: DataFrame, plan: Plan, series_keys: list[str], model_keys
             z, months, patterns = _matrix(table, shift), table["_month"].to_numpy(), table["_pattern"].to_pylist()
             owner = {k: table[k][0].as_py() for k in model_keys}
             packed: dict[str, np.ndarray] = {}
+            usable = np.array([[c == "1" for c in p] for p in patterns]).reshape(len(patterns), len(plan.names))
             at, out = 0, []
             for month in fit_months:
                 while at < len(months) and months[at] <= month - 1 - embargo:
                     product = np.outer(z[at], z[at])[plan.upper]
                     packed[patterns[at]] = packed.get(patterns[at], 0.0) + product
                     at += 1
-                out += solved(owner, month, packed)
+                out += solved(owner, month, packed, lambda position, end=at: z[:end][usable[:end, position]])
             return pa.Table.from_pylist(out, schema(table))
 
         fits = rows.groupBy(*model_keys).applyInArrow(walk, f"{key_fields}_month long, {_FIT}")

@@ -178,7 +178,7 @@ def experiment_trees(spark: SparkSession, folder: str) -> DataFrame:
         ("xgboost", {"colsample_bytree": 0.8, "learning_rate": 0.05, "max_depth": 3, "n_estimators": 50}),
     ]
     out = ex.run_experiment(
-        feature_panel(spark, folder), ["series"], {"all": FEATURES}, models, ["residual"], ["none", "lasso_selected", "tree_top_3"], ["identity"], "target", "baseline",
+        feature_panel(spark, folder), ["series"], {"all": FEATURES}, models, ["residual"], ["none", "lasso_selected", "tree_top_3", "mutual_info_top_3"], ["identity"], "target", "baseline",
         evaluated, fit_on, EMBARGO, fx.HORIZON, 3, periods=fx.PERIODS,
     )
     return rounded(out.metrics.select("config_id", "evaluation_scope", "n_predictions", "n_features", *_METRICS), 3)

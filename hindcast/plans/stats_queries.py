@@ -11,6 +11,7 @@ from hindcast.operators import eda
 from hindcast.operators import features as feat
 from hindcast.operators import models as md
 from hindcast.operators import policies as pol
+from hindcast.operators import selection as sel
 from hindcast.operators import stats as st
 from hindcast.operators import trees as tr
 from hindcast.operators.panel import exact_sum, on_spine, series_window, to_monthly
@@ -408,6 +409,54 @@ def lasso_selected(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(md.lasso_selection(moments, [], FEATURES))
 
 
+# With two columns a path has a closed form: the column of the greater correlation enters first and stays,
+# the other one enters where its correlation with the residual reaches the penalty.
+_SHARES = [0.9, 0.6, 0.3, 0.1, 0.02]
+cte("pairstats", "snap", """
+  SELECT series, as_of, mode, n, sd, r, CASE WHEN abs(ca) >= abs(cb) THEN 'y_lag1' ELSE 'y_lag12' END AS leader, CASE WHEN abs(ca) >= abs(cb) THEN ca ELSE cb END AS c1, CASE WHEN abs(ca) >= abs(cb) THEN cb ELSE ca END AS c2
+  FROM (SELECT series, as_of, mode, count(*) AS n, stddev_pop(t) AS sd, corr(y_lag1, y_lag12) AS r, corr(y_lag1, t) * stddev_pop(t) AS ca, corr(y_lag12, t) * stddev_pop(t) AS cb
+        FROM (SELECT *, 'target' AS mode, target AS t FROM snap UNION ALL SELECT *, 'residual' AS mode, target - baseline AS t FROM snap) GROUP BY 1, 2, 3 HAVING count(*) > 24)""")
+cte("pairpath", "pairstats", f"""
+  SELECT *, CASE WHEN abs(rest) <= a THEN single ELSE (c1 - a * sign(c1) - r * (c2 - a * sign(rest))) / (1 - r * r) END AS w1,
+         CASE WHEN abs(rest) <= a THEN 0.0 ELSE (c2 - a * sign(rest) - r * (c1 - a * sign(c1))) / (1 - r * r) END AS w2
+  FROM (SELECT *, c2 - r * single AS rest FROM (SELECT *, share * abs(c1) AS a, sign(c1) * (abs(c1) - share * abs(c1)) AS single
+        FROM pairstats, (SELECT unnest({_SHARES}) AS share)))""")
+
+
+def _pair_paths(spark: SparkSession, folder: str) -> DataFrame:
+    panel = feature_panel(spark, folder).withColumn("residual", F.col("target") - F.col("baseline"))
+    pair = ["y_lag1", "y_lag12"]
+    moments = pol.prefix_moments(panel, ["series"], [*pair, "target", "residual"], FEATURES, EMBARGO, one_row_per_month=True)
+    asked = moments.where((F.col("date") >= F.lit("2000-07-01").cast("date")) & (F.col("n") > 24))
+    return sel.lasso_paths(asked, ["series"], pair, ["target", "residual"])
+
+
+@query("lasso_path", "B10", with_ctes("pairpath", f"""
+SELECT series, as_of AS date, mode, n AS n_train, share, round(a / sd, 6) + 0.0 AS penalty,
+       round(CASE leader WHEN 'y_lag1' THEN w1 ELSE w2 END / sd, 6) + 0.0 AS y_lag1, round(CASE leader WHEN 'y_lag1' THEN w2 ELSE w1 END / sd, 6) + 0.0 AS y_lag12 FROM pairpath"""))
+def lasso_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights at five shares of the greatest penalty, per supplier, month and target, in units of the target's deviation."""
+    paths = materialize(_pair_paths(spark, folder))
+    out = None
+    for share in _SHARES:
+        one = sel.path_weights(paths, ["series"], F.col("greatest") * share).select(
+            "series", "date", "mode", "n_train", F.lit(share).alias("share"), (F.col("at") / F.col("spread")).alias("penalty"),
+            *[(F.get("weights", F.lit(i)) / F.col("spread")).alias(c) for i, c in enumerate(("y_lag1", "y_lag12"))],
+        )
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 6)
+
+
+@query("lasso_entries", "B10", with_ctes("pairstats", """
+SELECT series, as_of AS date, mode, leader AS feature, CAST(0 AS BIGINT) AS step, round(abs(c1) / sd, 6) + 0.0 AS penalty FROM pairstats
+UNION ALL
+SELECT series, as_of, mode, CASE leader WHEN 'y_lag1' THEN 'y_lag12' ELSE 'y_lag1' END, 1, round(greatest((c2 - r * c1) / (1 - r * sign(c1)), -(c2 - r * c1) / (1 + r * sign(c1))) / sd, 6) + 0.0 FROM pairstats"""))
+def lasso_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The penalties at which the two columns enter, per supplier, month and target."""
+    paths = _pair_paths(spark, folder).where("feature IS NOT NULL AND entered")
+    return rounded(paths.select("series", "date", "mode", "feature", "step", (F.col("penalty") / F.col("spread")).alias("penalty")), 6)
+
+
 def _mi_sql(bins: int = 4) -> str:
     cut = "CAST(DATE '2000-01-01' - INTERVAL 3 MONTH AS DATE)"
     points = "[0.25, 0.5, 0.75]"
@@ -438,6 +487,47 @@ def mi_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pol.top_features(scores, ["series", "date"], 3), 6)
 
 
+# Nearest neighbours by brute force: every pair of rows of every snapshot. Euler's constant cancels in the digammas.
+_NEAR = ["y_lag1", "y_lag12"]
+_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in [*_NEAR, "target"])
+_DIGAMMA = "CASE WHEN {0} > 1 THEN list_sum(list_transform(range(1, {0}), lambda v: 1.0::DOUBLE / v)) ELSE 0.0 END"
+cte("nearest", "nrows", f"""
+  SELECT series, as_of, feature, i, n, list_sort(list(greatest(dx, dy)) FILTER (WHERE i <> j))[3] AS radius, list(dx) AS dxs, list(dy) AS dys
+  FROM (SELECT a.series, a.as_of, a.feature, a.date AS i, b.date AS j, a.n, abs(a.x - b.x) / a.sx AS dx, abs(a.y - b.y) / a.sy AS dy
+        FROM nrows a JOIN nrows b ON a.series = b.series AND a.as_of = b.as_of AND a.feature = b.feature) GROUP BY 1, 2, 3, 4, 5""")
+cte("nscores", "nearest", f"""
+  SELECT series, as_of, feature, n, greatest({_DIGAMMA.format('n')} + 1.5 - avg({_DIGAMMA.format('nx')} + {_DIGAMMA.format('ny')}), 0.0) AS score
+  FROM (SELECT *, len(list_filter(dxs, lambda v: v < radius OR v = 0)) AS nx, len(list_filter(dys, lambda v: v < radius OR v = 0)) AS ny FROM nearest) GROUP BY 1, 2, 3, 4""")
+cte("nrows", "fpanel", f"""
+  SELECT *, coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS sx, coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS sy, count(*) OVER w AS n
+  FROM (SELECT e.series, e.as_of, p.date, CAST(p.target AS DOUBLE) AS y, f.feature, CAST(CASE f.feature WHEN 'y_lag1' THEN y_lag1 ELSE y_lag12 END AS DOUBLE) AS x
+        FROM (SELECT series, date AS as_of FROM fpanel WHERE date >= DATE '2000-01-01' AND month(date) IN (1, 4, 7, 10) AND target IS NOT NULL AND baseline IS NOT NULL) e
+        JOIN fpanel p ON p.series = e.series AND p.date < CAST(e.as_of - INTERVAL {EMBARGO} MONTH AS DATE), (SELECT unnest(['y_lag1', 'y_lag12']) AS feature) f
+        WHERE {_KNOWN}) WINDOW w AS (PARTITION BY series, as_of, feature) QUALIFY count(*) OVER w > 3""")
+
+
+def _neighbours(spark: SparkSession, folder: str, features: list[str]) -> DataFrame:
+    """Information at the months in which models are fitted anew."""
+    evaluated, fit_on = _evaluated()
+    return sel.neighbour_information(feature_panel(spark, folder), ["series"], features, "target", evaluated & (fit_on == F.col("date")), EMBARGO)
+
+
+@query("neighbour_information", "B9", with_ctes("nscores", """
+SELECT series, as_of AS date, feature, n, round(score, 6) + 0.0 AS score FROM nscores"""))
+def neighbour_information(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest-neighbour information with the target per supplier and fit date; the check compares every pair of rows."""
+    return rounded(_neighbours(spark, folder, _NEAR).drop("position"), 6)
+
+
+@query("neighbour_top_k", "B9 T9", with_ctes("nscores", """
+SELECT series, as_of AS date, feature, n, round(round(score, 9), 6) + 0.0 AS score, CAST(1 AS BIGINT) AS rank
+FROM nscores QUALIFY row_number() OVER (PARTITION BY series, as_of ORDER BY round(score, 9) DESC, feature) = 1"""))
+def neighbour_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The more informative of two columns; scores that differ by rounding alone are ties."""
+    scores = _neighbours(spark, folder, _NEAR).withColumn("score", F.round("score", 9))
+    return rounded(pol.top_features(scores, ["series", "date"], 1).drop("position"), 6)
+
+
 def _evaluated() -> tuple[Column, Column]:
     """As-of months from 2000 on that can be scored, and the month whose fit serves each: refits are quarterly."""
     first = F.lit("2000-01-01").cast("date")
