@@ -229,9 +229,11 @@ def enlarged(links: DataFrame, items: DataFrame, neighbours: int, threshold: flo
 
 
 def audit(links: DataFrame, items: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of some queries that were found. Queries are compared with all vectors, in blocks.
+    """Recall of the worst size class: queries are put together by how many true links they have, in powers of two.
 
-    Half of them are drawn from vectors that have links, half from all; the number bounds what is gathered.
+    Half of the queries are drawn from vectors that have links, half from all; their number bounds what is
+    gathered. They are compared with all vectors, in blocks. Every query counts alike within its class, so that
+    a large group hides no small one.
     """
     order = F.xxhash64("vec_id", F.lit(5))
     linked = links.select(F.explode(F.array("u", "v")).alias("vec_id")).distinct().orderBy(order).limit(queries // 2)
@@ -252,9 +254,13 @@ def audit(links: DataFrame, items: DataFrame, threshold: float, queries: int = A
                     keep = other != ids[j]
                     yield from _write([[ids[j][keep], other[keep], np.ones(keep.sum())]])
 
-    true = stage(items.select("vec_id", "label", "dim", "vec").mapInArrow(run, EDGES).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    n = true.count()
-    return true.join(links, ["u", "v"], "left_semi").count() / n if n else 1.0
+    true = items.select("vec_id", "label", "dim", "vec").mapInArrow(run, EDGES).select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    found = links.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).alias("hit"))
+    counted = true.join(found, ["a", "b"], "left").groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("found")).collect()
+    shares: dict[int, list[float]] = {}
+    for r in counted:
+        shares.setdefault(r.n.bit_length(), []).append(r.found / r.n)
+    return min((float(np.mean(s)) for s in shares.values()), default=1.0)
 
 
 def similar_vectors(items: DataFrame, threshold: float, neighbours: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> tuple[DataFrame, float]:
@@ -285,19 +291,41 @@ def similar_vectors(items: DataFrame, threshold: float, neighbours: int = NEIGHB
     raise RuntimeError(f"recall {measured:.3f} after {first} trees; more neighbours are needed")
 
 
+def vector_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors, and the class of every vector that can link.
+
+    Classes: vec_id (the least of the class), label, dim, vec, weight (its vectors). Members: vec_id, class. Of
+    rows that share a vec_id, the one with the least label and vector counts. Two hashes of 64 bits decide
+    that vectors are equal; copies are counted in each task before they are exchanged.
+    """
+    one = vectors(rows).groupBy("vec_id").agg(F.min(F.struct("label", "dim", "vec")).alias("m")).select("vec_id", "m.*")
+    items = stage(one.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}))
+    key = ["label", "dim", "h1", "h2"]
+    classes = items.groupBy(*key).agg(F.min(F.struct("vec_id", "vec")).alias("m"), F.count("*").alias("weight"))
+    classes = stage(classes.select(*key, "m.*", "weight"))
+    members = items.select("vec_id", *key).join(classes.select(*key, F.col("vec_id").alias("class")), key).select("vec_id", "class")
+    return classes.drop("h1", "h2"), members
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.98, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept and audit_recall of every row.
 
-    Vectors are compared within equal, non-null labels and equal dimensions. Null, empty and zero vectors, and those
-    with null or non-finite components, link with nothing; so do rows with a null vec_id. Of rows that share a
-    vec_id, links are counted once. component_id is the least vec_id reachable.
+    Vectors are compared within equal, non-null labels and equal dimensions. Equal vectors are one class, searched once
+    by its least vec_id; every member has the links of its class and the other members. Null, empty and zero
+    vectors, and those with null or non-finite components, link with nothing; so do rows with a null vec_id. Of rows that
+    share a vec_id, the one with the least label and vector counts. component_id is the least vec_id reachable.
     """
-    items = stage(vectors(rows).dropDuplicates(["vec_id"]))
-    links, measured = similar_vectors(items, threshold, **options)
-    counts = links.select(F.explode(F.array("u", "v")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n_links"))
-    known = components(links.toDF("a", "b")).withColumnRenamed("node", "vec_id")
+    classes, members = vector_classes(rows)
+    links, measured = similar_vectors(classes.select("vec_id", "label", "dim", "vec"), threshold, **options)
+    both = links.select("u", "v").union(links.select("v", "u")).toDF("class", "vec_id")
+    weights = classes.select("vec_id", "weight")
+    beyond = both.join(weights, "vec_id").groupBy("class").agg(F.sum("weight").alias("beyond"))
+    known = components(links.toDF("a", "b")).withColumnRenamed("node", "class")
+    found = weights.withColumnRenamed("vec_id", "class").join(beyond, "class", "left").join(known, "class", "left").select(
+        "class", (F.col("weight") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component")
+    )
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = ids.join(counts, "vec_id", "left").join(known, "vec_id", "left")
+    out = ids.join(members.join(found, "class").drop("class"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(measured).alias("audit_recall")

@@ -200,6 +200,25 @@ def test_saturated_lists_grow(spark):
     assert all(r.n_links <= true[r.vec_id] for r in found)
 
 
+def test_copies_of_a_vector_are_searched_once(spark):
+    rng = np.random.default_rng(9)
+    hot, far = rng.standard_normal((2, 16))
+    rows = [(k, hot.tolist(), 1) for k in range(1000, 1400)] + [(k, (hot + 1e-3 * k).tolist(), 1) for k in (1, 2)] + [(2000, hot.tolist(), 2), (2001, far.tolist(), 1), (2002, far.tolist(), 1)]
+    rows += [(5, far.tolist(), 1), (5, hot.tolist(), 3), (5, hot.tolist(), 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    least = min(tuple(v / np.linalg.norm(v)) for v in (hot, far))
+    in_hot = np.allclose(least, hot / np.linalg.norm(hot))  # of the rows of vector 5, the least label and vector counts
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_vectors(frame).collect()}
+    group = 401 + in_hot
+    assert got[1] == (group, 1, True) and got[2] == (group, 1, False) and all(got[k] == (group, 1, False) for k in range(1000, 1400))
+    assert got[2000] == (0, 2000, True)
+    assert got[2001] == ((1, 2001, True) if in_hot else (2, 5, False))
+    classes, members = nn_descent.vector_classes(frame)
+    assert classes.count() == 5 and members.count() == 406
+    links, _ = nn_descent.similar_vectors(classes.select("vec_id", "label", "dim", "vec"), 0.98)
+    assert links.count() == 3, "no pair of copies is a row"
+
+
 def test_lines(docs, none):
     rows = {r.doc_id: r for r in line_variants.repeated_lines(docs, shard_bytes=4000).collect()}
     assert rows[11].removed_lines == [1, 3] and rows[11].n_lines == 3
