@@ -254,23 +254,28 @@ def observation_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(eda.observation_summary(nested, "series", "observations"))
 
 
-@query("nested_observations", "S3 P2 J3", with_ctes("demand_obs", """
-SELECT date, max(n) FILTER (WHERE series = '1-URGENT') AS urgent, max(n) FILTER (WHERE series = '5-LOW') AS low FROM demand_obs
-WHERE series IN ('1-URGENT', '5-LOW') GROUP BY 1""").replace("max(n) FILTER (WHERE series = '1-URGENT')", "CAST(max(n) FILTER (WHERE series = '1-URGENT') AS DOUBLE)").replace("max(n) FILTER (WHERE series = '5-LOW')", "CAST(max(n) FILTER (WHERE series = '5-LOW') AS DOUBLE)"))
+# Order priorities and the columns they become; any other priority counts as ``other``.
+_PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+_NAMED = ", ".join(f"'{k}'" for k in _PRIORITIES)
+
+
+@query("nested_observations", "S3 P2 J3", with_ctes("demand_obs", f"""
+SELECT date, {', '.join(f"CAST(sum(n) FILTER (WHERE series = '{k}') AS DOUBLE) AS {v}" for k, v in _PRIORITIES.items())},
+       CAST(sum(n) FILTER (WHERE series IS NULL OR series NOT IN ({_NAMED})) AS DOUBLE) AS other FROM demand_obs GROUP BY 1"""))
 def nested_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly counts packed into the nested response layout, then read back wide by series."""
+    """Monthly counts packed into the nested response layout, one document a series, then read back wide by series."""
     from hindcast.sources.readers import OBSERVATION_SCHEMA, explode_observations, observations_wide
 
-    names = F.create_map(F.lit("1-URGENT"), F.lit("urgent"), F.lit("5-LOW"), F.lit("low"))
-    orders = table(spark, folder, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).withColumn("series", names[F.col("o_orderpriority")])
-    monthly = to_monthly(orders, ["series"], "o_orderdate", {"n": F.count(F.lit(1))})
+    names = F.create_map(*[F.lit(v) for pair in _PRIORITIES.items() for v in pair])
+    series = F.coalesce(F.try_element_at(names, F.coalesce("o_orderpriority", F.lit(""))), F.lit("other"))
+    monthly = to_monthly(table(spark, folder, "orders").withColumn("series", series), ["series"], "o_orderdate", {"n": F.count(F.lit(1))})
     cells = F.collect_list(F.struct(F.col("date").cast("string").alias("date"), F.col("n").cast("string").alias("value")))
-    bodies = monthly.groupBy("series").agg(F.struct(F.col("series").alias("series_id"), F.struct(cells.alias("observations")).alias("response")).alias("body"))
-    document = bodies.agg(F.map_from_entries(F.collect_list(F.struct("series", "body"))).alias("series")).select(
-        F.to_json(F.struct(F.lit("orders").alias("source_name"), F.lit("x").alias("provider"), "series")).alias("text")
+    body = F.struct(F.col("series").alias("series_id"), F.struct("observations").alias("response"))
+    documents = monthly.groupBy("series").agg(cells.alias("observations")).select(
+        F.to_json(F.struct(F.lit("orders").alias("source_name"), F.lit("x").alias("provider"), F.create_map("series", body).alias("series"))).alias("text")
     )
-    raw = document.select(F.from_json("text", OBSERVATION_SCHEMA).alias("d")).select("d.*")
-    return rounded(observations_wide(explode_observations(raw), ["urgent", "low"]))
+    raw = documents.select(F.from_json("text", OBSERVATION_SCHEMA).alias("d")).select("d.*")
+    return rounded(observations_wide(explode_observations(raw), [*_PRIORITIES.values(), "other"]))
 
 
 # --- tests -----------------------------------------------------------------------------------------
