@@ -35,15 +35,26 @@ EDGE_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float6
 
 def vectors(rows: DataFrame) -> DataFrame:
     """Vectors that can link: vec_id, label, vec (doubles, divided by their length) and its dimension."""
-    x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
-    finite = F.forall(F.col("x"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), x.alias("x"))
-    known = known.where("vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL").where(finite)
-    # Divided by the largest component first, so that no square leaves the range of doubles.
-    most = F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
-    known = known.withColumn("most", most).where("most > 0").withColumn("x", F.transform("x", lambda v: v / F.col("most")))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    return known.withColumn("norm", norm).select("vec_id", "label", F.size("x").alias("dim"), F.transform("x", lambda v: v / F.col("norm")).alias("vec"))
+    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    known = known.where("vec_id IS NOT NULL AND label IS NOT NULL AND size(vec) > 0")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims = pc.list_value_length(batch["vec"]).to_numpy()
+            flat = batch["vec"].flatten().to_numpy(zero_copy_only=False)  # null entries become NaN
+            starts = np.append(0, np.cumsum(dims))
+            # Divided by the largest component first, so that no square leaves the range of doubles.
+            most = np.maximum.reduceat(np.abs(flat), starts[:-1])
+            keep = np.isfinite(most) & (most > 0)
+            x = flat / np.repeat(np.where(keep, most, 1.0), dims)
+            x = x / np.repeat(np.where(keep, np.sqrt(np.add.reduceat(x * x, starts[:-1])), 1.0), dims)
+            vec = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x))
+            out = pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(dims, pa.int32()), vec], names=["vec_id", "label", "dim", "vec"])
+            yield out.filter(pa.array(keep))
+
+    return known.mapInArrow(unit, "vec_id long, label long, dim int, vec array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
