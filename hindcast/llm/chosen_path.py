@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm import common
@@ -30,9 +30,11 @@ SKETCH_ERRORS = 4.0
 SMALL = 48
 #: Nodes up to this size are finished inside a task; larger ones branch across the cluster.
 TASK_ROWS = 8_000
+#: Shingles whose documents a task compares on full sets at once.
+TASK_ITEMS = 2_000_000
 #: Distributed branchings of a node before it is cut into blocks.
 MOST_LEVELS = 14
-#: Documents that every block of a cut node has besides its own.
+#: Documents that every block of a cut node has besides its own, in the first look.
 PIVOTS = 64
 #: Identifiers that may be broadcast; more are joined.
 BROADCAST_IDS = 2_000_000
@@ -117,22 +119,19 @@ class NodeJoin:
 
     def __init__(self, percent: int):
         share = percent / 100
-        self.share = share
+        self.percent, self.share = percent, share
         self.least = int(np.ceil(SKETCH * share - SKETCH_ERRORS * np.sqrt(SKETCH * share * (1 - share))))
 
-    def pairs(self, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarray, node: int) -> tuple[dict, set]:
-        """Chosen pairs with their matches, and the documents that have other candidate pairs left.
+    def take(self, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        self.ids, self.sizes, self.tokens = ids, sizes, tokens
 
-        With ``labels`` of components already known, pairs within one are left out and all others chosen.
-        """
-        self.ids, self.sizes, self.tokens, self.labels = ids, sizes, tokens, labels
-        self.found: dict[tuple[int, int], int] = {}
-        self.left: set[int] = set()
-        stack = [(np.arange(len(ids)), node & 0x7FFFFFFF, 0)]
+    def leaves(self, node: int) -> Iterator[np.ndarray]:
+        """Small nodes below this one, and groups that no branching makes smaller."""
+        stack = [(np.arange(len(self.ids)), node & 0x7FFFFFFF, 0)]
         while stack:
             rows, path, level = stack.pop()
             if len(rows) <= SMALL:
-                self.compare(rows)
+                yield rows
                 continue
             rng = np.random.default_rng([path, level])
             parts = []
@@ -142,35 +141,44 @@ class NodeJoin:
                 cuts = np.flatnonzero(np.diff(own[order])) + 1
                 parts += [part for part in np.split(rows[order], cuts) if len(part) > 1]
             if sum(len(part) ** 2 for part in parts) > 0.9 * len(rows) ** 2:
-                self.compare(rows)  # copies of one another: branching would compare more pairs, not fewer
+                yield rows  # copies of one another: branching would compare more pairs, not fewer
                 continue
             stack += [(part, int(rng.integers(1 << 31)), level + 1) for part in parts]
-        return self.found, self.left
 
-    def compare(self, rows: np.ndarray) -> None:
-        """Exhaustively, in stripes: of every document the best partner, and its match with the node's middle."""
+    def stripes(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Exhaustively, some rows at a time: where they begin, matches with all rows, and which are candidates."""
         n = len(rows)
         tokens, sizes = self.tokens[rows], self.sizes[rows]
-        totals = np.zeros(n)
-        best = np.zeros((n, 2), np.int64)
-        counts = np.zeros(n, np.int64)
         step = max(1, (1 << 22) // (n * SKETCH))
         for a in range(0, n, step):
             matches = (tokens[a : a + step, None, :] == tokens[None, :, :]).sum(2)
             small, large = np.minimum(sizes[a : a + step, None], sizes), np.maximum(sizes[a : a + step, None], sizes)
             ok = (matches >= self.least) & (small >= self.share * large - 1e-9)
             ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
-            if self.labels is not None:
-                ok &= self.labels[rows[a : a + step], None] != self.labels[rows]
-                for i, j in zip(*np.nonzero(ok), strict=True):
-                    if a + i < j:
-                        self.add(rows[a + i], rows[j], int(matches[i, j]))
-                continue
+            yield a, matches, ok
+
+    def pairs(self, node: int) -> tuple[dict, set]:
+        """Chosen pairs with their matches, and the documents that have other candidate pairs left."""
+        self.found: dict[tuple[int, int], int] = {}
+        self.left: set[int] = set()
+        for rows in self.leaves(node):
+            self.compare(rows)
+        return self.found, self.left
+
+    def compare(self, rows: np.ndarray) -> None:
+        """Of every document the best partner, and its match with the node's middle."""
+        n = len(rows)
+        tokens, sizes = self.tokens[rows], self.sizes[rows]
+        totals = np.zeros(n)
+        best = np.zeros((n, 2), np.int64)
+        counts = np.zeros(n, np.int64)
+        for a, matches, ok in self.stripes(rows):
+            b = a + len(ok)
             matches = np.where(ok, matches, 0)
-            totals[a : a + step] = matches.sum(1)
-            counts[a : a + step] = ok.sum(1)
-            best[a : a + step, 0], best[a : a + step, 1] = matches.argmax(1), matches.max(1)
-        if self.labels is not None or not counts.any():
+            totals[a:b] = matches.sum(1)
+            counts[a:b] = ok.sum(1)
+            best[a:b, 0], best[a:b, 1] = matches.argmax(1), matches.max(1)
+        if not counts.any():
             return
         middle = int(np.argmax(totals))
         to_middle = (tokens == tokens[middle]).sum(1)
@@ -191,6 +199,72 @@ class NodeJoin:
         if a != b:
             self.found[a, b] = matches
 
+    def doubtful(self, node: int, labels: np.ndarray, asks: np.ndarray) -> np.ndarray:
+        """Which documents have a candidate of another component, one of the two asking."""
+        out = np.zeros(len(self.ids), bool)
+        for rows in self.leaves(node):
+            label, ask = labels[rows], asks[rows]
+            for a, _, ok in self.stripes(rows):
+                b = a + len(ok)
+                ok &= (label[a:b, None] != label) & (ask[a:b, None] | ask)
+                out[rows[a:b]] |= ok.any(1)
+        return out
+
+    def spanning(self, labels: np.ndarray, asks: np.ndarray, offsets: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links on full sets between unlike components, each of which makes two components one.
+
+        An asking document's set is held against all its candidates of other components at once. There are fewer
+        links than components here, whatever the number of pairs that were compared.
+        """
+        label = labels.copy()
+        values, codes = np.unique(items, return_inverse=True)
+        marks = np.zeros(len(values), bool)
+        n_items = np.diff(offsets)
+        for i in np.flatnonzero(asks).tolist():
+            matches = np.count_nonzero(self.tokens == self.tokens[i], axis=1)
+            size = np.minimum(self.sizes, self.sizes[i]) >= self.share * np.maximum(self.sizes, self.sizes[i]) - 1e-9
+            others = np.flatnonzero((matches >= self.least) & size & (label != label[i]))
+            if not len(others):
+                continue
+            own = codes[offsets[i] : offsets[i + 1]]
+            marks[own] = True
+            hits = marks[np.concatenate([codes[offsets[j] : offsets[j + 1]] for j in others.tolist()])]
+            marks[own] = False
+            before = np.concatenate([[0], np.cumsum(hits)])
+            ends = np.cumsum(n_items[others])
+            shared = before[ends] - before[ends - n_items[others]]
+            linked = 100 * shared >= self.percent * (n_items[i] + n_items[others] - shared)
+            for j in others[linked].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield int(self.ids[i]), int(self.ids[j])
+
+
+def node_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one node after another, from batches sorted by node."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        nodes = batch["node"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            if held and nodes[lo] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = nodes[lo]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    common.release()
+
+
+def taken(join: NodeJoin, table: pa.Table) -> None:
+    tokens = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    join.take(table["rep_id"].to_numpy(), table["n_shingles"].to_numpy(), tokens)
+
 
 JOINED = "node long, a long, b long, matches int"
 
@@ -198,21 +272,20 @@ JOINED = "node long, a long, b long, matches int"
 def node_join(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of all nodes; a row with null b says that node has more pairs for document a.
 
-    Rows of a node come together in one task, sorted, and are taken node by node. ``rows`` may have a column
-    ``label``.
+    Rows of a node come together in one task, sorted, and are taken node by node.
     """
-    labelled = "label" in rows.columns
     schema = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("matches", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = NodeJoin(percent)
 
-        def finish(nodes, ids, sizes, tokens, labels, cuts):
+        def finish(nodes, ids, sizes, tokens, cuts):
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                found, left = join.pairs(ids[lo:hi], sizes[lo:hi], tokens[lo:hi], None if labels is None else labels[lo:hi], int(nodes[lo]))
+                join.take(ids[lo:hi], sizes[lo:hi], tokens[lo:hi])
+                found, left = join.pairs(int(nodes[lo]))
                 out += [(int(nodes[lo]), a, b, m) for (a, b), m in found.items()]
                 out += [(int(nodes[lo]), int(ids[lo + i]), None, 0) for i in left]
             return out
@@ -221,20 +294,78 @@ def node_join(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             columns = [batch["node"].to_numpy(), batch["rep_id"].to_numpy(), batch["n_shingles"].to_numpy()]
             columns.append(np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH))
-            columns.append(batch["label"].to_numpy() if labelled else np.zeros(len(columns[0]), np.int64))
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(held[0])) + 1]).tolist()
-            out = finish(*held[:4], held[4] if labelled else None, cuts)
+            out = finish(*held, cuts)
             held = [x[cuts[-1] :] for x in held]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
         if held is not None and len(held[0]):
-            out = finish(*held[:4], held[4] if labelled else None, [0, len(held[0])])
+            out = finish(*held, [0, len(held[0])])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    columns = ["node", "rep_id", "n_shingles", "sketch", *(["label"] if labelled else [])]
-    return rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, JOINED)
+    return rows.select("node", "rep_id", "n_shingles", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, JOINED)
+
+
+def faced(rows: DataFrame, load: Column, most: int) -> DataFrame:
+    """Tasks in which the documents of a node meet those of other components, as new nodes with ``asks``.
+
+    Of two documents in unlike components, one at least is outside the node's largest. Those outside ask:
+    each part of them meets each block of all documents, and parts and blocks hold a load of about ``most``. Nodes of
+    one component are left out. ``rows`` is a written table with ``label``.
+    """
+    by_label = rows.groupBy("node", "label").agg(F.sum(load).alias("load"))
+    per_node = by_label.groupBy("node").agg(F.max(F.struct("load", "label")).alias("top"), F.sum("load").alias("load"), F.count("*").alias("labels"))
+    many = lambda x: F.greatest(F.lit(1), F.ceil(x / most)).cast("int")
+    nodes = stage(per_node.where("labels > 1").select("node", F.col("top.label").alias("main"), many(F.col("load") - F.col("top.load")).alias("parts"), many(F.col("load")).alias("blocks")))
+    at = rows.join(nodes, "node").withColumns({"lone": F.col("label") != F.col("main"), "part": F.pmod(F.xxhash64("rep_id", "node", F.lit(31)), F.col("parts")).cast("int"), "block": F.pmod(F.xxhash64("rep_id", "node", F.lit(32)), F.col("blocks")).cast("int")})
+    place = lambda p, b: F.struct(p.alias("p"), b.alias("b"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(p, F.col("block")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(F.col("part"), b))
+    at = at.withColumn("place", F.explode(F.when(F.col("lone"), F.array_union(asked, asking)).otherwise(asked)))
+    return at.select(F.xxhash64("node", "place.p", "place.b").alias("node"), "rep_id", "n_shingles", "sketch", "label", (F.col("lone") & (F.col("place.p") == F.col("part"))).alias("asks"))
+
+
+def doubts(rows: DataFrame, percent: int) -> DataFrame:
+    """The documents of each task of ``faced`` that have a candidate of another component there."""
+    columns = ["node", "rep_id", "n_shingles", "sketch", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = NodeJoin(percent)
+        for table in node_tables(batches):
+            taken(join, table)
+            asks = table["asks"].to_numpy(zero_copy_only=False)
+            found = join.doubtful(table["node"][0].as_py(), table["label"].to_numpy(), asks)
+            if found.any():
+                yield from table.filter(pa.array(found)).select(columns).to_batches(max_chunksize=4000)
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, rep_id long, n_shingles long, sketch binary, label long")
+
+
+def spanning_links(rows: DataFrame, docs: DataFrame, words: int, percent: int, task_rows: int, task_items: int = TASK_ITEMS) -> DataFrame:
+    """Confirmed links (a, b) that join the components of ``label`` within nodes of any size.
+
+    Sketches find the documents in doubt, without a list of pairs; their full sets come to the node and are held
+    against one another there. What leaves a task are links that join components, fewer than its documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = NodeJoin(percent)
+        for table in node_tables(batches):
+            taken(join, table)
+            lists = table["items"].combine_chunks()
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            found = list(join.spanning(table["label"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False), offsets, lists.flatten().to_numpy()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    found = stage(doubts(faced(rows, F.lit(1), task_rows), percent))
+    tasks = faced(found, F.col("n_shingles"), task_items)
+    sets = full_sets(found.select(F.col("rep_id").alias("doc_id")).distinct(), docs, words)
+    met = tasks.join(sets.withColumnRenamed("doc_id", "rep_id"), "rep_id").repartition("node").sortWithinPartitions("node")
+    links = met.select("node", "rep_id", "n_shingles", "sketch", "label", "asks", "items").mapInArrow(run, "a long, b long")
+    return stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def spread(reps: DataFrame, task_rows: int = TASK_ROWS, most_levels: int = MOST_LEVELS) -> tuple[list[DataFrame], DataFrame | None]:
@@ -257,12 +388,11 @@ def spread(reps: DataFrame, task_rows: int = TASK_ROWS, most_levels: int = MOST_
     return [*done, rows.join(large, "node", "left_anti")], stage(rows.join(large, "node"))
 
 
-def blocks(stuck: DataFrame, everywhere, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Nodes that stay large, cut into blocks; rows for which ``everywhere`` holds are in every block."""
+def blocks(stuck: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Nodes that stay large, cut into blocks; pivots are in every block."""
     n_blocks = F.ceil(F.col("n") * 2 / task_rows).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep_id", F.lit(21)), n_blocks).cast("int"))
-    block = F.when(everywhere, F.sequence(F.lit(0), n_blocks - 1)).otherwise(own)
-    rows = stuck.withColumn("block", F.explode(block))
+    own = F.array(F.pmod(F.xxhash64("rep_id", "node", F.lit(21)), n_blocks).cast("int"))
+    rows = stuck.withColumn("block", F.explode(F.when(is_pivot(), F.sequence(F.lit(0), n_blocks - 1)).otherwise(own)))
     return rows.withColumn("node", F.xxhash64("node", "block")).drop("block", "n")
 
 
@@ -271,8 +401,8 @@ def is_pivot():
     return F.pmod(F.xxhash64("rep_id", F.lit(22)), F.col("n")) < PIVOTS
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and the sorted shingle hashes of the documents with these identifiers."""
     schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +411,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
             yield from pa.Table.from_arrays([block["doc_id"].combine_chunks(), items], schema=schema).to_batches(max_chunksize=500)
 
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = stage(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    sets = stage(rows.mapInArrow(run, "doc_id long, items array<long>"))
+    return stage(rows.mapInArrow(run, "doc_id long, items array<long>"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, words)
     one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
     two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
     shared = F.size(F.array_intersect("items_a", "items_b"))
@@ -301,14 +436,13 @@ def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
 def similar_pairs(reps: DataFrame, docs: DataFrame, words: int, percent: int, task_rows: int = TASK_ROWS, most_levels: int = MOST_LEVELS) -> DataFrame:
     """Confirmed links (a, b) between different sets, enough of them to connect all that similarity connects.
 
-    First the best pair of every document and its pair with a node's middle are confirmed. Documents that had
-    other candidates are compared once more; now every pair that still joins two components is
-    confirmed. Nodes that stay large are cut into blocks that share pivots; documents that no confirmed link joins to
-    a pivot are then compared with every block.
+    First the best pair of every document and its pair with a node's middle are confirmed, then the other pairs that
+    nodes chose. Nodes with more candidates are looked at once more, between components only. Nodes that stay large
+    are cut into blocks that share pivots at first; the last look takes them whole, so no two blocks stay apart.
     """
     done, stuck = spread(reps, task_rows, most_levels)
     if stuck is not None:
-        done.append(blocks(stuck, is_pivot(), task_rows))
+        done.append(blocks(stuck, task_rows))
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more.select(rows.columns))
@@ -321,28 +455,19 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, words: int, percent: int, ta
     first = best.select("a", F.explode(F.array("best.b", "hub.b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = stage(first)
     links = confirm(first, docs, words, percent)
-    # What else the nodes have: pairs not chosen above, and nodes with more candidates.
+    # What else the nodes chose between components, and then nodes with more candidates and those cut into blocks.
     other = pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     known = components(links)
     label = lambda df, c: df.join(known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_")), c, "left").withColumn(f"{c}_", F.coalesce(f"{c}_", c))
-    other = label(label(other, "a"), "b").where("a_ <> b_").select("a", "b")
-    again = joined.where("b IS NULL").select("node").distinct()
-    again = labelled(rows.join(again, "node", "left_semi"), known)
-    rest = node_join(again, percent).where("b IS NOT NULL").select("a", "b")
-    second = stage(other.union(rest).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = links.union(confirm(second, docs, words, percent))
+    other = stage(label(label(other, "a"), "b").where("a_ <> b_").select("a", "b"))
+    if not other.isEmpty():
+        links = links.union(confirm(other, docs, words, percent))
+        known = components(links)
+    again = rows.join(joined.where("b IS NULL").select("node").distinct(), "node", "left_semi")
     if stuck is not None:
-        pivots = stuck.where(is_pivot()).select("node", F.col("rep_id").alias("pivot"))
-        reached = components(links)
-        of = lambda df, c: df.join(reached.select(F.col("node").alias(c), "component"), c, "left").withColumn("component", F.coalesce("component", c))
-        with_pivot = of(pivots, "pivot").select("node", "component").distinct()
-        lone = of(stuck, "rep_id").join(with_pivot, ["node", "component"], "left_anti").select("node", "rep_id").withColumn("lone", F.lit(True))
-        marked = stuck.join(stage(lone), ["node", "rep_id"], "left")
-        everywhere = labelled(blocks(marked, F.coalesce("lone", F.lit(False)), task_rows), reached)
-        third = stage(node_join(everywhere, percent).where("b IS NOT NULL").select("a", "b").distinct())
-        links = links.union(confirm(third, docs, words, percent))
-    return links
+        again = again.unionByName(stuck.select(again.columns))
+    again = stage(labelled(again.select("node", "rep_id", "n_shingles", "sketch"), known))
+    return links.union(spanning_links(again, docs, words, percent, task_rows))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, task_rows: int = TASK_ROWS, most_levels: int = MOST_LEVELS) -> DataFrame:

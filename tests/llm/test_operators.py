@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hindcast.llm import anchors, catalog, chosen_path, common, line_variants, mixing, nn_descent, sharding, templates, token_blocks, toxicity, warc
 from hindcast.session import ship_package
@@ -176,6 +177,70 @@ def test_nodes_too_large_for_a_task(spark):
     assert sum(r.kept for r in found) == 31
 
 
+def near_miss_texts(n: int) -> list[tuple[int, str]]:
+    """Texts that share most of their words with all others, some above and most below the threshold."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(5, 14)), replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def plain_components(rows: list[tuple[int, str]]) -> dict[int, int]:
+    sets = {k: set(zip(t.split()[:-1], t.split()[1:], strict=True)) for k, t in rows}
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("task_rows, most_levels", [(8_000, 14), (30, 0)])
+def test_near_misses(spark, task_rows, most_levels):
+    """The closure is that of all pairs, in whole nodes as in nodes cut into blocks."""
+    rows = near_miss_texts(160)
+    found = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), task_rows=task_rows, most_levels=most_levels).collect()
+    plain = plain_components(rows)
+    assert {r.doc_id: r.component_id for r in found} == plain
+    assert 1 < len(set(plain.values())) < len(rows)
+
+
+@pytest.mark.parametrize("task_rows, task_items", [(1_000, 1_000_000), (20, 4_000)])
+def test_spanning_links(spark, task_rows, task_items):
+    """From one node without known links: those that close it, fewer than documents a task, over blocks of any size."""
+    rows = near_miss_texts(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = chosen_path.described(docs, 2).selectExpr("doc_id AS rep_id", "n_shingles", "sketch", "7L AS node", "doc_id AS label")
+    links = chosen_path.spanning_links(common.stage(one), docs, 2, 80, task_rows, task_items).collect()
+    label = {k: k for k, _ in rows}
+    for r in links:
+        low, high = sorted((label[r.a], label[r.b]))
+        label = {k: low if v == high else v for k, v in label.items()}
+    plain = plain_components(rows)
+    assert label == plain
+    if task_rows == 1_000:
+        assert len(links) == len(rows) - len(set(plain.values()))
+
+
+def test_faced_meets_every_unlike_pair(spark):
+    rows = spark.range(200).selectExpr("id AS rep_id", "id % 2 AS node", "5L AS n_shingles", "binary('') AS sketch", "id % 7 AS label")
+    met = set()
+    tasks = {}
+    for r in chosen_path.faced(common.stage(rows), F.lit(1), 16).collect():
+        tasks.setdefault(r.node, []).append(r)
+    assert max(map(len, tasks.values())) < 64
+    for task in tasks.values():
+        met |= {(a.rep_id, b.rep_id) for a in task for b in task if a.asks and a.label != b.label}
+    unlike = {(a, b) for a in range(200) for b in range(200) if a % 2 == b % 2 and a % 7 != b % 7}
+    assert all((a, b) in met or (b, a) in met for a, b in unlike)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3, 8))
