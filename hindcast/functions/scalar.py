@@ -143,3 +143,9 @@ def params_short(json_text: Column | str, limit: int = 4) -> Column:
     )
     shown = F.when(F.size(ordered) > limit, F.concat(shown, F.array(F.lit("...")))).otherwise(shown)
     return F.when(F.size(keys) == 0, F.lit("params: none")).otherwise(F.array_join(shown, ", "))
+
+
+def steady(value: Column, digits: int = 12) -> Column:
+    """A sum of doubles to ``digits`` significant digits: sums that differ only by the order of their terms become equal."""
+    scale = F.pow(F.lit(10.0), F.least(F.lit(300.0), digits - 1 - F.floor(F.log10(F.abs(value)))))
+    return F.when(F.abs(value) > 0, F.rint(value * scale) / scale).otherwise(value)

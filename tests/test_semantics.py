@@ -182,6 +182,14 @@ def test_equal_scores_are_ordered_by_configuration(spark):
     assert {r.config_id: r["rank"] for r in ranks} == {"a": 1, "b": 2}
 
 
+def test_equal_errors_in_another_order_are_equal_scores(spark):
+    up, down = ([(0.0, gap, 1.0) for gap in gaps] for gaps in ((0.1, 0.2, 0.3), (0.3, 0.2, 0.1)))
+    rows = one("a", up) + one("b", down)
+    measured = metrics.backtest_metrics(facts(spark, rows))
+    ranks = metrics.rank_metrics(measured).where("evaluation_scope = 'overall'").collect()
+    assert {r.config_id: r["rank"] for r in ranks} == {"a": 1, "b": 2} and len({(r.mae, r.rmse) for r in ranks}) == 1
+
+
 def test_champion_prefers_simple_within_two_percent(spark):
     schema = "model_config_id string, evaluation_scope string, model_type string, n_features int, selection_score double, mae double, rmse double"
     rows = [("best", "overall", "xgboost", 9, 100.0, 1.0, 1.0), ("near", "overall", "ridge", 5, 101.9, 1.0, 1.0), ("far", "overall", "naive", 0, 102.1, 1.0, 1.0)]
