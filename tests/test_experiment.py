@@ -122,3 +122,21 @@ def test_unknown_columns_and_models_are_refused(spark, frame):
         run(spark, frame, [], {"odd": ["nothing"]})
     with pytest.raises(ValueError, match="without a learner"):
         run(spark, frame, [], models=[("lstm", {})])
+
+
+def test_snapshots_solved_together_equal_each_alone():
+    families = {"all": ["a", "b"], "one": ["a"]}
+    config = {"feature_transform": "identity", "mode": "raw", "params": {"alpha": 2.0}}
+    plan = ex.Plan(families, [{**config, "model_type": m, "feature_family_name": f, "feature_policy": p} for m in ("ridge", "lasso") for f in families for p in ("none", "variance_pruned")], 10)
+    rng = np.random.default_rng(5)
+    snapshots = []
+    for rows in (30, 4, 50):  # the second one has too few rows
+        z = np.concatenate([np.ones((rows, 1)), rng.standard_normal((rows, 4))], axis=1)
+        snapshots.append({"11": (z.T @ z)[plan.upper]})
+    shift = np.zeros(4)
+    together = list(ex.solve_snapshots(plan, snapshots, shift))
+    assert {place for place, _ in together} == {0, 2} and len(together) == 16
+    for place in (0, 2):
+        alone = {fit["config"]: fit for _, fit in ex.solve_snapshots(plan, [snapshots[place]], shift)}
+        for fit in (f for p, f in together if p == place):
+            assert np.allclose(fit["coef"], alone[fit["config"]]["coef"]) and fit["n_train"] == alone[fit["config"]]["n_train"]
