@@ -335,14 +335,19 @@ def dashboard_outputs(predictions: DataFrame, runs: DataFrame, metrics: DataFram
     }
 
 
-def recombine(predictions: list[DataFrame], runs: list[DataFrame]) -> dict[str, DataFrame]:
-    """Union several experiments and recompute everything that depends on all of them."""
+def recombine(predictions: list[DataFrame], runs: list[DataFrame], tasks: int | None = None) -> dict[str, DataFrame]:
+    """Union several experiments and recompute everything that depends on all of them.
+
+    ``tasks`` are the partitions of the united facts by configuration, where the session's number is too few.
+    """
     from functools import reduce
 
     def union(frames: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     facts, all_runs = union(predictions), union(runs)
+    if tasks:
+        facts, all_runs = facts.repartition(tasks, "config_id"), all_runs.repartition(tasks, "config_id")
     metrics = materialize(backtest_metrics(facts))
     tables = dashboard_outputs(facts, all_runs, metrics)
     return {"predictions": facts, "model_runs": all_runs, "metrics": metrics, "champion": champion(metrics), **tables}

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.operators import distribution as ds
+from hindcast.operators import panel
+from hindcast.plans import fixtures as fx
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,13 @@ def test_ranges_follow_the_key(skewed):
     ).orderBy("_range").collect()
     assert len(spans) > 4
     assert all(a.high <= b.low for a, b in zip(spans, spans[1:]))
+
+
+def test_parts_grow_with_the_lines(spark, monkeypatch):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = "/root/testdata/sf0.001"
+    assert fx.predictions(spark, folder).rdd.getNumPartitions() == parts
+    monkeypatch.setattr(panel, "ROWS_A_TASK", 500)
+    more = fx.predictions(spark, folder).rdd.getNumPartitions()
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert more == -(-lines // 500) > parts
