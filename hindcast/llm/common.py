@@ -23,6 +23,8 @@ from hindcast.session import scratch_folder
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are the longest runs of characters outside this ASCII white space, in every operator.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bytes up to which words are hashed together.
+LONG_WORD = 64
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -103,11 +105,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """Row offsets into the words of all rows, and the words with their dictionary.
-
-    Null rows have no words.
-    """
+def split_flat(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """Row offsets into the words of all rows, and the words. Null rows have no words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
@@ -116,7 +115,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Di
     full = pc.not_equal(pc.binary_length(flat), 0)
     before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
     offsets = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    return offsets, flat.filter(full).dictionary_encode()
+    return offsets, flat.filter(full)
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The same, the words with their dictionary."""
+    offsets, words = split_flat(texts, lower)
+    return offsets, words.dictionary_encode()
 
 
 def word_hashes(words: pa.DictionaryArray, seed: int = 0) -> np.ndarray:
@@ -126,6 +131,31 @@ def word_hashes(words: pa.DictionaryArray, seed: int = 0) -> np.ndarray:
     return table_[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
+def flat_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each string of a large_string array without nulls, eight bytes of all words at a time.
+
+    For words that are seldom repeated, where a dictionary gains nothing. The few above ``LONG_WORD``
+    bytes are hashed one by one.
+    """
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    start, length = offsets[:-1], np.diff(offsets)
+    data = np.zeros(offsets[-1] + 8, np.uint8)  # the last word, too, has eight bytes from its start
+    if offsets[-1]:
+        data[:-8] = np.frombuffer(words.buffers()[2], np.uint8, offsets[-1])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = mix(mix(length.astype(np.uint64) + np.uint64(seed)) ^ (eight[start] & mask[np.minimum(length, 8)]))
+    rows = np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        rows = rows[length[rows] > at]
+        out[rows] = mix(out[rows] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[start[rows] + at] & mask[np.minimum(length[rows] - at, 8)]))
+    for row in np.flatnonzero(length > LONG_WORD).tolist():
+        out[row] = xxhash.xxh3_64_intdigest(data[start[row] : start[row] + length[row]], seed)
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), base, np.uint64)

@@ -8,7 +8,7 @@ and the earliest line stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +45,25 @@ class Ranges:
 
 
 class Lines:
-    """The lines of some texts as word sequences; lines without words are left out."""
+    """The lines of some texts as word sequences; lines without words are left out, as are those that ``among``,
+    given text indexes and numbers of lines, is not true for."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, among: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.split_pattern(texts, "\n")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        self.per_text = np.diff(bounds)
-        offsets, words = common.split_words(split.flatten())
-        text = np.repeat(np.arange(len(texts)), self.per_text)
+        lines = split.flatten()
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        number = np.arange(len(lines)) - bounds[:-1][text]
+        if among is not None:
+            chosen = np.flatnonzero(among(text, number))
+            lines, text, number = lines.take(pa.array(chosen)), text[chosen], number[chosen]
+        offsets, words = common.split_flat(lines)
         full = np.flatnonzero(np.diff(offsets))
-        self.text, self.number = text[full], full - bounds[:-1][text[full]]
+        self.text, self.number = text[full], number[full]
         self.start, self.end = offsets[:-1][full], offsets[1:][full]
         self.n = self.end - self.start
-        first = common.word_hashes(words, 1)
+        first = common.flat_hashes(words, 1)
         # Two bases make the hashes of sequences independent; the words' second hashes come from the first.
         self.ranges = [Ranges(h, base) for h, base in zip((first, common.mix(first ^ np.uint64(BASES[1]))), BASES, strict=True)]
         self.h1, self.h2 = (r.whole(self.start, self.end) for r in self.ranges)
@@ -128,10 +133,8 @@ def shared_halves(docs: DataFrame, least_words: int) -> DataFrame:
         out_schema, _ = _schema("h1 h2")
         last: tuple | None = None
         told = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, h1, h2 = (c.to_numpy() for c in batch.columns)
+        for block in common.blocks_of(batches):
+            key, h1, h2 = (c.to_numpy() for c in block.columns)
             if last is not None:
                 key, h1, h2 = (np.concatenate([[a], b]) for a, b in zip(last, (key, h1, h2), strict=True))
             same_key = np.concatenate([[False], key[1:] == key[:-1]])
@@ -153,6 +156,35 @@ def shared_halves(docs: DataFrame, least_words: int) -> DataFrame:
     return flat.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(share, "h1 long, h2 long").distinct()
 
 
+def near_earlier(blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, number) of lines with an earlier line one edit away; some of them repeatedly.
+
+    ``blocks`` have v1, v2, at, doc_id and number, sorted by variant, place of the deletion and order of lines. The line
+    without a deletion (place -1) is one edit from all others of its variant; two with a deletion are where the places
+    agree. A variant's first row and the first row of its last place go on to the next block.
+    """
+    schema, _ = _schema("doc_id number")
+    held: list[np.ndarray] | None = None
+    for block in blocks:
+        columns = [c.to_numpy() for c in block.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        v1, v2, at, doc, number = columns
+        new = np.concatenate([[True], (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1])])
+        new_place = new | np.concatenate([[True], at[1:] != at[:-1]])
+        starts, places = np.flatnonzero(new), np.flatnonzero(new_place)
+        start, place = starts[np.cumsum(new) - 1], places[np.cumsum(new_place) - 1]
+        less = at >= 0
+        beside = less & (at[start] == -1)  # the variant is a line itself
+        behind = (doc > doc[start]) | ((doc == doc[start]) & (number > number[start]))
+        before = (doc < doc[start]) | ((doc == doc[start]) & (number < number[start]))
+        later = (doc != doc[place]) | (number != number[place])
+        gone = np.unique(np.concatenate([np.flatnonzero((less & later) | (beside & behind)), start[beside & before]]))
+        yield from _table([doc[gone], number[gone]], schema)
+        last = np.unique([starts[-1], places[-1]])
+        held = [c[last] for c in columns]
+
+
 def removed_near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, number) of the ``wanted`` lines that are one edit from an earlier one.
 
@@ -164,41 +196,30 @@ def removed_near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         places = set(zip(right["doc_id"].to_pylist(), right["number"].to_pylist(), right["h1"].to_pylist(), strict=True))
-        known = np.unique(right["h1"].to_numpy())
+        docs_, numbers = right["doc_id"].to_numpy(), right["number"].to_numpy()
+        known, beyond = np.unique(docs_), numbers.max() + 1
+        codes = np.unique(np.searchsorted(known, docs_) * beyond + numbers)
         out = []
         for table in common.blocks_of(iter(left.combine_chunks().to_batches())):
-            lines = Lines(table["text"].combine_chunks())
             ids = table["doc_id"].to_numpy()
+            place = np.searchsorted(known, ids).clip(max=len(known) - 1)
+            place[known[place] != ids] = -1
+
+            def among(text: np.ndarray, number: np.ndarray, place: np.ndarray = place) -> np.ndarray:
+                return (place[text] >= 0) & (number < beyond) & np.isin(place[text] * beyond + number, codes)
+
+            lines = Lines(table["text"].combine_chunks(), among)
             h1 = lines.h1.view(np.int64)
-            maybe = np.flatnonzero(np.isin(h1, known))
-            rows = np.array([i for i in maybe.tolist() if (ids[lines.text[i]], lines.number[i], h1[i]) in places], np.int64)
+            # Rows that share a doc_id may have other lines in the same place.
+            found = zip(ids[lines.text].tolist(), lines.number.tolist(), h1.tolist(), strict=True)
+            rows = np.array([i for i, line in enumerate(found) if line in places], np.int64)
             row, at, v1, v2 = lines.variants(rows)
             columns = [v1.view(np.int64), v2.view(np.int64), at, ids[lines.text[row]], lines.number[row]]
             out.append(pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by variant, place of the deletion and order of lines. The line without a deletion (place -1) is one
-        # edit from all others of its variant; two with a deletion are where the places agree.
-        out_schema, _ = _schema("doc_id number")
-        variant, whole, place, waits = None, None, None, False
-        for batch in batches:
-            gone = []
-            for v1, v2, at, doc, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if variant != (v1, v2):
-                    variant, whole, place, waits = (v1, v2), None, None, True
-                if at == -1:
-                    if whole is None:
-                        whole = (doc, number)
-                    continue
-                if place == at or (whole is not None and whole < (doc, number)):
-                    gone.append((doc, number))
-                if whole is not None and waits and (doc, number) < whole:
-                    gone.append(whole)
-                    waits = False
-                place = at
-            if gone:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*gone, strict=True)], schema=out_schema)
+        return near_earlier(common.blocks_of(batches))
 
     flat = docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(emit, ddl)
     return flat.repartition("v1").sortWithinPartitions("v1", "v2", "at", "doc_id", "number").mapInArrow(judge, "doc_id long, number long").distinct()

@@ -1,6 +1,7 @@
 """Every operator on awkward rows, on an empty table and against a plain version."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -292,6 +293,73 @@ def test_lines(docs, none):
     assert line_variants.repeated_lines(none).collect() == []
 
 
+def test_lines_of_shared_ids(spark):
+    """Equal rows, and rows with other lines in the same place, are one document and do not remove their own lines."""
+    rows = [(5, "a b c d e f\na b c d x y"), (5, "a b c d e f"), (7, "k l m n o p"), (7, "k l m n o q"), (8, "k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, tuple(r.removed_lines)) for r in line_variants.repeated_lines(docs).collect())
+    assert got == [(5, 2, ()), (5, 2, ()), (7, 1, ()), (7, 1, ()), (8, 1, (0,))]
+
+
+def test_lines_against_definition(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            words = [rng.choice(["a", "b", "long" * rng.randrange(1, 30), "é"]) for _ in range(rng.randrange(8))]
+            lines += [" ".join(words), "\t".join(words[:2] + words[3:])][: rng.randrange(1, 3)]
+        texts.append("\n".join(lines))
+    places = [(k, n, tuple(line.split())) for k, text in enumerate(texts) for n, line in enumerate(text.split("\n")) if line.split()]
+
+    def near(a: tuple, b: tuple) -> bool:
+        if a == b:
+            return True
+        if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    expected = {k: [] for k in range(len(texts))}
+    for i, (k, n, line) in enumerate(places):
+        if any(near(line, other) for _, _, other in places[:i]):
+            expected[k].append(n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed_lines for r in line_variants.repeated_lines(docs, shard_bytes=500).collect()}
+    assert got == expected and sum(map(len, got.values())) > 50
+
+
+def test_lines_judged_over_ends_of_blocks():
+    names = ["v1", "v2", "at", "doc_id", "number"]
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(4), 0, rng.randrange(-1, 3), rng.randrange(4), rng.randrange(3)) for _ in range(90)})
+    rows = [r for i, r in enumerate(rows) if r[2] >= 0 or rows[i - 1][:3] != r[:3]]  # equal lines are one
+    gone = {b[3:] for a in rows for b in rows if a[:2] == b[:2] and a[3:] < b[3:] and (a[2] == b[2] or -1 in (a[2], b[2]))}
+    assert 0 < len(gone) and any(r[2] == -1 for r in rows)
+    for size in (1, 2, 7, len(rows)):
+        blocks = [pa.table([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=names) for i in range(0, len(rows), size)]
+        assert {(r["doc_id"], r["number"]) for b in line_variants.near_earlier(iter(blocks)) for r in b.to_pylist()} == gone
+
+
+def test_lines_read_only_where_wanted():
+    texts = pa.array(["a b c d\ne f g h", None, "a b c d\n\n i j k"])
+    whole = line_variants.Lines(texts)
+    some = line_variants.Lines(texts, lambda text, number: (text == 2) & (number > 0))
+    assert some.text.tolist() == [2] and some.number.tolist() == [2] and some.h1[0] == whole.h1[3]
+    assert whole.h1[0] == whole.h1[2] and whole.h2[0] == whole.h2[2] and len(set(whole.h1.tolist())) == 3
+
+
+def test_flat_hashes():
+    words = ["a" * k for k in range(1, 200)] + ["a\x00", "a\x00\x00", "ab", "ba", "é" * 5, "x" * 8 + "y" * 8, "y" * 8 + "x" * 8]
+    array = pa.array([*words, *reversed(words)], pa.large_string())
+    hashes = common.flat_hashes(array).tolist()
+    assert hashes[: len(words)] == hashes[: len(words) - 1 : -1] and len(set(hashes)) == len(words)
+    assert common.flat_hashes(array[5:9]).tolist() == hashes[5:9] and common.flat_hashes(array, 1)[0] != hashes[0]
+    assert len(common.flat_hashes(array[:0])) == 0
+
+
 def test_segments_against_definition():
     rng = np.random.default_rng(5)
     scores = np.where(rng.random(400) < 0.2, rng.random(400) * 4, -rng.random(400))
