@@ -8,8 +8,10 @@ the document lengths, so that a reader finds any span of ids without unpacking w
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ from hindcast.llm import common
 from hindcast.session import scratch_folder
 
 BLOCK = 8192
+#: Text whose words are looked up together: what a task holds beside the vocabulary is some thirty times that.
+BLOCK_BYTES = 2 << 20
 PERCENTILE = 95.0
 MAGIC = b"PFRBLK01"
 #: A block's minimum, width, number of exceptions and number of ids.
@@ -141,76 +145,125 @@ class BlockReader:
             yield np.concatenate(parts)
 
 
-#: Of the vocabulary's pre-tokeniser; counts the pieces of a word. Fixed value.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Words taken apart by their characters: below U+0300 nothing composes, and lowering maps each character by
+#: itself (into this range, but for the two left out beside the dotted capital I).
+PLAIN = "^[\\x{21}-\\x{26}\\x{28}-\\x{84}\\x{A1}-\\x{12F}\\x{131}-\\x{239}\\x{23B}-\\x{23D}\\x{23F}-\\x{2FF}]+$"
+#: Letters are 1, numbers 2, other characters 3.
+KINDS = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x300)], np.uint8)
+
+
+def split_pieces(words: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArray]:
+    """Offsets into the pieces of all words, and the pieces: runs of letters, single numbers, runs of others.
+
+    As the vocabulary's pre-tokeniser cuts ``PLAIN`` words, which are not empty and have no apostrophe.
+    """
+    if not len(words):
+        return np.zeros(1, np.int64), words
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    first, last = int(bounds[0]), int(bounds[-1])
+    data = np.frombuffer(words.buffers()[2], np.uint8)[first:last]
+    kinds = KINDS[data]
+    leads = np.flatnonzero(data >= 0xC0)
+    kinds[leads] = KINDS[(data[leads] & np.uint8(0x1F)).astype(np.int64) << 6 | data[leads + 1] & np.uint8(0x3F)]
+    kinds[leads + 1] = kinds[leads]
+    begins = kinds == 2
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins[leads + 1] = False
+    begins[bounds[:-1] - first] = True
+    starts = np.append(np.flatnonzero(begins), last - first)
+    offsets = np.searchsorted(starts, bounds - first)
+    return offsets, pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts + first), words.buffers()[2])
 
 
 class WordEncoder:
     """The ids of distinct words, by a tokenizer whose pieces never cross white space.
 
-    A text's ids are those of its words in turn, so that each distinct word of a block is encoded once.
-    Plain words are joined into long lines: they are lowered beforehand, which leaves the normaliser
-    without work, and the ids of a word end at its last piece, known by the end-of-word mark. Other
-    words go through the whole tokenizer one by one.
+    A text's ids are those of its words in turn, and a plain word's ids those of its pieces, so that each
+    distinct word of a block is taken apart once and each distinct piece encoded once; ids of the first
+    ``KNOWN`` pieces are remembered over blocks. Pieces are joined into long lines: they are lowered
+    beforehand, which leaves the normaliser without work, the lines are cut at white space, and the ids of
+    a piece end at the end-of-word mark. Other words go through the whole tokenizer one by one.
     """
 
-    #: Words joined into one line.
-    LINE = 1000
+    #: Pieces joined into one line, lines encoded at a time, and pieces (some ten MB) whose ids are remembered.
+    LINE, LINES, KNOWN = 1000, 16, 1 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        size = self.whole.get_vocab_size()
-        self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def one_by_one(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.known, self.starts, self.ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, texts: list[str], steps: tuple) -> Iterator[list[int]]:
+        """The ids of each text, by a normaliser and a pre-tokeniser; few texts at a time, as encodings are large."""
+        for at in range(0, len(texts), self.LINES):
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + self.LINES], add_special_tokens=False):
+                yield e.ids
+
+    def encode_new(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets into the ids of lowered pieces, and the ids."""
+        cuts = np.append(np.arange(0, len(pieces), self.LINE), len(pieces))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts), pieces), pa.scalar("\n", pa.large_string())).to_pylist()
+        counts, out = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
+        for at, upto, found in zip(cuts, cuts[1:], self.encoded(lines, self.bare), strict=False):
+            ids = np.array(found, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != upto - at or ends[-1] != len(ids):  # cut otherwise than foreseen: the plain way
+                single = list(self.encoded(pieces[at:upto].to_pylist(), self.whole))
+                ids, ends = np.array([i for s in single for i in s], np.uint32), np.cumsum([len(s) for s in single])
+            counts.append(np.diff(ends, prepend=0))
+            out.append(ids)
+        return np.cumsum(np.concatenate(counts)), np.concatenate(out)
+
+    def encode_pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct lowered piece begin and how many they are, and the ids."""
+        rows = pc.index_in(pieces, value_set=self.known)
+        new = rows.is_null()
+        fresh = pieces.filter(new)
+        starts, ids = self.encode_new(fresh)
+        starts, ids = np.concatenate([self.starts, self.starts[-1] + starts[1:]]), np.concatenate([self.ids, ids])
+        rows, new = rows.fill_null(0).to_numpy().astype(np.int64), new.to_numpy(zero_copy_only=False)
+        rows[new] = len(self.known) + np.arange(len(fresh))
+        kept = min(self.KNOWN, int(np.searchsorted(starts, 8 * self.KNOWN, "right")) - 1)  # few of them, if long
+        if kept > len(self.known):
+            self.known = pa.concat_arrays([self.known, fresh[: kept - len(self.known)]])
+            self.starts, self.ids = starts[: kept + 1].copy(), ids[: starts[kept]].copy()
+        return starts[rows], np.diff(starts)[rows], ids
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets into the ids of all words, and the ids."""
-        n = len(words)
-        # Below U+0300 nothing composes, and lowering maps each character by itself.
-        plain = pc.and_(
-            pc.match_substring_regex(words, "^[\\x{21}-\\x{84}\\x{A1}-\\x{12F}\\x{131}-\\x{2FF}]*$"),
-            pc.invert(pc.match_substring(words, "<|")),
-        ).to_numpy(zero_copy_only=False)
-        lowered = pc.utf8_lower(words)
-        pieces = np.where(plain, pc.count_substring_regex(lowered, PIECES).to_numpy(zero_copy_only=False), 0)
-        counts = np.zeros(n, np.int64)
-        parts: dict[int, np.ndarray] = {}
-        order = np.flatnonzero(plain)
-        cuts = range(0, len(order), self.LINE)
-        texts = lowered.take(pa.array(order)).to_pylist()
-        lines = ["\n".join(texts[k : k + self.LINE]) for k in cuts]
-        rest = np.flatnonzero(~plain).tolist()
-        for k, e in zip(cuts, self.bare.encode_batch_fast(lines, add_special_tokens=False), strict=True):
-            rows = order[k : k + self.LINE]
-            ids = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(pieces[rows])
-            if len(ends) != upto[-1] or (pieces[rows] == 0).any():
-                rest += rows.tolist()  # pieces cut otherwise than foreseen: the plain way
-                continue
-            bounds = np.concatenate([[0], ends[upto - 1]])
-            counts[rows] = np.diff(bounds)
-            parts[k] = ids
-        single = dict(zip(rest, self.one_by_one(words.take(pa.array(rest, pa.int64())).to_pylist()), strict=True))
-        for row, ids in single.items():
-            counts[row] = len(ids)
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        of_word, pieces = split_pieces(pc.utf8_lower(words.filter(plain)).cast(pa.large_string()))
+        pieces = pieces.dictionary_encode()
+        starts, sizes, known = self.encode_pieces(pieces.dictionary)
+        codes = pieces.indices.to_numpy()
+        sizes = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[of_word]
+        plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(upto)
+        rest = np.flatnonzero(~plain)
+        single = list(self.encoded(words.take(pa.array(rest)).to_pylist(), self.whole))
+        counts[rest] = [len(s) for s in single]
         offsets = np.concatenate([[0], np.cumsum(counts)])
         out = np.zeros(offsets[-1], np.uint32)
-        for k, ids in parts.items():
-            rows = order[k : k + self.LINE]
-            out[ragged(offsets[rows], counts[rows])] = ids
-        for row, ids in single.items():
-            out[offsets[row] : offsets[row + 1]] = ids
+        out[ragged(offsets[:-1][plain], counts[plain])] = known[ragged(starts[codes], sizes)]
+        out[ragged(offsets[:-1][rest], counts[rest])] = np.array([i for s in single for i in s], np.uint32)
         return offsets, out
 
 
+@functools.lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this process, which reads the vocabulary for its first task only."""
+    return WordEncoder(path)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + counts[i] - 1 for every i, one after another."""
     total = int(counts.sum())
@@ -252,11 +305,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
 
         encoder, writer, out = None, None, None
         part = TaskContext.get().partitionId()
-        for block in common.blocks_of(batches):
+        for block in common.blocks_of(batches, BLOCK_BYTES):
             if not block.num_rows:
                 continue
             if writer is None:
-                encoder, out = WordEncoder(tokenizer), common.TaskFile(path, f"ids-{part:06d}", ".pfr")
+                encoder, out = word_encoder(tokenizer), common.TaskFile(path, f"ids-{part:06d}", ".pfr")
                 writer = BlockWriter(out, percentile)
             keys = block["key"].combine_chunks()
             ids, lengths = encode_texts(encoder, block["text"].combine_chunks(), end_id)

@@ -65,6 +65,31 @@ def test_words_encode_as_texts_do():
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_plain_characters_are_cut_as_the_vocabulary_cuts():
+    from tokenizers import Tokenizer
+
+    chars = [chr(c) for c in range(1, 0x400)]
+    texts = chars + [f"a{c}1{c}{c}b" for c in chars] + ["l'homme 's 's're don't", "漢字", "12 1², ...a"]
+    plain = Tokenizer.from_file(catalog.vocabulary())
+    expected = [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 2]]
+    encoder = token_blocks.WordEncoder(catalog.vocabulary())
+    for known in (0, 100, 1 << 18):  # nothing, some and all pieces are remembered
+        encoder.KNOWN = known
+        assert token_blocks.encode_texts(encoder, pa.array(texts), 2)[0].tolist() == expected
+        assert token_blocks.encode_texts(encoder, pa.array(["漢字", None]), 2)[1].tolist() == [len(plain.encode("漢字").ids) + 1, 1]
+
+
+def test_each_piece_is_encoded_once():
+    encoder = token_blocks.WordEncoder(catalog.vocabulary())
+    lines, encoded = [], encoder.encoded
+    encoder.encoded = lambda texts, steps: (lines.extend(texts), encoded(texts, steps))[1]
+    first = token_blocks.encode_texts(encoder, pa.array(["Sun sun, SUN. (sun) moon!"]), 2)[0]
+    again = token_blocks.encode_texts(encoder, pa.array(["Sun sun, SUN. (sun) moon!"]), 2)[0]
+    assert sorted(p for t in lines for p in t.split("\n")) == sorted(["sun", ",", ".", "(", ")", "moon", "!"])
+    assert first.tolist() == again.tolist()
+    assert token_blocks.word_encoder(catalog.vocabulary()) is token_blocks.word_encoder(catalog.vocabulary())
+
+
 def test_token_files(spark, docs, none):
     path = common.scratch_folder(spark)
     token_blocks.write_token_files(docs, path, catalog.vocabulary(), 2)
