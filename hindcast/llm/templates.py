@@ -10,6 +10,7 @@ names or numbers is one placeholder, so that names of other length, case or plac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ COVER = 13
 LEAST_WORDS = 5
 #: Words of benchmark items that one pass over the documents looks for.
 PASS_WORDS = 2_000_000
+#: Words of documents that are looked up at a time.
+PART_WORDS = 1 << 17
 
 # Unit words.
 UNITS = """m cm mm km kg g mg lb lbs oz l ml s ms min h hr hrs mph kph km/h m/s kw kwh mw w v a hz khz mhz ghz kb mb gb tb
@@ -86,6 +89,16 @@ def canonical(texts: pa.Array, names: np.ndarray) -> Words:
     return Words(offsets, hashes[codes], kinds, (hashes, inside, np.bincount(codes, minlength=len(hashes)) * small))
 
 
+def some_rows(words: Words, most: int = PART_WORDS) -> Iterator[Words]:
+    """Parts of whole rows, of about ``most`` words: windows are hashed in many columns as long as the words."""
+    begin, n = 0, len(words.offsets) - 1
+    while begin < n:
+        end = min(n, max(begin + 1, int(np.searchsorted(words.offsets, words.offsets[begin] + most, "right")) - 1))
+        a, b = words.offsets[begin], words.offsets[end]
+        yield Words(words.offsets[begin : end + 1] - a, words.values[a:b], {view: k[a:b] for view, k in words.kinds.items()}, words.forms)
+        begin = end
+
+
 def isin_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which values are in the sorted array."""
     at = np.searchsorted(among, values)
@@ -196,7 +209,10 @@ class Benchmark:
 
     def leaks(self, texts: pa.Array) -> list[dict[int, bool]]:
         """Of every text the items that it repeats (by index), and whether with other values."""
-        w = canonical(texts, self.names)
+        return [found for part in some_rows(canonical(texts, self.names)) for found in self.leaks_of(part)]
+
+    def leaks_of(self, w: Words) -> list[dict[int, bool]]:
+        """The same of texts taken apart."""
         out: list[dict[int, bool]] = [{} for _ in range(len(w.offsets) - 1)]
         verbatim: dict[tuple[int, int, int], list] = {}
         for row, item, shift, at, width in self.found(self.verbatim, w.values, w.offsets, True, out):

@@ -1,5 +1,6 @@
 """Every operator on awkward rows, on an empty table and against a plain version."""
 
+import functools
 import hashlib
 import os
 import random
@@ -115,6 +116,18 @@ def test_memory_of_encoding():
     assert float(done.stdout) < 170  # MB; 131 measured, 209 to 240 with larger blocks, two vocabularies and all encodings at once
 
 
+def test_leaks_are_looked_up_part_by_part(monkeypatch):
+    item = "Which of the seven rivers that cross the plain carries the most water to the sea in spring"
+    bench = templates.Benchmark([1], pa.array([item]))
+    texts = pa.array([None, "x " * 50 + item, "", "clean words only " * 20, item, "y"] * 20)
+    whole, sizes, hashes = bench.leaks(texts), [], common.window_hashes
+    monkeypatch.setattr(common, "window_hashes", lambda of, *more: (sizes.append(len(of)), hashes(of, *more))[1])
+    monkeypatch.setattr(templates, "some_rows", functools.partial(templates.some_rows, most=100))
+    assert bench.leaks(texts) == whole == [{}, {0: False}, {}, {}, {0: False}, {}] * 20
+    assert max(sizes) <= 100
+    assert bench.leaks(pa.array([], pa.string())) == []
+
+
 def test_token_files(spark, docs, none):
     path = common.scratch_folder(spark)
     token_blocks.write_token_files(docs, path, catalog.vocabulary(), 2)
