@@ -335,10 +335,11 @@ def dashboard_outputs(predictions: DataFrame, runs: DataFrame, metrics: DataFram
     }
 
 
-def recombine(predictions: list[DataFrame], runs: list[DataFrame], tasks: int | None = None) -> dict[str, DataFrame]:
+def recombine(predictions: list[DataFrame], runs: list[DataFrame], tasks: int | None = None, in_order: bool = False) -> dict[str, DataFrame]:
     """Union several experiments and recompute everything that depends on all of them.
 
-    ``tasks`` are the partitions of the united facts by configuration, where the session's number is too few.
+    ``tasks`` are the partitions of the united facts by configuration, where the session's number is too few;
+    ``in_order`` is that of ``backtest_metrics``.
     """
     from functools import reduce
 
@@ -348,6 +349,6 @@ def recombine(predictions: list[DataFrame], runs: list[DataFrame], tasks: int |
     facts, all_runs = union(predictions), union(runs)
     if tasks:
         facts, all_runs = facts.repartition(tasks, "config_id"), all_runs.repartition(tasks, "config_id")
-    metrics = materialize(backtest_metrics(facts))
+    metrics = materialize(backtest_metrics(facts, in_order=in_order))
     tables = dashboard_outputs(facts, all_runs, metrics)
     return {"predictions": facts, "model_runs": all_runs, "metrics": metrics, "champion": champion(metrics), **tables}

@@ -12,13 +12,19 @@ from hindcast.operators.distribution import ranked
 from hindcast.session import materialize
 
 
-def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, series_keys: list[str] | None = None) -> DataFrame:
+def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, series_keys: list[str] | None = None, in_order: bool = False) -> DataFrame:
     """One row per (configuration, scope): overall plus every evaluation period (A2-A5).
 
     Directions follow one series from month to month: where a configuration forecasts several, ``series_keys``
     name their columns, and the hits of all series are added up. Without them the facts are exchanged
     once by ``config_id``, which serves the ordered windows and the aggregation. Configurations with a NULL key are left out.
+
+    Sums of errors are kept to twelve significant digits, so that equal errors in another order give equal scores.
+    ``in_order`` keeps every digit instead and adds the months of a configuration one after another, as SQL adds
+    ordered rows: scores equal to the last bit are what ranks and limits of the checks are made of.
     """
+    if in_order and series_keys:
+        raise ValueError("months follow one another in one series: in_order and series_keys exclude each other")
     keys = keys or CONFIG_KEYS
     series = series_keys or []
     facts = predictions
@@ -56,23 +62,37 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, seri
         "_low": (F.min, F.col("actual")),
         "_high": (F.max, F.col("actual")),
         "n_predictions": (F.sum, F.lit(1)),
-        "_gaps": (F.sum, F.col("_gap")),
-        "_sse": (F.sum, F.col("_gap") * F.col("_gap")),
-        "_naive_gaps": (F.sum, F.col("_naive")),
-        "_naive_sse": (F.sum, F.col("_naive") * F.col("_naive")),
         "_a1": (F.sum, F.col("_a")),
         "_a2": (F.sum, F.col("_a") * F.col("_a")),
-        "total_train_seconds": (F.sum, F.col("train_seconds")),
         "_timed": (F.sum, F.col("train_seconds").isNotNull().cast("int")),
     }
-    hits = {"_hits": F.sum, "_moves": F.sum}
+    added = {
+        "_gaps": F.col("_gap"),
+        "_sse": F.col("_gap") * F.col("_gap"),
+        "_naive_gaps": F.col("_naive"),
+        "_naive_sse": F.col("_naive") * F.col("_naive"),
+        "total_train_seconds": F.col("train_seconds"),
+    }
+    sums_in = {"_hit_all": added, "_hit_period": added}
+    if in_order:
+        # Running sums: no term is negative, so the greatest is the whole sum.
+        facts = facts.withColumns(
+            {
+                f"{h}{n}": F.sum(c).over(W.partitionBy("config_id", *part).orderBy("as_of_date").rowsBetween(W.unboundedPreceding, W.currentRow))
+                for h, part in (("_hit_all", []), ("_hit_period", ["evaluation_period"]))
+                for n, c in added.items()
+            }
+        )
+        sums_in = {h: {n: F.col(f"{h}{n}") for n in added} for h in sums_in}
+    collect = F.max if in_order else F.sum
+    hits = {"_hits": F.sum, "_moves": F.sum, **dict.fromkeys(added, collect)}
     # First per period, then periods are added up to "overall": the rows are not duplicated.
     periods = facts.groupBy(*keys, "evaluation_period").agg(
         *[F.first(c).alias(c) for c in constants],
         *[how(c).alias(n) for n, (how, c) in measures.items()],
         *[
-            F.struct(F.sum(h).alias("_hits"), F.count(h).alias("_moves")).alias(f"{h}s")
-            for h in ("_hit_all", "_hit_period")
+            F.struct(F.sum(h).alias("_hits"), F.count(h).alias("_moves"), *[collect(c).alias(n) for n, c in terms.items()]).alias(f"{h}s")
+            for h, terms in sums_in.items()
         ],
     )
     scope = F.explode(
@@ -91,8 +111,11 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, seri
         )
     )
     count = F.col("n_predictions")
-    # Equal errors met in another order must give equal scores, or ranks and limits would follow the last bit of a sum.
-    sums = sums.withColumns({c: steady(F.col(c)) for c in ("_gaps", "_sse", "_naive_gaps", "_naive_sse", "total_train_seconds")})
+
+    def kept(total: Column) -> Column:
+        return total if in_order else steady(total)
+
+    sums = sums.withColumns({c: kept(F.col(c)) for c in added})
     sums = sums.withColumns(
         {
             "n_features": F.col("n_features").cast("bigint"),
@@ -100,7 +123,7 @@ def backtest_metrics(predictions: DataFrame, keys: list[str] | None = None, seri
             "rmse": F.sqrt(F.col("_sse") / count),
             "mae_naive": F.col("_naive_gaps") / count,
             "rmse_naive": F.sqrt(F.col("_naive_sse") / count),
-            "_sst": steady(F.col("_a2") - F.col("_a1") * F.col("_a1") / count),
+            "_sst": kept(F.col("_a2") - F.col("_a1") * F.col("_a1") / count),
             "_constant": F.col("_high") == F.col("_low"),
             "diracc": F.try_divide("_hits", "_moves"),
             "avg_train_seconds": F.try_divide("total_train_seconds", "_timed"),

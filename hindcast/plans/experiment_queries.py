@@ -74,7 +74,7 @@ cte("labelled", "board", f"""
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.backtest_metrics(fx.predictions(spark, folder))
+    return mt.backtest_metrics(fx.predictions(spark, folder), in_order=True)
 
 
 def board(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,7 +271,7 @@ cte("scored", "profile", """
 
 def profile(spark: SparkSession, folder: str, with_metrics: bool = False) -> DataFrame:
     runs = fx.predictions(spark, folder)
-    return lb.complexity_profile(runs, mt.backtest_metrics(runs) if with_metrics else None)
+    return lb.complexity_profile(runs, mt.backtest_metrics(runs, in_order=True) if with_metrics else None)
 
 
 @query("complexity_profile", "A7 A8 A9 X8 P17", with_ctes("scored metrics", f"""
@@ -333,7 +333,7 @@ UNION ALL SELECT 'model_leaderboard_full', count(*), count(DISTINCT config_id) F
 UNION ALL SELECT 'overview_top_models', least(5, count(DISTINCT model_config_id)), least(5, count(DISTINCT model_config_id)) FROM reasons"""))
 def curated_bundle(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
-    measured = materialize(mt.backtest_metrics(facts))
+    measured = materialize(mt.backtest_metrics(facts, in_order=True))
     wide = lb.wide_leaderboard(measured)
     reasons = bd.retention_reasons(wide, mt.champion(measured), KEEP, per_build=3)
     tables = bd.curate({"model_leaderboard": wide, "forecast_paths": facts}, reasons)
@@ -359,7 +359,7 @@ def partition_manifest(spark: SparkSession, folder: str) -> DataFrame:
 SELECT config_id, as_of_date, {r6('prediction', 'prediction')} FROM pred WHERE config_id IN (SELECT model_config_id FROM champ)"""))
 def champion_predictions(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
-    chosen = mt.champion(materialize(mt.backtest_metrics(facts)))
+    chosen = mt.champion(materialize(mt.backtest_metrics(facts, in_order=True)))
     return rounded6(lb.champion_rows(facts, chosen).select("config_id", "as_of_date", "prediction"))
 
 
@@ -368,7 +368,7 @@ SELECT p.config_id, p.target_date, t.rank, {r6('p.prediction', 'prediction')}
 FROM pred p JOIN (SELECT config_id, row_number() OVER (ORDER BY selection_score, model_config_id) AS rank FROM board) t USING (config_id) WHERE t.rank <= 5"""))
 def overview_paths(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
-    _, paths = lb.overview(lb.wide_leaderboard(mt.backtest_metrics(facts)), facts.select("config_id", "target_date", "prediction"))
+    _, paths = lb.overview(lb.wide_leaderboard(mt.backtest_metrics(facts, in_order=True)), facts.select("config_id", "target_date", "prediction"))
     return rounded6(paths.select("config_id", "target_date", "rank", "prediction"))
 
 
@@ -379,5 +379,5 @@ def recombined(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     linear = facts.where(F.col("model_family").isin("linear", "baseline")).withColumn("source_model_config_id", F.lit("seed"))
     other = facts.where(~F.col("model_family").isin("linear", "baseline"))
-    out = lb.recombine([linear, other], [linear, other], fx.tasks(spark, folder))["metrics"]
+    out = lb.recombine([linear, other], [linear, other], fx.tasks(spark, folder), in_order=True)["metrics"]
     return rounded6(out.select("config_id", "evaluation_scope", "n_predictions", "mae"), 6)

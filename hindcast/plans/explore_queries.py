@@ -63,7 +63,7 @@ SELECT as_of_date, {r6('abs_error', 'abs_error')}, row_number() OVER (ORDER BY a
 FROM pred WHERE config_id = (SELECT config_id FROM board ORDER BY selection_score, model_config_id LIMIT 1) ORDER BY pred.abs_error DESC, as_of_date LIMIT 20"""))
 def largest_errors(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
-    best = ex.top_rows(lb.wide_leaderboard(mt.backtest_metrics(facts)), "selection_score", True, 1)
+    best = ex.top_rows(lb.wide_leaderboard(mt.backtest_metrics(facts, in_order=True)), "selection_score", True, 1)
     worst = ex.largest_errors(facts, best.select("config_id").scalar(), 20)
     return rounded6(worst.select("as_of_date", "abs_error", "rank"))
 
@@ -126,7 +126,7 @@ SELECT model_config_id, path_rank, dup"""))
 def distinct_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Baselines are given one shared path here so that duplicates exist."""
     facts = fx.predictions(spark, folder)
-    ranked = ex.rank_by(lb.wide_leaderboard(mt.backtest_metrics(facts)), "Balanced score")
+    ranked = ex.rank_by(lb.wide_leaderboard(mt.backtest_metrics(facts, in_order=True)), "Balanced score")
     flat = facts.withColumn("prediction", F.when(F.col("model_type") == "naive", F.lit(0.0)).otherwise(F.col("prediction")))
     chosen = ex.distinct_paths(ranked.select("model_config_id", "rank"), flat, 200)
     return rounded6(chosen.select("model_config_id", "path_rank", "duplicate_count"))
@@ -141,7 +141,7 @@ def explore_paths(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     choices = {"mode": "raw", "feature_family_name": ["family_1", "family_2", "family_4"], "feature_policy": "All"}
     _, paths = ex.explore(
-        lb.wide_leaderboard(mt.backtest_metrics(facts)), facts, choices, "MAE", 3, 10, "1999-01-01", "1999-09-01"
+        lb.wide_leaderboard(mt.backtest_metrics(facts, in_order=True)), facts, choices, "MAE", 3, 10, "1999-01-01", "1999-09-01"
     )
     return rounded6(paths.select("config_id", "target_date", "prediction"))
 
@@ -250,7 +250,7 @@ b AS (SELECT x, y, greatest(len(list_filter(list_sort(e), lambda v: v < x)), 1)
 SELECT bin, count(*) AS configurations, {r6('min(y)', 'best')}, {r6('median(y)', 'median')} FROM b GROUP BY bin""").replace("\n\n,", "\n,"))
 def sensitivity_bins(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
-    wide = lb.wide_leaderboard(mt.backtest_metrics(facts)).select("config_id", "mae", "pre_covid_mae")
+    wide = lb.wide_leaderboard(mt.backtest_metrics(facts, in_order=True)).select("config_id", "mae", "pre_covid_mae")
     seconds = lb.run_profile(facts).select("config_id", "total_train_seconds")
     frame = wide.join(seconds, "config_id").withColumn("x", F.col("total_train_seconds") * 1000 + F.col("pre_covid_mae"))
     return rounded6(ex.sensitivity(frame, "x", "mae", True).select("bin", "configurations", "best", "median"))

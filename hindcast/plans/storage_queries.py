@@ -56,7 +56,7 @@ SELECT rank, config_id, {r6('selection_score', 'selection_score')} FROM (SELECT
 def top_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The 25 best configurations as a CSV file, read back."""
     where = scratch_folder(spark)
-    overall = mt.backtest_metrics(fx.predictions(spark, folder)).where("evaluation_scope = 'overall'")
+    overall = mt.backtest_metrics(fx.predictions(spark, folder), in_order=True).where("evaluation_scope = 'overall'")
     sk.write_top_csv(overall.select("config_id", "model_config_id", "selection_score"), where)
     fields = {f.name: f.dataType.simpleString() for f in spark.read.csv(where, header=True).schema.fields}
     kinds = {"selection_score": "double", "rank": "bigint"}
@@ -68,7 +68,7 @@ def top_csv(spark: SparkSession, folder: str) -> DataFrame:
 def document_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The champion as a JSON document, read back."""
     where = scratch_folder(spark)
-    best = mt.champion(materialize(mt.backtest_metrics(fx.predictions(spark, folder))))
+    best = mt.champion(materialize(mt.backtest_metrics(fx.predictions(spark, folder), in_order=True)))
     sk.write_document(best.select("model_config_id", F.lit("champion").alias("artifact")), where)
     return sk.read_document(spark, where, "model_config_id string, artifact string")
 

@@ -313,7 +313,7 @@ UNION ALL SELECT 'overview_prediction_paths', count(*) FROM pred WHERE config_id
 UNION ALL SELECT 'feature_family_summary_dashboard', count(*) FROM (SELECT DISTINCT feature_family_name, mode FROM pred)"""))
 def mart_views(spark: SparkSession, folder: str) -> DataFrame:
     facts = materialize(fx.predictions(spark, folder))
-    sk.register_mart(spark, {"predictions": facts, "metrics": materialize(mt.backtest_metrics(facts))})
+    sk.register_mart(spark, {"predictions": facts, "metrics": materialize(mt.backtest_metrics(facts, in_order=True))})
     names = ["forecast_paths", "model_leaderboard", "champion_predictions", "overview_prediction_paths", "feature_family_summary_dashboard"]
     return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS view, count(*) AS rows FROM {n}" for n in names))
 
@@ -325,7 +325,7 @@ def experiment_run(spark: SparkSession, folder: str) -> DataFrame:
     facts = fx.predictions(spark, folder)
     experiment = facts.agg(F.min("experiment_id").alias("experiment_id"), F.min("target").alias("target"), F.min("horizon").alias("horizon"))
     batch = facts.agg(F.count_distinct("config_id").alias("model_count"), F.count(F.lit(1)).alias("prediction_count"))
-    winner = mt.champion(materialize(mt.backtest_metrics(facts)))
+    winner = mt.champion(materialize(mt.backtest_metrics(facts, in_order=True)))
     row = sk.experiment_run({"experiment": experiment, "batch": batch, "champion": winner})
     return row.select("experiment_id", "target", "horizon", "model_count", "prediction_count", "champion_model_config_id")
 

@@ -190,6 +190,23 @@ def test_equal_errors_in_another_order_are_equal_scores(spark):
     assert {r.config_id: r["rank"] for r in ranks} == {"a": 1, "b": 2} and len({(r.mae, r.rmse) for r in ranks}) == 1
 
 
+def test_months_added_in_order_keep_every_digit(spark):
+    gaps = {"a": [0.1, 0.2, 0.3, 0.7, 0.1], "b": [0.1, 0.7, 0.3, 0.2, 0.1]}
+    rows = [row for c, values in gaps.items() for row in one(c, [(0.0, gap, gap / 3) for gap in values])]
+    shown = facts(spark, rows[::-1], [("first", None, str(month(5))), ("then", str(month(6)), None)])
+    out = {(r.config_id, r.evaluation_scope): r for r in metrics.rank_metrics(metrics.backtest_metrics(shown, in_order=True)).collect()}
+    for c, values in gaps.items():
+        for scope, part in (("overall", values), ("first", values[:3]), ("then", values[3:])):
+            r, total, squares, naive, seconds = out[c, scope], 0.0, 0.0, 0.0, 0.0
+            for gap in part:
+                total, squares, naive, seconds = total + gap, squares + gap * gap, naive + gap / 3, seconds + 0.5
+            assert (r.mae, r.rmse, r.mae_naive, r.total_train_seconds) == (total / len(part), math.sqrt(squares / len(part)), naive / len(part), seconds)
+    first, last = sorted(gaps, key=lambda c: (out[c, "overall"].selection_score, c))
+    assert out["a", "overall"].mae != out["b", "overall"].mae and (out[first, "overall"]["rank"], out[last, "overall"]["rank"]) == (1, 2)
+    with pytest.raises(ValueError):
+        metrics.backtest_metrics(shown, series_keys=["feature_set_id"], in_order=True)
+
+
 def test_champion_prefers_simple_within_two_percent(spark):
     schema = "model_config_id string, evaluation_scope string, model_type string, n_features int, selection_score double, mae double, rmse double"
     rows = [("best", "overall", "xgboost", 9, 100.0, 1.0, 1.0), ("near", "overall", "ridge", 5, 101.9, 1.0, 1.0), ("far", "overall", "naive", 0, 102.1, 1.0, 1.0)]
