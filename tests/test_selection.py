@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hindcast.operators import experiment as ex
 from hindcast.operators import policies as pol
 from hindcast.operators import selection as sel
-from hindcast.operators.models import solve_batch
+from hindcast.operators.models import solve_batch, solve_each
 
 EULER = 0.5772156649015329
 
@@ -145,3 +145,19 @@ def test_the_policy_in_a_run(spark):
     assert set(chosen.model_type) == {"ridge", "extra_trees"} and set(chosen.selected_feature_names_json) == {'["a"]'}
     with pytest.raises(Exception, match="one model per series"):
         go([], [("ridge", {"alpha": 1.0})]).predictions.count()
+
+
+@pytest.mark.parametrize("sweeps", [4, 10_000])
+@pytest.mark.parametrize("kind", ["lasso", "elastic_net", "ridge"])
+def test_fits_solved_together_equal_each_alone(kind, sweeps):
+    """Weights and ends are those of every problem alone, to the last bit; with few sweeps some have not settled."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30, 40, 4)) * [1.0, 1.0, 1.0, 0.3]
+    x[:, :, 3] += x[:, :, 0] * np.linspace(0.0, 1.0, 30)[:, None]
+    x = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+    gram, cross = np.einsum("bri,brj->bij", x, x), np.einsum("bri,br->bi", x, 3 * x[:, :, 0] + rng.standard_normal((30, 40)))
+    n, mask = np.full(30, 40.0), rng.random((30, 4)) > 0.2
+    weight, settled = solve_each(gram, cross, n, mask, kind, 0.1, 0.5, sweeps)
+    alone = [solve_batch(gram[i : i + 1], cross[i : i + 1], n[i : i + 1], mask[i : i + 1], kind, 0.1, 0.5, sweeps) for i in range(30)]
+    assert np.array_equal(weight, np.concatenate([w for w, _ in alone])) and settled.tolist() == [c for _, c in alone]
+    assert settled.all() if sweeps > 4 or kind == "ridge" else not settled.all()
